@@ -66,6 +66,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def per_worker(shared, make):
+    """What make builds from a broadcast dict, built once in each Python worker that reads it."""
+    value = shared.value
+    if "_made" not in value:
+        value["_made"] = make(value)
+    return value["_made"]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5, is 0 (a null id counts as the text 'null')."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))) % 5 == 0

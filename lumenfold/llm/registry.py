@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding, urls
+from . import licenses, packing, sharding, simhash, urls
 
 
 def queries():
     return {
+        "op1_simhash_near_dedup": simhash.op1,
         "op2_stratified_sharding": sharding.op2,
         "op7_url_filter": urls.op7,
         "op8_license_scan": licenses.op8,
+        "op10_best_fit_packing": packing.op10,
     }
 
 
