@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, sharding, simhash, urls
+from . import licenses, packing, quality, sharding, simhash, toxicity, urls
 
 
 def queries():
     return {
         "op1_simhash_near_dedup": simhash.op1,
         "op2_stratified_sharding": sharding.op2,
+        "op3_toxicity_mil": toxicity.op3,
+        "op4_quality_knn": quality.op4,
         "op7_url_filter": urls.op7,
         "op8_license_scan": licenses.op8,
         "op10_best_fit_packing": packing.op10,
