@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, quality, sharding, simhash, toxicity, urls
+from . import decontaminate, licenses, packing, quality, sharding, simhash, toxicity, urls
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_quality_knn": quality.op4,
         "op7_url_filter": urls.op7,
         "op8_license_scan": licenses.op8,
+        "op9_benchmark_decontamination": decontaminate.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
