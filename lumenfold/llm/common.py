@@ -74,6 +74,36 @@ def per_worker(shared, make):
     return value["_made"]
 
 
+class Memo:
+    """What make(word) gives, remembered for words of up to `longest` characters, in two generations of at most `limit`
+    words: when the younger is full it becomes the older, so words in use stay. make never gives None."""
+
+    def __init__(self, make, limit: int = 200_000, longest: int = 80):
+        self.make, self.limit, self.longest, self.known, self.older = make, limit, longest, {}, {}
+
+    def __call__(self, words: list[str]) -> list:
+        out = list(map(self.known.get, words))
+        at = -1
+        while True:
+            try:
+                at = out.index(None, at + 1)
+            except ValueError:
+                return out
+            out[at] = self.one(words[at])
+
+    def one(self, word: str):
+        value = self.known.get(word)
+        if value is None:
+            value = self.older.get(word)
+            if value is None:
+                value = self.make(word)
+            if len(word) <= self.longest:
+                if len(self.known) >= self.limit:
+                    self.known, self.older = {}, self.known
+                self.known[word] = value
+        return value
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5, is 0 (a null id counts as the text 'null')."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))) % 5 == 0

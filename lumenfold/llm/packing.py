@@ -19,36 +19,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, per_worker, small_batches, table
+from .common import Memo, materialize, per_worker, small_batches, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _k long"
-MEMO, LONGEST = 300_000, 80
 
 
-class Tokens(dict):
-    """Word -> its ids as little-endian uint32 bytes. The vocabulary's words end at white space, so texts can be cut at
-    spaces and line breaks, and each distinct word is tokenised once. Bounded: at most MEMO words of up to LONGEST characters."""
+#: Marks that the vocabulary keeps apart from letters before them.
+MARKS = ".,;:!?#$%&*|"
+
+
+def byte_letters() -> list[str]:
+    """The letters in which a byte-level vocabulary spells the bytes 0 to 255: printable Latin-1 stands for itself, the rest for 256 and up."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return [chr(b if b in printable else 256 + rest.index(b)) for b in range(256)]
+
+
+class Tokens:
+    """Text -> its ids as little-endian uint32 bytes. The vocabulary's words end at white space and where letters meet
+    marks, so texts can be cut at spaces and line breaks, and letters from the marks after them; what was met before
+    needs no second tokenising. A run of letters is one word of the model, so it goes to the model itself."""
 
     def __init__(self, spec: str):
-        super().__init__()
-        self.spec = spec
-        self.tokenizer = None
-
-    def __missing__(self, word: str) -> bytes:
-        if self.tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_str(self.spec)
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
-        return ids
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.spell = dict(enumerate(byte_letters()))
+        self.parts = Memo(self.part, 400_000)
+        self.words = Memo(self.word)
+
+    def part(self, part: str) -> bytes:
+        if part.isalpha():
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.spell)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():
+            plain = stem.lower() if stem.isascii() else self.tokenizer.normalizer.normalize_str(stem)
+            if plain.isalpha():
+                ids = self.parts.one(plain)
+                return ids + self.parts.one(word[len(stem) :]) if len(stem) < len(word) else ids
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(self.words(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
