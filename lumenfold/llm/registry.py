@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, parsing, quality, sharding, simhash, toxicity, urls
+from . import decontaminate, licenses, packing, parsing, quality, secrets, sharding, simhash, toxicity, urls
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_stratified_sharding": sharding.op2,
         "op3_toxicity_mil": toxicity.op3,
         "op4_quality_knn": quality.op4,
+        "op5_secret_scan": secrets.op5,
         "op6_document_fingerprints": parsing.op6,
         "op7_url_filter": urls.op7,
         "op8_license_scan": licenses.op8,
