@@ -1,0 +1,6 @@
+"""The engine's queries by name, and their SQL."""
+
+from . import curation
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "curation"]
