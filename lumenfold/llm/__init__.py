@@ -1,11 +1 @@
-"""Training-data operators. Nothing outside this folder imports it.
-
-Functions of this package run inside Python workers, so they are pickled by
-value: executors need no copy of the package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators. Nothing outside this folder imports it."""

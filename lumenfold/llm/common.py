@@ -1,66 +1,20 @@
-"""What the operators of this package share: reading, materialising, components."""
+"""What the operators of this package share: reading, bounded samples, memory for words."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
+from ..operators.graph import connected_components
+from ..storage import discard, materialize
+
+__all__ = ["Memo", "connected_components", "discard", "held_out", "materialize", "per_worker", "small_batches", "table", "training_sample"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lumenfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove_all)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lumenfold_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_lumenfold_path", None)
-    if path in _WRITTEN:
-        _remove(df.sparkSession, path)
-        _WRITTEN.remove(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_all() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in _WRITTEN if spark else ():
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds Arrow batches: texts can be long, and a batch is held whole by a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -133,56 +87,3 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .collect()
     )
     return [(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_h"], r["_id"]))]
-
-
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every end of an edge; root is the smallest node reachable.
-
-    Alternating large-star and small-star steps on the edge table. Each step takes a node's smallest
-    neighbour by a partially aggregated minimum and joins it back, so a hub's edges are never in one task
-    by necessity (the joins can be split when skewed). Rows never outgrow twice the edges. Edges with a null
-    end and loops only name their node. Any orderable key type. An empty table gives an empty table.
-    """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    now = materialize(_ordered(pairs))
-    state = _state(now)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        nxt = materialize(_small_star(_large_star(now)))
-        after = _state(nxt)
-        discard(now)
-        now = nxt
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    root = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
-def _state(df: DataFrame) -> tuple:
-    row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each edge once, from its larger end u to its smaller end v."""
-    return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    ).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """edges run from larger u to smaller v: all of u's smaller neighbours, and u, hang on the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
