@@ -1,6 +1,6 @@
 """The engine's queries by name, and their SQL."""
 
-from . import curation
+from . import curation, evaluation
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "curation"]
+__all__ = ["QUERIES", "SQL", "curation", "evaluation"]

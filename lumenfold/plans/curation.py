@@ -295,36 +295,53 @@ def cluster_share_class(t):
     return counts.withColumn("total", total).withColumn("size_class", kind)
 
 
-PAIRS = """
-WITH d AS (SELECT DISTINCT regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS k, min(doc_id) AS id FROM documents WHERE {where} GROUP BY 1),
-g AS (SELECT id, list_distinct(list_transform(range(1, length(k) - 2), lambda i: substr(k, i, 4))) AS t FROM d WHERE length(k) >= 4),
+WORDS5 = """
+WITH k AS (SELECT min(doc_id) AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents GROUP BY trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))),
+g AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM k WHERE len(w) >= 5),
 e AS (SELECT id, unnest(t) AS x, len(t) AS n FROM g),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS united FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id)
-SELECT a, b, shared::BIGINT AS shared, united::BIGINT AS united FROM p WHERE 5 * shared >= 3 * united"""
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS united FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
+s AS (SELECT a, b, shared::BIGINT AS shared, united::BIGINT AS united FROM p WHERE 5 * shared >= 4 * united)"""
 
 
-def shingled(t, where=None):
-    k = F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")
-    rows = t("benchmark").select(F.col("item_id").alias("doc_id"), "text") if where == "benchmark" else t("documents")
-    one = rows.select("doc_id", k.alias("k")).groupBy("k").agg(F.min("doc_id").alias("id"))
-    return one.select("id", keys.shingles(F.col("k"), 4).alias("t"))
+def word_sets(t):
+    """(id, t): distinct five-word shingles of distinct canonical texts; texts of fewer words can't be compared."""
+    one = keyed(t).groupBy("key").agg(F.min("doc_id").alias("id"))
+    words = F.filter(F.split("key", " "), lambda w: w != "")
+    gram = lambda w: lambda i: F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(5)])
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), gram(w))
+    return one.select("id", keys.bind(words, lambda w: F.when(F.size(w) >= 5, F.array_distinct(grams(w)))).alias("t"))
 
 
-@query("near_dup_pairs", None)
+@query("near_dup_pairs", WORDS5 + " SELECT * FROM s")
 def near_dup_pairs(t):
-    """All pairs of distinct canonical texts with Jaccard of code-point 4-grams of 3/5 or more. SQL's full self-join is too slow on whole tables: tests hold it to brute force."""
-    return similarity.similar_pairs(shingled(t), "id", "t", 3, 5)
+    """All pairs of distinct canonical texts with Jaccard of five-word shingles of 4/5 or more."""
+    return similarity.similar_pairs(word_sets(t), "id", "t", 4, 5)
 
 
-@query("near_dup_components", None)
+@query("near_dup_components", WORDS5.replace("WITH k", "WITH RECURSIVE k") + """,
+w AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a)
+SELECT a AS doc_id, min(b) AS component FROM r GROUP BY a""")
 def near_dup_components(t):
     """Components of the near-duplicate pairs: proposed merges, never applied."""
     from ..storage import materialize
 
-    pairs = materialize(similarity.similar_pairs(shingled(t), "id", "t", 3, 5))
+    pairs = materialize(similarity.similar_pairs(word_sets(t), "id", "t", 4, 5))
     return graph.connected_components(pairs, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("component"))
 
 
+@query("near_dup_items", """
+WITH d AS (SELECT regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS k, min(item_id) AS id FROM benchmark GROUP BY 1),
+g AS (SELECT id, list_distinct(list_transform(range(1, length(k) - 2), lambda i: substr(k, i, 4))) AS t FROM d WHERE length(k) >= 4),
+e AS (SELECT id, unnest(t) AS x, len(t) AS n FROM g),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS united FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a, b, shared::BIGINT AS shared, united::BIGINT AS united FROM p WHERE 5 * shared >= 2 * united""")
+def near_dup_items(t):
+    """All pairs of items with Jaccard of code-point 4-grams of 2/5 or more, exact by integers."""
+    k = F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")
+    one = t("benchmark").select("item_id", k.alias("k")).groupBy("k").agg(F.min("item_id").alias("id"))
+    return similarity.similar_pairs(one.select("id", keys.shingles(F.col("k"), 4).alias("t")), "id", "t", 2, 5)
+
+
 @query("multi_key_components", f"""
 WITH RECURSIVE k AS (SELECT doc_id, 't' || sha256({PLAIN}) AS x FROM documents UNION SELECT doc_id, 'f' || substr({PLAIN}, 1, 40) FROM documents),
 s AS (SELECT x, min(doc_id) AS m FROM k GROUP BY x), e AS (SELECT DISTINCT k.doc_id AS a, s.m AS b FROM k JOIN s USING (x)),
