@@ -1,6 +1,6 @@
 """The engine's queries by name, and their SQL."""
 
-from . import curation, evaluation
+from . import curation, evaluation, logs
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "curation", "evaluation"]
+__all__ = ["QUERIES", "SQL", "curation", "evaluation", "logs"]
