@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import bind
@@ -100,28 +100,28 @@ def param_names(query: Column) -> Column:
     return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1))
 
 
-def request_features(text: Column) -> dict[str, Column]:
-    """The 34 features of a request, by name. Patterns are counted part by part; an empty text has empty parts."""
-    p = request_parts(text)
-    path, query, body = p["path"], p["query"], p["body"]
-    surface = F.concat(path, query, body)
-    n = F.length(surface)
-    kind = media_type(p["headers"])
+def request_features(rows: DataFrame, request: Column, keep: list[str]) -> DataFrame:
+    """keep, and the 34 features of a request. Parts are computed once, in a projection of their own; patterns are counted part by part; an
+    empty text has empty parts."""
+    p = request_parts(request)
+    staged = rows.select(*keep, *[p[k].alias(f"_{k}") for k in ("method", "path", "query", "headers", "body")])
+    staged = staged.select("*", media_type(F.col("_headers")).alias("_kind"), F.concat("_path", "_query", "_body").alias("_surface"))
+    path, query, body, kind, surface = (F.col(f"_{k}") for k in ("path", "query", "body", "kind", "surface"))
     form = kind == "application/x-www-form-urlencoded"
     is_json = (kind == "application/json") | kind.endswith("+json")
-    shape = json_shape(F.when(is_json & (body != ""), body))
-    names = param_names(query)
     form_names = F.when(form & (body != ""), param_names(body)).otherwise(F.array().cast("array<string>"))
-    in_body = F.when(form, F.size(form_names)).when(is_json, F.coalesce(shape["members"], F.lit(0))).otherwise(0).cast("long")
-    every = F.concat(names, form_names)
-    repeated = F.size(F.filter(F.array_distinct(every), lambda x: F.size(F.filter(every, lambda y: y == x)) > 1))
+    staged = staged.select("*", json_shape(F.when(is_json & (body != ""), body)).alias("_shape"), param_names(query).alias("_names"), form_names.alias("_form"))
+    shape, names = F.col("_shape"), F.col("_names")
+    n = F.length(surface)
+    in_body = F.when(form, F.size("_form")).when(is_json, F.coalesce(shape["members"], F.lit(0))).otherwise(0).cast("long")
+    repeated = bind(F.concat("_names", "_form"), lambda every: F.size(F.filter(F.array_distinct(every), lambda x: F.size(F.filter(every, lambda y: y == x)) > 1)))
     encoded = sum((F.regexp_count(part, F.lit("%[0-9A-Fa-f]{2}")) for part in (path, query, body)), F.lit(0)).cast("long")
     symbols = F.regexp_count(surface, F.lit(PUNCTUATION)).cast("long")
     format_ = (
         F.when(body == "", "none").when(form, "form").when(is_json & shape["valid"], "json").when(is_json, "json_invalid").otherwise("other")
     )
     out = {
-        "method": p["method"],
+        "method": F.col("_method"),
         "path_length": F.length(path).cast("long"),
         "query_length": F.length(query).cast("long"),
         "body_length": F.length(body).cast("long"),
@@ -144,7 +144,8 @@ def request_features(text: Column) -> dict[str, Column]:
         "path_depth": F.size(F.filter(F.split(path, "/"), lambda s: s != "")).cast("long"),
         "json_depth": F.when(is_json, F.coalesce(shape["depth"], F.lit(0))).otherwise(0).cast("long"),
     }
-    return out | {f"{name}_count": count_of(surface, characters) for name, characters in SYMBOLS.items()}
+    out |= {f"{name}_count": count_of(surface, characters) for name, characters in SYMBOLS.items()}
+    return staged.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 
 def first_reason(rules: list[tuple[str, Column]], otherwise: str | None = None) -> Column:

@@ -1,6 +1,6 @@
 """The engine's queries by name, and their SQL."""
 
-from . import curation, evaluation, logs
+from . import breadth, curation, evaluation, logs, requests
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "curation", "evaluation", "logs"]
+__all__ = ["QUERIES", "SQL", "breadth", "curation", "evaluation", "logs", "requests"]
