@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..storage import discard, materialize
 
 
+#: A round's table is written by tasks of about so many rows: few edges make few files.
+EDGES_A_FILE = 200_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every end of an edge; root is the smallest node reachable.
 
@@ -20,10 +24,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     now = materialize(_ordered(pairs))
     state = _state(now)
+    files = 1 + 2 * state[0] // EDGES_A_FILE
     for _ in range(max_rounds):
         if not state[0]:
             break
-        nxt = materialize(_small_star(_large_star(now)))
+        nxt = materialize(_small_star(_large_star(now)).coalesce(files))
         after = _state(nxt)
         discard(now)
         now = nxt
