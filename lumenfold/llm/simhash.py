@@ -147,10 +147,10 @@ def links(codes: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
         level = [c for cs in children.values() for c in cs]
         small = max((full & ~m).bit_count() for m in level) <= (bucket - 1).bit_length()
         large = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket)
-        large = None if small else materialize(large.select("mask", "value"))
-        if large is None or large.isEmpty():
+        if small or large.isEmpty():
             parts.append(rows)
             break
+        large = materialize(large.select("mask", "value"))
         parts.append(rows.join(large, ["mask", "value"], "left_anti").select("fp", "mask", "value"))
         rows = materialize(rows.join(large, ["mask", "value"], "left_semi").select("fp", "mask"))
     routed = parts[0]
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
     """
     rows = materialize(fingerprints(docs, shingle, seed))
     codes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = materialize(links(codes, max_bits).distinct())
+    edges = materialize(links(codes, max_bits))
     classes = connected_components(edges)
     named = classes.join(codes, classes["node"] == codes["fp"]).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
