@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,20 +237,23 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, o
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
-    """docs, columns as they are, without the rows that leak an item."""
+    """docs, columns as they are, without the rows that leak an item. Only texts go to Python, only verdicts come back."""
     small_batches(docs.sparkSession, 256)
-    at = docs.columns.index("text")
     for shared in index_shards(items):
+        docs = docs.where(_clean(shared, threshold, overlap)("text"))
+    return docs
 
-        def run(batches, shared=shared):
-            matcher = per_worker(shared, _matcher)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[f[0] for f in matcher.leaks(batch.column(at).to_pylist(), threshold, overlap)]] = False
-                yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def _clean(shared, threshold: float, overlap: float):
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = per_worker(shared, _matcher)
+        for texts in columns:
+            keep = np.ones(len(texts), dtype=bool)
+            keep[[f[0] for f in matcher.leaks(texts.to_pylist(), threshold, overlap)]] = False
+            yield pa.array(keep)
+
+    return clean
 
 
 def op9(spark, sf_dir):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -91,45 +92,34 @@ def vote(x: np.ndarray, model: dict) -> np.ndarray:
     return np.clip((weight * labels[near]).sum(axis=1) / weight.sum(axis=1), 0, 1).astype(np.float64)
 
 
-def scorer(model: dict):
-    """Iterator of Arrow batches (whose column `at` is the text) -> (batch, scores)."""
-
-    def scores(batches, shared, at):
-        model, terms = per_worker(shared, lambda m: (m, Terms()))
-        for batch in batches:
-            x = np.array([counts(t, terms) for t in batch.column(at).to_pylist()], dtype=np.float32).reshape(-1, TERMS)
-            yield batch, vote(x, model)
-
-    return scores
-
-
 def quality(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score for every row; 1 is good. Null and empty texts score by the votes of the nearest (shortest) texts. Without labels all score 0.5."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(dict(model))  # TERMS x DIMS, and DIMS numbers a labelled text of the bounded sample
-    scores = scorer(model)
 
     def run(batches):
-        for batch, s in scores(batches, shared, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
+        model, terms = per_worker(shared, lambda m: (m, Terms()))
+        for batch in batches:
+            x = np.array([counts(t, terms) for t in batch.column(1).to_pylist()], dtype=np.float32).reshape(-1, TERMS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vote(x, model))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """docs whose texts score at least threshold, columns as they are: a narrow filter by a vectorised predicate."""
+    """docs whose texts score at least threshold, columns as they are. Only texts go to Python, only verdicts come back."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(dict(model))
-    scores = scorer(model)
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for batch, s in scores(batches, shared, at):
-            yield batch.filter(pa.array(s >= threshold))
+    @F.arrow_udf("boolean")
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, terms = per_worker(shared, lambda m: (m, Terms()))
+        for texts in columns:
+            yield pa.array(vote(np.array([counts(t, terms) for t in texts.to_pylist()], dtype=np.float32).reshape(-1, TERMS), model) >= threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good("text"))
 
 
 def trained(spark, docs: DataFrame, sf_dir: str, per_class: int = 1500) -> dict:

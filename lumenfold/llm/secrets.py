@@ -11,6 +11,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,28 +230,25 @@ def secret_scan(docs: DataFrame, trees: list, threshold: float = 0.5) -> DataFra
 
 
 def redact(docs: DataFrame, trees: list, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret replaced by mark, and n_chars, if there, counted anew where that changed a text. All rows and columns stay."""
+    """docs with each secret replaced by mark, and n_chars, if there, counted anew where that changed a text. All rows and columns stay.
+    Only texts go to Python, only changed ones come back."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            changed = set()
+    @F.arrow_udf("string")
+    def changed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            texts = column.to_pylist()
+            out = [None] * len(texts)
             for row, start, end, _, _ in reversed(scan(texts, trees, threshold)):
-                texts[row] = texts[row][:start] + mark + texts[row][end:]
-                changed.add(row)
-            if changed:
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, columns[at].type)
-                if chars is not None:
-                    counts = columns[chars].to_pylist()
-                    columns[chars] = pa.array([len(texts[i]) if i in changed else n for i, n in enumerate(counts)], columns[chars].type)
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield batch
-
-    return docs.mapInArrow(run, docs.schema)
+                texts[row] = out[row] = texts[row][:start] + mark + texts[row][end:]
+            yield pa.array(out, pa.string())
+
+    named = docs.withColumn("_new_text", changed("text"))
+    out = named.withColumn("text", F.coalesce("_new_text", "text"))
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("_new_text").isNotNull(), F.char_length("_new_text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op5(spark, sf_dir):
