@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ABSENT = "\u0001absent"
 
@@ -54,7 +55,7 @@ def shingles(text: Column, n: int = 4) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(bind(chars, grams)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_key(texts: pd.Series) -> pd.Series:
     """The exact canonical key: up to three rounds of percent-decoding with '+' as space, escapes, comments, white space, case."""
     import re
@@ -79,7 +80,7 @@ def canonical_key(texts: pd.Series) -> pd.Series:
     return texts.map(key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def family_key(texts: pd.Series) -> pd.Series:
     """Of canonical keys: digit runs 0, e-mail, address and host H, runs over three cut to three, no white space."""
     import re
@@ -101,7 +102,7 @@ def family_key(texts: pd.Series) -> pd.Series:
     return texts.map(key, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def equivalence_key(values: pd.Series) -> pd.Series:
     """NFC, then full case folding."""
     import unicodedata

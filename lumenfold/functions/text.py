@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .keys import bind
 
@@ -42,7 +43,7 @@ def longest_run(text: Column) -> Column:
     return F.coalesce(F.array_max(runs), F.lit(0)).cast("long")
 
 
-@F.pandas_udf("struct<valid: boolean, members: long, depth: long>")
+@F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("members", T.LongType()), T.StructField("depth", T.LongType())]))
 def json_shape(bodies: pd.Series) -> pd.DataFrame:
     """Validity, members (repeated keys counted) and nesting of JSON texts; over 1,000 levels is invalid."""
     import json
@@ -169,7 +170,8 @@ PROSE = [
     ("url_like", r"(?i)[a-z][a-z0-9+.-]*://|\bwww\."),
     ("digit_run_ge6", r"[0-9]{6,}"),
     ("phone_like", r"\+?[0-9]([ ().-]?[0-9]){7,}"),
-    ("dated_event", r"\b(1[0-9]{3}|20[0-9]{2})-(0[1-9]|1[0-2])-[0-3][0-9]\b"),
+    ("dated_event", r"(?i)\b(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?)\b\.?,?\s+([0-9]{1,2}(st|nd|rd|th)?,?\s+)?(1[0-9]{3}|20[0-9]{2})\b"),
+    ("possible_full_name", r"\b[A-Z][a-z]+(['’]s)?\s+[A-Z][a-z]+"),
 ]
 
 
@@ -217,7 +219,7 @@ def value_kind(value: Column) -> Column:
     return first_reason([(n, value.rlike(p)) for n, p in VALUE_KINDS], "text")
 
 
-@F.pandas_udf("struct<address: long, canonical: boolean>")
+@F.pandas_udf(T.StructType([T.StructField("address", T.LongType()), T.StructField("canonical", T.BooleanType())]))
 def numeric_ipv4(hosts: pd.Series) -> pd.DataFrame:
     """IPv4 hosts of one to four decimal, octal or hexadecimal parts, as URL parsers read them; null if it is none."""
     import re

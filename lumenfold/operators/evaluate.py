@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import hash60
 from ..functions.stats import confusion, mcnemar_exact, ratio
@@ -81,15 +82,13 @@ def holm(tests: DataFrame, key: str, p: str) -> DataFrame:
 
 def auc_ap(rows: DataFrame, label: Column, score: str) -> DataFrame:
     """AUC (ties count half) and average precision (tied scores move together). Rows are counted by distinct score before the running sums."""
-    by_score = rows.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
-    down = Window.partitionBy().orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = by_score.select("p", "n", F.sum("p").over(down).alias("cp"), F.sum("n").over(down).alias("cn"))
-    sums = run.agg(
-        F.sum("p").cast("double").alias("P"), F.sum("n").cast("double").alias("N"),
-        F.sum(F.col("n") * (F.col("cp") - F.col("p")) + 0.5 * F.col("p") * F.col("n")).alias("u"),
-        F.sum(F.col("p") * (F.col("cp") / (F.col("cp") + F.col("cn")))).alias("ap"),
-    )
-    return sums.select(F.col("P").cast("long").alias("positives"), F.col("N").cast("long").alias("negatives"), F.round(F.try_divide(F.col("u"), F.col("P") * F.col("N")), 6).alias("auc"), F.round(F.try_divide(F.col("ap"), F.col("P")), 6).alias("average_precision"))
+    by_score = rows.groupBy(F.col(score).alias("_s")).agg(F.count_if(label).alias("_p"), F.count_if(~label).alias("_n"))
+    down = Window.partitionBy().orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by_score.select("_p", "_n", F.sum("_p").over(down).alias("_cp"), F.sum("_n").over(down).alias("_cn"))
+    p, n, cp, cn = (F.col(c) for c in ("_p", "_n", "_cp", "_cn"))
+    sums = run.agg(F.sum(p).alias("_P"), F.sum(n).alias("_N"), F.sum(n * (cp - p) + 0.5 * p * n).alias("_u"), F.sum(p * (cp / (cp + cn))).alias("_ap"))
+    auc = ratio(F.col("_u"), F.col("_P").cast("double") * F.col("_N"))
+    return sums.select(F.col("_P").alias("positives"), F.col("_N").alias("negatives"), F.round(auc, 6).alias("auc"), F.round(ratio(F.col("_ap"), F.col("_P")), 6).alias("average_precision"))
 
 
 def calibration(rows: DataFrame, label: Column, p: Column, bins: int = 10) -> DataFrame:
@@ -150,7 +149,7 @@ def suppress(bins: DataFrame, key: str, n: str, k: int = 10) -> DataFrame:
     return bins.withColumn("_u", upto).withColumn("hidden", hide).select(key, F.when(~F.col("hidden"), F.col(n)).alias(n), "hidden")
 
 
-@F.pandas_udf("struct<low: double, high: double>")
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Exact 95 % bounds by bisection on the binomial tail, for tables of results."""
     import math
