@@ -73,8 +73,8 @@ class GrayIndex:
             ands, ors = np.bitwise_and.reduceat(ands, at), np.bitwise_or.reduceat(ors, at)
             self.levels.append((ands, ands | ~ors))
 
-    def search(self, queries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query's place, code's place in Gray order) of all within max_bits."""
+    def search(self, queries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, code's place in Gray order, differing bits) of all within max_bits."""
         pattern, mask = self.levels[-1]
         q = np.arange(len(queries))
         node = np.zeros(len(queries), dtype=np.int64)
@@ -91,33 +91,38 @@ class GrayIndex:
             differ = differ + np.bitwise_count((queries[q] ^ pattern[child]) & mask[child] & ~above)
             node = child
         keep = differ <= max_bits
-        return q[keep], node[keep]
+        return q[keep], node[keep], differ[keep]
 
 
-def forest(codes: np.ndarray, max_bits: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, its component's first member) of the graph of codes within max_bits."""
+def forest(codes: np.ndarray, max_bits: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span the components of the graph of codes within max_bits, nearest pairs first (a minimum spanning forest)."""
     index = GrayIndex(codes)
-    codes = index.codes
-    label = np.arange(len(codes))
-    for at in range(0, len(codes), block):
-        q, node = index.search(codes[at : at + block], max_bits)
-        a, b = label[q + at], label[node]
-        different = a != b
-        if not different.any():
-            continue
-        pairs = np.unique(np.stack([np.maximum(a, b)[different], np.minimum(a, b)[different]]), axis=1)
-        root = np.arange(len(codes))
-        for x, y in pairs.T.tolist():
-            while root[x] != x:
-                x = root[x]
-            while root[y] != y:
-                y = root[y]
-            root[max(x, y)] = min(x, y)
-        while (root[root] != root).any():
-            root = root[root]
-        label = root[label]
-    moved = np.flatnonzero(label != np.arange(len(codes)))
-    return codes[moved], codes[label[moved]]
+    codes, n = index.codes, len(codes)
+    found = []
+    for at in range(0, n, block):
+        q, node, differ = index.search(codes[at : at + block], max_bits)
+        once = node < q + at
+        found.append((q[once] + at, node[once], differ[once]))
+    first, second, differ = (np.concatenate(c) for c in zip(*found))
+    label, root, edges = np.arange(n), list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for bits in range(max_bits + 1):
+        at = np.flatnonzero(differ == bits)
+        la, lb = label[first[at]], label[second[at]]
+        _, some = np.unique(np.maximum(la, lb) * n + np.minimum(la, lb), return_index=True)
+        for i in at[some[la[some] != lb[some]]].tolist():
+            x, y = find(int(first[i])), find(int(second[i]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                edges.append(i)
+        label = np.array([find(int(x)) for x in label]) if edges else label
+    return codes[first[edges]], codes[second[edges]]
 
 
 def block_masks(free: int, blocks: int) -> list[int]:
@@ -191,14 +196,67 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
     rows = materialize(fingerprints(docs, shingle, seed))
     codes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = materialize(links(codes, max_bits))
-    classes = connected_components(edges)
-    named = classes.join(codes, classes["node"] == codes["fp"]).select("node", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of_code = codes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_code = _named(codes, "fp", connected_components(edges))
     return rows.join(of_code, "fp").select("doc_id", "fp", "component_id")
 
 
+def _named(nodes: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """(key, component_id) of nodes (key, least): the least id of a node's class."""
+    named = classes.join(nodes, classes["node"] == nodes[key]).select("node", "root", "least")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = named.join(least, "root").select(F.col("node").alias(key), "component_id")
+    return nodes.join(linked, key, "left").select(key, F.coalesce("component_id", "least").alias("component_id"))
+
+
+def shingle_hashes(text: str | None, n: int) -> list[int]:
+    """Distinct signed XXH64 of a text's n-word shingles; of the whole sequence if it is shorter."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1))} if words else set()
+    return sorted(x - (1 << 64) if x >> 63 else x for x in found)
+
+
+def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, component_id for every row: classes of texts that SimHash finds near and whose five-word shingles have Jaccard num/den or more.
+
+    Fingerprints within max_bits are candidates. In a bucket the nearest pairs that span its components are kept (not all pairs), and texts of one fingerprint hang on
+    one of them; every such pair is verified exactly on whole texts, and verified pairs make the classes. A pair beyond
+    max_bits that no chain joins is not found (the share found is measured in the README). Equal texts are always one class. Null and
+    empty texts, and texts without words, are alike. Texts whose ids are all null are only alike with equal ones.
+    """
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("th"))
+    small_batches(docs.sparkSession)
+
+    def marks(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
+
+    def sets(batches):
+        for batch in batches:
+            found = pa.array([shingle_hashes(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["th", "s"])
+
+    rows = materialize(hashed.mapInArrow(marks, "doc_id long, th string, fp long"))
+    texts = materialize(rows.groupBy("th", "fp").agg(F.min("doc_id").alias("least")))
+    heads = materialize(texts.groupBy("fp").agg(F.min("th").alias("head")))
+    near = materialize(links(heads, max_bits)).distinct()
+    a, b = (heads.select(F.col("fp").alias(e), F.col("head").alias(n)) for e, n in (("src", "a"), ("dst", "b")))
+    same = texts.join(heads, "fp").where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b"))
+    pairs = materialize(near.join(a, "src").join(b, "dst").select("a", "b").unionByName(same))
+    ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+    wanted = texts.join(ends, "th").where("least is not null").select(F.col("th").alias("_th"), "least")
+    chosen = hashed.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("_th"))).select("th", "text")
+    whole = materialize(chosen.mapInArrow(sets, "th string, s array<long>").dropDuplicates(["th"]))
+    both = pairs.join(whole.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    of_text = _named(texts.select("th", "least"), "th", connected_components(materialize(alike)))
+    return rows.join(of_text, "th").select("doc_id", "component_id")
+
+
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs without the documents whose class has a smaller id, and without second copies of the same row's id and text. Rows without an id stay."""
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
