@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..storage import discard, materialize
 
-__all__ = ["Memo", "connected_components", "discard", "held_out", "materialize", "per_worker", "small_batches", "table", "training_sample"]
+__all__ = ["Memo", "connected_components", "discard", "held_out", "materialize", "per_worker", "small_batches", "spare", "table", "training_sample"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds Arrow batches: texts can be long, and a batch is held whole by a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

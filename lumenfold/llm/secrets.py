@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, spare, table
 
 RUN = re.compile(r"(?<![A-Za-z0-9_\-+/])[A-Za-z0-9_\-+/]{16,}={0,2}")
 ASSIGNED = re.compile(r"[=:]>?[ \t]{0,3}[\"']?([^\s\"',;]{6,})")
@@ -243,10 +243,10 @@ def redact(docs: DataFrame, trees: list, threshold: float = 0.5, mark: str = "[S
                 texts[row] = out[row] = texts[row][:start] + mark + texts[row][end:]
             yield pa.array(out, pa.string())
 
-    named = docs.withColumn("_new_text", changed("text"))
-    out = named.withColumn("text", F.coalesce("_new_text", "text"))
+    new = spare(docs, "_new_text")
+    out = docs.withColumn(new, changed("text")).withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
-        n = F.when(F.col("_new_text").isNotNull(), F.char_length("_new_text")).otherwise(F.col("n_chars"))
+        n = F.when(F.col(new).isNotNull(), F.char_length(new)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_batches, table
+from .common import connected_components, materialize, small_batches, spare, table
 
 BUCKET = 2048
 FAN = 8
@@ -259,11 +259,12 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
 
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs without the documents whose class has a smaller id, and without second copies of the same row's id and text. Rows without an id stay."""
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = Window.partitionBy("doc_id", "_h").orderBy("_h")
-    kept = left.withColumn("_h", F.xxhash64("text")).withColumn("_again", F.row_number().over(again))
-    return kept.where((F.col("_again") == 1) | F.col("doc_id").isNull()).select(*[docs[c] for c in docs.columns])
+    gone_id, text_hash, place = (spare(docs, n) for n in ("_gone", "_text_hash", "_place"))
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    again = Window.partitionBy("doc_id", text_hash).orderBy(text_hash)
+    kept = left.withColumn(text_hash, F.xxhash64("text")).withColumn(place, F.row_number().over(again))
+    return kept.where((F.col(place) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def op1(spark, sf_dir):

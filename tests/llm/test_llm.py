@@ -1,0 +1,530 @@
+"""Each operator against a brute-force version, and on awkward inputs."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from oracle import assert_same, connect
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lumenfold.llm import decontaminate, licenses, packing, parsing, quality, registry, secrets, sharding, simhash, toxicity, urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _h long, fp string, _id long, rank int, th string, label string"
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names clash with those the operators use."""
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 1, "x", 2, 3, "y", "z") for i, t, s in rows], SCHEMA)
+
+
+LONG = " ".join(f"word{i % 977} tail{i % 31}" for i in range(30_000))
+ROWS = [(1, "one two three four five six. Seven eight!", "a"), (1, "one two three four five six. Seven eight!", "a"), (2, None, None), (3, "", "a"), (4, " \n\t", "b"), (None, "no id here", "a"), (5, LONG, "a"), (6, "x", "b"), (7, "ÀÉ ß漢字 😀", "a")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return docs_of(spark, ROWS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return docs_of(spark, [])
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def table(docs):
+    return docs.toPandas()
+
+
+# 1 SimHash
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    ones = Counter(b for g in grams for b in range(64) if xxhash.xxh64_intdigest(g, 42) >> b & 1)
+    return sum(1 << b for b in ones if 2 * ones[b] > len(grams))
+
+
+def plain_components(codes, ids, bits):
+    root = list(range(len(codes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(codes)):
+        for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= bits):
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    least = {}
+    for i, x in enumerate(ids):
+        r = find(i)
+        least[r] = x if least.get(r) is None else least[r] if x is None else min(x, least[r])
+    return [least[find(i)] for i in range(len(codes))]
+
+
+def test_simhash_matches_brute_force(spark, sf_dir, table):
+    got = registry.queries()["op1_simhash_near_dedup"](spark, sf_dir).toPandas().set_index("doc_id")
+    codes = np.array([plain_fingerprint(t) for t in table.text], dtype=np.uint64)
+    assert [got.fingerprint[i] for i in table.doc_id] == [f"{c:016x}" for c in codes.tolist()]
+    assert [got.component_id[i] for i in table.doc_id] == plain_components(codes, table.doc_id.tolist(), 2)
+
+
+@pytest.mark.parametrize("bits, bucket", [(1, 2048), (2, 4), (3, 8), (5, 2048)])
+def test_links_lose_none(spark, bits, bucket):
+    r = random.Random(bits)
+    codes = {r.getrandbits(64) for _ in range(150)}
+    for c in list(codes)[:80]:
+        for _ in range(3):
+            c ^= sum(1 << b for b in r.sample(range(64), r.randint(1, bits)))
+            codes.add(c)
+    codes = np.array(sorted(codes), dtype=np.uint64)
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    edges = [(np.int64(a).view(np.uint64), np.int64(b).view(np.uint64)) for a, b in simhash.links(df, bits, bucket).collect()]
+    assert all(np.bitwise_count(a ^ b) <= bits for a, b in edges)
+    root = {int(c): int(c) for c in codes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(int(a)), find(int(b))
+        root[max(x, y)] = min(x, y)
+    assert [find(int(c)) for c in codes] == plain_components(codes, codes.tolist(), bits)
+
+
+def test_gray_index_finds_all():
+    r = np.random.default_rng(1)
+    codes = np.unique(np.concatenate([r.integers(0, 1 << 63, 300, dtype=np.uint64), np.arange(200, dtype=np.uint64)]))
+    index = simhash.GrayIndex(codes)
+    q, node, differ = index.search(codes, 3)
+    got = {(int(codes[a]), int(index.codes[b])): int(d) for a, b, d in zip(q, node, differ)}
+    want = {(int(a), int(b)): int(np.bitwise_count(a ^ b)) for a in codes for b in codes if np.bitwise_count(a ^ b) <= 3}
+    assert got == want
+
+
+def test_simhash_awkward(awkward, empty):
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(awkward).collect()}
+    assert {(2, 2), (3, 2), (4, 2)} <= got and simhash.near_duplicates(awkward).count() == len(ROWS)
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.first_of_each(awkward, simhash.similar_texts(awkward))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "5", "6", "7", "None"]
+    assert kept.columns == awkward.columns and simhash.similar_texts(empty).count() == 0
+
+
+def test_similar_texts(spark, docs, table):
+    got = dict(simhash.similar_texts(docs).collect())
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in zip(table.doc_id, table.text)}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert pairs and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.9
+    gone = [i for i in ids if got[i] != i]
+    assert all(any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in ids if j != i) for i in gone)
+
+
+# 2 sharding
+
+
+def test_sharding_follows_its_law(spark, sf_dir, table):
+    got = registry.queries()["op2_stratified_sharding"](spark, sf_dir).toPandas()
+    assert sorted(got.doc_id) == sorted(table.doc_id)
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 40 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    text = dict(zip(table.doc_id, table.text))
+    for r in got.to_dict("records"):
+        assert (r["text_crc32"], r["size"]) == (zlib.crc32(text[r["doc_id"]].encode()), 16 + len(text[r["doc_id"]].encode()))
+
+
+def test_sharding_order_matches_brute_force(spark, table, docs):
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleave(docs, shards=7, seed=3).collect()}
+    h = {i: int(hashlib.md5(f"3:{i}".encode()).hexdigest()[:15], 16) for i in table.doc_id}
+    order = []
+    for _, g in table.groupby("source"):
+        for k, i in enumerate(sorted(g.doc_id, key=h.get), 1):
+            order.append(((2 * k - 1) / (2 * len(g)), h[i], i))
+    n = len(order)
+    want = {i: (p * 7 // n, p - -(-(p * 7 // n) * n // 7)) for p, (_, _, i) in enumerate(sorted(order))}
+    assert got == want
+
+
+def test_shards_match_the_mixture(spark):
+    rows = [(i, "t", "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(3000)]
+    got = sharding.interleave(docs_of(spark, rows), shards=10).toPandas()
+    counts = got.groupby(["shard", "source"]).size().unstack(fill_value=0)
+    assert ((counts.max() - counts.min()) <= 2).all()
+
+
+def test_sharding_awkward(awkward, empty):
+    got = sharding.interleave(awkward, shards=4).toPandas()
+    assert len(got) == len(ROWS) and got[got.doc_id == 2]["size"].tolist() == [16]
+    assert sharding.interleave(empty, shards=4).count() == 0
+
+
+# 3 toxicity, 4 quality
+
+
+def test_toxicity_learns_from_document_labels(spark):
+    r = random.Random(4)
+    word = lambda: r.choice("alder birch cedar dogwood elm fir gum hazel iris juniper".split())
+    sample = []
+    for i in range(240):
+        sentences = [" ".join(word() for _ in range(8)) for _ in range(6)]
+        if i % 2:
+            sentences[r.randrange(6)] += " " + r.choice(["vilewort", "crudbane"])
+        sample.append((". ".join(sentences) + ".", i % 2))
+    model = toxicity.train(sample[:160])
+    scored = toxicity.toxicity(docs_of(spark, [(i, t, "a") for i, (t, _) in enumerate(sample[160:])]), model).toPandas().sort_values("doc_id")
+    labels = np.array([y for _, y in sample[160:]])
+    assert ((scored.score >= 0.5).to_numpy() == (labels == 1)).mean() >= 0.95
+    for row in scored[scored.score >= 0.5].itertuples():
+        t = sample[160 + row.doc_id][0]
+        assert any(w in t[int(row.worst_start) : int(row.worst_end)] for w in ("vilewort", "crudbane"))
+
+
+def test_toxicity_awkward(awkward, empty):
+    model = {"bias": -3.0, "weights": {}}
+    got = toxicity.toxicity(awkward, model).toPandas()
+    assert len(got) == len(ROWS) and got[got.doc_id == 2].score.tolist() == [0.0] and got.score.between(0, 1).all()
+    assert toxicity.toxicity(empty, model).count() == 0
+    assert toxicity.train([])["weights"] == {} and toxicity.train([("a b", 1)])["weights"] == {}
+
+
+def test_noisy_or():
+    score, found = toxicity.score_sentences("a. b! c\n", 0.0, toxicity.Weights({"weights": {}}))
+    assert abs(score - (1 - 0.5**3)) < 1e-12 and [f[1:] for f in found] == [(0, 1), (2, 4), (5, 7)]
+
+
+def test_quality_votes_exactly(spark, docs, table, sf_dir):
+    model = quality.trained(spark, docs, sf_dir)
+    got = dict(quality.quality(docs, model).collect())
+    terms, k = quality.Terms(), min(model["neighbours"], len(model["labels"]))
+    for i, t in list(zip(table.doc_id, table.text))[:60]:
+        v = quality.counts(t, terms) @ model["basis"]
+        cos = model["vectors"] @ (v / max(np.linalg.norm(v), 1e-9))
+        kth = np.sort(cos)[-k]
+        sure, edge = np.flatnonzero(cos > kth + 1e-5), np.flatnonzero(abs(cos - kth) <= 1e-5)
+        if len(sure) + len(edge) == k:
+            near = np.concatenate([sure, edge])
+            w = np.maximum(cos[near], 1e-3) ** 4
+            assert abs(got[i] - (w * model["labels"][near]).sum() / w.sum()) < 1e-3
+
+
+def test_quality_held_out(spark):
+    base = "/root/testdata/sf0.1"
+    got = registry.queries()["op4_quality_knn"](spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] >= 0.97
+
+
+def test_toxicity_held_out(spark):
+    base = "/root/testdata/sf0.1"
+    got = registry.queries()["op3_toxicity_mil"](spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] >= 0.97
+
+
+def test_quality_awkward(awkward, empty):
+    model = quality.fit([("good text here", 1), ("| | |", 0), ("", 0)])
+    got = quality.quality(awkward, model).toPandas()
+    assert len(got) == len(ROWS) and got.score.between(0, 1).all() and quality.quality(empty, model).count() == 0
+    assert quality.keep_good(awkward, model, 0.0).count() == len(ROWS)
+    assert quality.quality(awkward, quality.fit([])).toPandas().score.eq(0.5).all()
+
+
+def test_held_out_labels_teach_nothing(spark, sf_dir, docs):
+    from lumenfold.llm.common import training_sample
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = training_sample(docs, labels, "quality", 10_000)
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sample and sample == training_sample(docs, flipped, "quality", 10_000)
+
+
+# 5 secrets
+
+
+def test_forest_on_other_findings():
+    trees = secrets.train()
+    rows = secrets.labelled_findings(1000, 77)
+    forest = secrets.Forest()
+    forest.nodes = trees
+    right = (forest.score(np.array([secrets.features(*f[:4]) for f in rows])) >= 0.5) == np.array([f[4] for f in rows], dtype=bool)
+    assert right.mean() >= 0.97
+
+
+def test_secrets_found_and_left(spark):
+    key = "AKIA" + "Q7" * 8
+    rows = [(1, f"start {key} end", "a"), (2, 'x token = "' + "0a1b2c3d" * 5 + '" y', "a"), (3, "commit " + "0a1b2c3d" * 5 + " merged", "a"), (4, "see /usr/share/common-files/list2 now", "a"), (5, "password=b7db7aa4a5fcc78305 z", "a")]
+    d, trees = docs_of(spark, rows), secrets.train()
+    texts = {i: t for i, t, _ in rows}
+    found = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in secrets.secret_scan(d, trees).collect()}
+    assert found == {1: key, 2: "0a1b2c3d" * 5, 5: "b7db7aa4a5fcc78305"}
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(d, trees).collect()}
+    assert clean[1] == ("start [SECRET] end", 18) and clean[3] == (rows[2][1], len(rows[2][1]))
+
+
+def test_secrets_awkward(awkward, empty):
+    trees = secrets.train()
+    assert secrets.secret_scan(awkward, trees).count() == 0 and secrets.secret_scan(empty, trees).count() == 0
+    kept = secrets.redact(awkward, trees)
+    assert kept.columns == awkward.columns and kept.exceptAll(awkward).count() == 0 and kept.count() == len(ROWS)
+
+
+# 6 locally consistent parsing
+
+
+def phrases(text, level):
+    symbols, text_of = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), np.zeros(len(text), dtype=np.int32)
+    for _ in range(level):
+        symbols, text_of = parsing.parse(symbols, text_of)
+    return symbols.tolist()
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij klmnop", "é漢a "])
+def test_equal_substrings_share_interior_phrases(alphabet):
+    r = random.Random(len(alphabet))
+    text = lambda n: "".join(r.choice(alphabet) for _ in range(n))
+    shared = text(1500)
+    a, b = phrases(text(37) + shared + text(11), 2), phrases(text(502) + shared + text(203), 2)
+    inside = [tuple(a[i : i + 5]) for i in range(15, len(a) - 20)]
+    there = {tuple(b[i : i + 5]) for i in range(len(b))}
+    assert np.mean([x in there for x in inside]) > 0.9
+
+
+def test_phrases_are_short_and_labels_differ():
+    r = random.Random(2)
+    x = np.array([r.randrange(1 << 20) for _ in range(5000)], dtype=np.uint32)
+    first = np.zeros(len(x), dtype=bool)
+    first[0] = True
+    label = parsing.coin_labels(x, first)
+    assert label.max() < 6 and (label[1:] != label[:-1]).all()
+    assert 2 < 5000 / len(phrases("".join(map(chr, (x % 5000 + 32).tolist())), 1)) < 6
+    assert len(phrases("a" * 100_000, 1)) == 1
+
+
+def test_fingerprints(spark, sf_dir, table):
+    got = registry.queries()["op6_document_fingerprints"](spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
+    rows = table.sort_values("doc_id")
+    texts = rows.text.tolist()
+    for i, (t, row) in enumerate(zip(texts, got.itertuples())):
+        after = texts[(i + 1) % len(texts)]
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert (row.n_chars, row.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert t != after or row.near_next == 1
+    assert len({(t, f) for t, f in zip(texts, got.fingerprint)}) == len(set(texts))
+    assert (got.near_edited > got.near_next).mean() > 0.97
+
+
+def test_fingerprints_awkward(awkward, empty):
+    got = parsing.fingerprints(awkward, 5).toPandas()
+    assert len(got) == len(ROWS)
+    assert set(got[got.doc_id.isin([2, 3])].fingerprint) == {"::"}
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = Counter()
+    for (i, t, _), (_, u, _) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((None if pd.isna(i) else int(i), s) for i, s in zip(got.doc_id, got.edited_sha256)) == want
+    assert parsing.fingerprints(empty, 3).count() == 0
+
+
+# 7 urls
+
+
+def test_url_rules(spark):
+    rows = {
+        "http://a.net/": "block", "http://net/": "block", "http://anet/": "allow", "http://a.net": "allow", "https://X.Example.NET/en/1": "allow", "https://example.net/fr/": "block",
+        "http://sub.example.com/de/x": "block", "http://example.com/en/": "allow", "http://w.org/fr/": "allow", "nothing": "allow", None: "allow", "http://u@a.net:80/": "allow",
+    }
+    pages = spark.createDataFrame([(i, u, "", "x") for i, u in enumerate(rows)], "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, urls.RULES).collect()}
+    assert got == dict(enumerate(rows.values()))
+
+
+def test_blocks_reach_aliases(spark):
+    canonical = lambda u: f'<head><link rel="canonical" href="{u}"></head>'
+    rows = [
+        (1, "http://a.info/1", canonical("http://bad.net/x")), (2, "http://b.info/2", canonical("http://a.info/1")), (3, "http://c.info/3", '<meta http-equiv="refresh" content="0;url=/4">'),
+        (4, "http://c.info/4", ""), (5, "http://example.net/en/5", canonical("http://b.info/2")), (6, "http://d.info/6", None), (7, "http://b.info/2", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["class_url"]) for r in urls.url_filter(pages, urls.RULES).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
+    assert got[4][1] == got[3][1] == "http://c.info/3"
+    none = pages.where("false")
+    assert urls.url_filter(none, urls.RULES).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, sf_dir, name):
+    assert_same(registry.queries()[name](spark, sf_dir), connect(sf_dir), registry.oracle_sql()[name])
+
+
+# 8 licences
+
+
+MIT = "Copyright 2020 Someone.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this.\nThe above copyright notice and this permission notice shall be included in all copies.\nThe software is provided \"as is\", without warranty of any kind."
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (MIT, "MIT"), ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("GNU General Public License, version 2 or any later version", "GPL-2.0-or-later"), ("All rights reserved.", "All-Rights-Reserved"),
+        ("Licensed under the Foo Terms.", "Unknown-License"), ("We licensed songs.", ""), ("Released under the MIT License. Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0,MIT"), ("", ""), (None, ""),
+    ],
+)
+def test_licences(spark, text, want):
+    got = licenses.license_scan(docs_of(spark, [(1, text, "a")])).first()
+    assert ",".join(got["licenses"]) == want
+
+
+def test_licences_awkward(awkward, empty):
+    assert licenses.license_scan(awkward).where("status <> 'none'").count() == 0 and licenses.license_scan(empty).count() == 0
+
+
+# 9 decontamination
+
+
+def test_leaks(spark, sf_dir, docs, table):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    norm = lambda t: f" {' '.join(decontaminate.words_of(t))} "
+    want = {(d, i) for i, x in items.collect() for d, t in zip(table.doc_id, map(norm, table.text)) if norm(x) in t}
+    assert want and want <= got
+    for d, i in got - want:
+        q = [set(decontaminate.shingles(decontaminate.words_of(p))) for p in decontaminate.split_item(dict(items.collect())[i])]
+        have = set(decontaminate.shingles(decontaminate.words_of(table.text[table.doc_id == d].iloc[0])))
+        assert all(len(p & have) >= 0.8 * len(p) for p in q)
+
+
+def test_retrieval_is_complete():
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(5, 30))), "") for i in range(90)]
+    df = Counter(w for _, t, _ in items for w in set(t.split()))
+    index = decontaminate.Index(items, df, len(items), 15.0)
+    sets = [sorted({index.terms[r.choice(sorted(index.terms))] for _ in range(r.randint(3, 40))}) for _ in range(200)]
+    passages, terms = np.array([p for p, s in enumerate(sets) for _ in s]), np.array([t for s in sets for t in s])
+    got = {(int(p), int(k)) for a, b, _ in index.retrieve(passages, terms, 0.4) for p, k in zip(a, b)}
+    scores = np.array([index.impact[s].sum(axis=0) for s in sets])
+    assert {(p, k) for p, k in zip(*np.nonzero(scores >= 0.4 + 1e-5))} <= got <= {(p, k) for p, k in zip(*np.nonzero(scores >= 0.4 - 1e-5))}
+
+
+def test_many_shards_and_awkward(spark, awkward, empty):
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}. eta{i} theta{i} iota{i} kappa{i} lambda{i} mu{i}", "x") for i in range(1200)] + [(5000, None, "x"), (5001, "", "x"), (5002, "...", "x")], "item_id long, text string, doc_id string")
+    d = docs_of(spark, [(i, f"before alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}. eta{i} theta{i} iota{i} kappa{i} lambda{i} mu{i} after " + LONG[: i * 10], "a") for i in range(0, 1200, 100)])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, items).collect()} == {(i, i) for i in range(0, 1200, 100)}
+    assert decontaminate.contaminated(awkward, items).count() == 0 and decontaminate.contaminated(empty, items).count() == 0
+    assert decontaminate.contaminated(d, items.where("false")).count() == 0
+    kept = decontaminate.without_leaks(awkward, items)
+    assert kept.count() == len(ROWS) and kept.columns == awkward.columns
+    assert decontaminate.without_leaks(d, items).count() == 0
+
+
+# 10 packing
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_tokens_match_the_library(vocabulary):
+    from tokenizers import Tokenizer
+
+    plain, mine = Tokenizer.from_file(vocabulary), packing.Tokens(open(vocabulary, encoding="utf-8").read())
+    r = random.Random(3)
+    alphabet = "aBcÉéñÑßΣςσİıǅ ﬁ́̈e n12٣½'s't.,!?|#  \n\t\r\x1c  漢字かな‍😀<|endoftext|>ªº"
+    for _ in range(4000):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 14)))
+        assert np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() == mine.ids(t), t
+
+
+def check_packing(rows, capacity):
+    for _, g in rows.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= capacity
+
+
+def test_packing(spark, sf_dir, table, vocabulary):
+    from tokenizers import Tokenizer
+
+    got = registry.queries()["op10_best_fit_packing"](spark, sf_dir).toPandas()
+    plain, want = Tokenizer.from_file(vocabulary), {}
+    for i, t in zip(table.doc_id, table.text):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        for k, s in enumerate(range(0, len(ids), 4096)):
+            want[i, k] = (s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want
+    check_packing(got, 4096)
+    assert got.sequence_id.nunique() <= 1.02 * -(-got.length.sum() // 4096) + 1
+
+
+def test_packing_awkward(awkward, empty, vocabulary):
+    got = packing.pack(awkward, tokenizer_path=vocabulary, capacity=64).toPandas()
+    check_packing(got, 64)
+    assert got[got.doc_id == 2][["piece", "length"]].values.tolist() == [[0, 1]] and len(got[got.doc_id == 1]) == 2
+    assert packing.pack(empty, tokenizer_path=vocabulary).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_keeps_pieces_and_never_adds_bins(seed):
+    r = random.Random(seed)
+    lengths = Counter(r.randint(1, 100) if seed % 2 else r.choice([34, 33, 50, 51, 26, 75]) for _ in range(r.randint(1, 400)))
+    bins = packing.best_fit_decreasing(lengths, 100)
+    before = bins.count()
+    squares = sum(sum(c) ** 2 * n for c, n in bins.of.items())
+    packing.local_search(bins)
+    assert Counter(x for c, n in bins.of.items() for _ in range(n) for x in c) == lengths and all(sum(c) <= 100 for c in bins.of)
+    assert bins.count() <= before and sum(sum(c) ** 2 * n for c, n in bins.of.items()) >= squares
+
+
+def test_exchanges():
+    assert packing.exchange((60, 30), (10, 5), 100) == ((), (10,))
+    assert packing.exchange((60, 35), (40, 10), 100) == ((35,), (40,))
+    assert packing.exchange((60, 30), (20, 20), 100) == ((30,), (20, 20))
+    poor = packing.Bins(100)
+    for c in ((60, 35), (60, 35), (40, 5), (40, 5)):
+        poor.add(c, 1)
+    assert packing.local_search(poor).count() <= 3
+
+
+# pipeline
+
+
+def test_pipeline(spark, sf_dir, docs):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
+    now = docs
+    from lumenfold.llm.common import materialize
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = materialize(stage(spark, now, sf_dir))
+        assert after.columns == docs.columns and after.count() <= now.count()
+        now = after
+    assert not now.where("text rlike 'AKIA[A-Z0-9]{16}|password=[0-9a-f]{18}'").count()
+    assert now.select("text").distinct().count() == now.count()
+    items = [decontaminate.words_of(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    texts = [f" {' '.join(decontaminate.words_of(r['text']))} " for r in now.collect()]
+    assert not any(f" {' '.join(i)} " in t for i in items for t in texts)
+    packed = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert set(packed.doc_id) == {r["doc_id"] for r in now.collect()}
+    check_packing(packed, 4096)
