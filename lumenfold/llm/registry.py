@@ -22,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_stratified_sharding": sharding.oracle(),
         "op7_url_filter": urls.oracle(),
         "op8_license_scan": licenses.oracle(),
     }
