@@ -94,6 +94,6 @@ WITH b AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGI
   list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: (('0x' || x)::BIGINT >> k) & 1)))) AS bits FROM documents),
 c AS (SELECT doc_id, source, size, h, xor(list_reduce(bits, lambda a, x: xor(a >> 1, 3988292384 * xor(a & 1, x))), 4294967295)::BIGINT AS crc FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc, size) AS k, count(*) OVER (PARTITION BY source) AS n FROM c),
-p AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1)::DOUBLE / (2 * n), h, doc_id, crc, size, source) - 1 AS at, count(*) OVER () AS total FROM r),
-s AS (SELECT *, at * {shards} // total AS shard FROM p)
-SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INT AS shard, (at - (shard * total + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, source FROM s"""
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1)::DOUBLE / (2 * n), h, doc_id, crc, size, source) - 1 AS pos, count(*) OVER () AS total FROM r),
+s AS (SELECT *, pos * {shards} // total AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INT AS shard, (pos - (shard * total + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, source FROM s"""
