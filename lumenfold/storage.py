@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one temporary folder only where that is unset, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="lumenfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="lumenfold-"))
+        path = _OWN[0]
     return path.rstrip("/")
 
 
