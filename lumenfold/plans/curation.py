@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import curate, gates, graph, similarity, split
+from ..storage import materialize
 from .registry import KEYED, LABELLED, PLAIN, L, R, h60, query, split_sql
 
 SALT = "v1"
@@ -36,7 +37,8 @@ SELECT 'canonical', a.split, count(*)::BIGINT, count(DISTINCT a.key)::BIGINT, co
 FROM s a WHERE a.split <> 'train' GROUP BY ALL""")
 def split_leakage_gate(t):
     """Rows of test and val whose text, or canonical key, is also in train, when rows are split by id."""
-    rows = keyed(t).withColumn("split", keys.split_of(F.col("doc_id").cast("string"), "id"))
+    rows = keyed(t).select(keys.split_of(F.col("doc_id").cast("string"), "id").alias("split"), F.sha2("text", 256).alias("text"), F.sha2("key", 256).alias("key"))
+    rows = materialize(rows)  # texts are scanned once; what is read again is three short columns
     out = [gates.leakage(rows, c, "split", "train").select(F.lit(n).alias("check_name"), "*") for n, c in (("exact", "text"), ("canonical", "key"))]
     return out[0].unionByName(out[1])
 
@@ -68,7 +70,7 @@ WITH r AS (SELECT lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS
 SELECT lang, CASE WHEN e > 1 THEN 'exact_duplicate' WHEN c > 1 THEN 'canonical_duplicate' ELSE 'accepted' END AS reason, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
 def canonical_dedup_ledger(t):
     """Accepted, exact duplicate or canonical duplicate; the reasons add up. Keepers come from partial minima, not windows over texts."""
-    rows = keyed(t).select("doc_id", "lang", F.sha2("text", 256).alias("e"), F.sha2("key", 256).alias("c"))
+    rows = materialize(keyed(t).select("doc_id", "lang", F.sha2("text", 256).alias("e"), F.sha2("key", 256).alias("c")))
     first_e = rows.groupBy("e").agg(F.min("doc_id").alias("me"))
     first_c = rows.groupBy("c").agg(F.min("doc_id").alias("mc"))
     reason = F.when(F.col("doc_id") != F.col("me"), "exact_duplicate").when(F.col("doc_id") != F.col("mc"), "canonical_duplicate").otherwise("accepted")
@@ -81,7 +83,7 @@ SELECT doc_id, source, first_value(doc_id) OVER w AS representative, first_value
 WINDOW w AS (PARTITION BY key ORDER BY p, doc_id)""")
 def dedup_precedence(t):
     """Every row with the representative of its key: of the source of highest precedence, then the smallest id."""
-    rows = keyed(t).select("doc_id", "source", F.sha2("key", 256).alias("h"), F.expr("cast(substr(source, 4) as int)").alias("p"))
+    rows = materialize(keyed(t).select("doc_id", "source", F.sha2("key", 256).alias("h"), F.expr("cast(substr(source, 4) as int)").alias("p")))
     best = curate.keep_one(rows, ["h"], ["p", "doc_id"], ["doc_id", "source"]).select("h", F.col("doc_id").alias("representative"), F.col("source").alias("rep_source"))
     return rows.join(best, "h").select("doc_id", "source", "representative", "rep_source", (F.col("doc_id") != F.col("representative")).alias("excluded"))
 
@@ -323,8 +325,6 @@ w AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r AS (SELECT a, b FROM w UNI
 SELECT a AS doc_id, min(b) AS component FROM r GROUP BY a""")
 def near_dup_components(t):
     """Components of the near-duplicate pairs: proposed merges, never applied."""
-    from ..storage import materialize
-
     pairs = materialize(similarity.similar_pairs(word_sets(t), "id", "t", 4, 5))
     return graph.connected_components(pairs, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("component"))
 
@@ -349,7 +349,7 @@ w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b FROM w UNI
 SELECT a AS doc_id, min(b) AS component FROM r GROUP BY a""")
 def multi_key_components(t):
     """Documents that share a canonical text, or its first 40 characters, hang together."""
-    rows = keyed(t).select("doc_id", F.sha2("key", 256).alias("text_key"), F.substring("key", 1, 40).alias("family_key"))
+    rows = materialize(keyed(t).select("doc_id", F.sha2("key", 256).alias("text_key"), F.substring("key", 1, 40).alias("family_key")))
     return graph.multi_key_components(rows, "doc_id", ["text_key", "family_key"])
 
 
