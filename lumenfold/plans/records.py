@@ -231,3 +231,63 @@ def encoding_signals(t):
     """Encodings that hide characters, in urls with some planted; tests hold the function to hand-written cases."""
     planted = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("%2527"))).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("%00%u0041"))).otherwise(F.col("url"))
     return t("pages").groupBy(F.array_join(protocol.encoding_signals(planted), ",").alias("signals")).agg(F.count(F.lit(1)).alias("n"))
+
+
+LONG_KEYS = ["all rights reserved", "general public license", "apache license"]
+
+
+@query("benign_oracle", """
+WITH k AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS key FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS key FROM documents)
+SELECT verdict, count(*)::BIGINT AS n FROM (SELECT CASE WHEN key IN (SELECT key FROM k) THEN 'exact' """ + " ".join(f"WHEN contains(key, '{k}') THEN 'contains: {k}'" for k in sorted(LONG_KEYS)) + """ WHEN regexp_matches(key, '(password|token) ?= ?') THEN 'signature' ELSE 'free' END AS verdict FROM d) GROUP BY verdict""")
+def benign_oracle(t):
+    """Exact key in the set, else the first long key (sorted) that is contained, else a signature."""
+    from ..functions.keys import plain_key
+
+    known = t("benchmark").select(F.sha2(plain_key(F.col("text")), 256).alias("h")).distinct().withColumn("hit", F.lit(True))
+    d = t("documents").select(plain_key(F.col("text")).alias("key")).withColumn("h", F.sha2("key", 256)).join(known, "h", "left")
+    rules = [("exact", F.coalesce("hit", F.lit(False))), *[(f"contains: {k}", F.contains("key", F.lit(k))) for k in sorted(LONG_KEYS)], ("signature", F.col("key").rlike("(password|token) ?= ?"))]
+    return d.groupBy(first_reason(rules, "free").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("label_combination", """
+WITH r AS (SELECT conv_id, min(CASE WHEN text IS NULL OR text = '' THEN 0 WHEN contains(text, '@') THEN 1 WHEN contains(text, '!!') THEN 2 ELSE 9 END) AS k FROM conversations GROUP BY conv_id)
+SELECT CASE k WHEN 0 THEN 'excluded_empty' WHEN 1 THEN 'excluded_contact' WHEN 2 THEN 'BLOCK' ELSE 'ALLOW' END AS label, count(*)::BIGINT AS n FROM r GROUP BY 1""")
+def label_combination(t):
+    """A row's leaves to one label: the first exclusion in a frozen order, else an attack, else ALLOW."""
+    rank = F.when(F.coalesce("text", F.lit("")) == "", 0).when(F.contains("text", F.lit("@")), 1).when(F.contains("text", F.lit("!!")), 2).otherwise(9)
+    r = t("conversations").groupBy("conv_id").agg(F.min(rank).alias("k"))
+    label = F.when(F.col("k") == 0, "excluded_empty").when(F.col("k") == 1, "excluded_contact").when(F.col("k") == 2, "BLOCK").otherwise("ALLOW")
+    return r.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("trial_classes", """
+SELECT class, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_id % 10 = 0 THEN 'CONTROL' WHEN event_type = 'error' AND value < 5 THEN 'INFRA_ERROR' WHEN event_type = 'logout' THEN 'OUT_OF_SCOPE' WHEN event_id % 7 = 0 THEN 'MODEL_INVALID' WHEN value >= 20 THEN 'BLOCK' ELSE 'ALLOW' END AS class FROM events) GROUP BY class""")
+def trial_classes(t):
+    e = F.expr
+    kind = first_reason([("CONTROL", e("event_id % 10 = 0")), ("INFRA_ERROR", e("event_type = 'error' and value < 5")), ("OUT_OF_SCOPE", e("event_type = 'logout'")), ("MODEL_INVALID", e("event_id % 7 = 0")), ("BLOCK", e("value >= 20"))], "ALLOW")
+    return t("events").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flow_assembly", """
+SELECT user_id, count(*)::BIGINT AS lines, min(event_id) AS opened, max_by(event_type, event_id) AS last_type, round(max_by(value, event_id), 6) AS last_value FROM events GROUP BY user_id""")
+def flow_assembly(t):
+    """Lines of one tag assembled: the first opens, of later ones the last wins."""
+    return t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("lines"), F.min("event_id").alias("opened"), F.max_by("event_type", "event_id").alias("last_type"), R(F.max_by("value", "event_id")).alias("last_value"))
+
+
+@query("census_differences", """
+WITH a AS (SELECT source, count(*)::BIGINT AS n FROM documents GROUP BY 1), b AS (SELECT source, count(*)::BIGINT AS n FROM documents WHERE doc_id % 50 <> 7 GROUP BY 1)
+SELECT a.source, a.n AS first, b.n AS second FROM a JOIN b USING (source) WHERE a.n IS DISTINCT FROM b.n""")
+def census_differences(t):
+    """Keys on both sides whose counts differ, null-safe."""
+    d = t("documents")
+    c = d.groupBy("source").agg(F.count(F.lit(1)).alias("first"), F.count_if(F.col("doc_id") % 50 != 7).alias("second"))
+    return c.where((F.col("second") > 0) & ~F.col("first").eqNullSafe(F.col("second")))
+
+
+@query("peak_of_peaks", """
+WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(value) AS peak FROM events GROUP BY ALL) SELECT event_type, max(n)::BIGINT AS busiest_day, round(max(peak), 6) AS peak, round(avg(peak), 6) AS mean_peak FROM d GROUP BY event_type""")
+def peak_of_peaks(t):
+    """The largest of the runs' peaks, beside (never instead of it) their mean."""
+    d = t("events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
+    return d.groupBy("event_type").agg(F.max("n").alias("busiest_day"), R(F.max("peak")).alias("peak"), R(F.avg("peak")).alias("mean_peak"))
