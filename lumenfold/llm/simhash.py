@@ -22,24 +22,34 @@ from .common import connected_components, materialize, small_batches, spare, tab
 BUCKET = 2048
 FAN = 8
 CHUNK = 1 << 15
+BINS = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """Bit b is 1 if it is set in over half of the shingles' XXH64; 0 for a text without words. Words end at ASCII white space."""
+    return views(text, shingle, seed, 1)[0]
+
+
+def views(text: str | None, shingle: int, seed: int, count: int) -> list[int]:
+    """count fingerprints: the first of the hashes themselves, the others of the hashes mixed anew, so that their errors are independent."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return [0] * count
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = list(accumulate(map(len, words), lambda a, b: a + 1 + b))
     starts = [0, *(e + 1 for e in ends[:-1])]
     spans = list(zip(starts, ends[shingle - 1 :])) or [(0, ends[-1])]
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((count, 64), dtype=np.int64)
     for at in range(0, len(spans), CHUNK):
         h = np.array([digest(joined[a:b], seed) for a, b in spans[at : at + CHUNK]], dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view(np.uint64)[0])
+        for view in range(count):
+            if view:
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+            ones[view] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(spans), axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
 def fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -65,7 +75,8 @@ class GrayIndex:
     """Distinct codes in Gray order under upper nodes of FAN children. levels[k]: (pattern, mask) of the bits that all below share."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.codes = codes[self.order]
         ands, ors = self.codes, self.codes
         self.levels = [(ands, np.full(len(ands), ~np.uint64(0)))]
         while len(ands) > 1:
@@ -94,8 +105,22 @@ class GrayIndex:
         return q[keep], node[keep], differ[keep]
 
 
-def forest(codes: np.ndarray, max_bits: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that span the components of the graph of codes within max_bits, nearest pairs first (a minimum spanning forest)."""
+#: Estimated shares of common shingles, in steps: pairs of an earlier step are joined first, pairs below the last are left out.
+STEPS = (0.95, 0.9, 0.85, 0.8, 0.75)
+
+
+def likeness(marks: np.ndarray, first: np.ndarray, second: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+    """Share of the bins, filled on either side, whose least shingles agree."""
+    out = np.zeros(len(first))
+    for at in range(0, len(first), chunk):
+        x, y = marks[first[at : at + chunk]], marks[second[at : at + chunk]]
+        out[at : at + chunk] = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+    return out
+
+
+def forest(codes: np.ndarray, max_bits: int, marks: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span the components of the graph of codes within max_bits, nearest first (a minimum spanning forest). With marks
+    (see shingle_marks) the graph is that of codes which also look alike by them, most alike first."""
     index = GrayIndex(codes)
     codes, n = index.codes, len(codes)
     found = []
@@ -103,7 +128,10 @@ def forest(codes: np.ndarray, max_bits: int, block: int = 256) -> tuple[np.ndarr
         q, node, differ = index.search(codes[at : at + block], max_bits)
         once = node < q + at
         found.append((q[once] + at, node[once], differ[once]))
-    first, second, differ = (np.concatenate(c) for c in zip(*found))
+    first, second, step = (np.concatenate(c) for c in zip(*found))
+    steps = max_bits + 1
+    if marks is not None:
+        step, steps = np.searchsorted(-np.array(STEPS), -likeness(marks[index.order], first, second)), len(STEPS)
     label, root, edges = np.arange(n), list(range(n)), []
 
     def find(x: int) -> int:
@@ -112,8 +140,8 @@ def forest(codes: np.ndarray, max_bits: int, block: int = 256) -> tuple[np.ndarr
             x = root[x]
         return x
 
-    for bits in range(max_bits + 1):
-        at = np.flatnonzero(differ == bits)
+    for k in range(steps):
+        at = np.flatnonzero(step == k)
         la, lb = label[first[at]], label[second[at]]
         _, some = np.unique(np.maximum(la, lb) * n + np.minimum(la, lb), return_index=True)
         for i in at[some[la[some] != lb[some]]].tolist():
@@ -137,10 +165,12 @@ def _signed(x: int) -> int:
 
 
 def links(codes: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst): edges whose components are those of all pairs of distinct codes (column fp) within max_bits."""
+    """(src, dst): edges whose components are those of all pairs of distinct codes (column fp) within max_bits; with a column marks,
+    of such pairs as also look alike by it."""
     full = (1 << 64) - 1
+    kept = ["fp", *(["marks"] if "marks" in codes.columns else [])]
     level = [0]
-    rows = codes.select("fp", F.lit(0).cast("long").alias("mask"))
+    rows = codes.select(*kept, F.lit(0).cast("long").alias("mask"))
     parts = []
     while True:
         children = {m: [m | c for c in block_masks(full & ~m, max_bits + 1)] for m in level}
@@ -148,7 +178,7 @@ def links(codes: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
         chosen = cases[0]
         for m, case in list(zip(children, cases))[1:]:
             chosen = F.when(F.col("mask") == _signed(m), case).otherwise(chosen)
-        rows = rows.select("fp", F.explode(chosen).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        rows = rows.select(*kept, F.explode(chosen).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         level = [c for cs in children.values() for c in cs]
         small = max((full & ~m).bit_count() for m in level) <= (bucket - 1).bit_length()
         large = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket)
@@ -156,28 +186,36 @@ def links(codes: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
             parts.append(rows)
             break
         large = materialize(large.select("mask", "value"))
-        parts.append(rows.join(large, ["mask", "value"], "left_anti").select("fp", "mask", "value"))
-        rows = materialize(rows.join(large, ["mask", "value"], "left_semi").select("fp", "mask"))
+        parts.append(rows.join(large, ["mask", "value"], "left_anti").select(*kept, "mask", "value"))
+        rows = materialize(rows.join(large, ["mask", "value"], "left_semi").select(*kept, "mask"))
     routed = parts[0]
     for p in parts[1:]:
         routed = routed.unionByName(p)
 
+    def columns(batch):
+        out = [np.asarray(batch.column(i)) for i in range(3)]
+        if len(kept) > 1:
+            out.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
+        return out
+
     def run(batches):
-        held = (np.zeros(0, np.int64),) * 3
+        held = None
         for batch in _chain(batches):
-            now = held if batch is None else tuple(np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held))
-            mask, value, fp = now
-            starts = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]) if len(fp) else np.zeros(0, np.int64)
-            ends = np.r_[starts[1:], len(fp)] if len(fp) else starts
-            if batch is not None and len(fp):
-                held = tuple(x[starts[-1] :] for x in now)
+            now = held if batch is None else columns(batch) if held is None else [np.concatenate(x) for x in zip(held, columns(batch))]
+            if now is None or not len(now[0]):
+                continue
+            mask, value, fp, *marks = now
+            starts = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
+            ends = np.r_[starts[1:], len(fp)]
+            if batch is not None:
+                held = [x[starts[-1] :] for x in now]
                 starts, ends = starts[:-1], ends[:-1]
-            found = [forest(fp[a:b].view(np.uint64), max_bits) for a, b in zip(starts, ends) if b - a > 1]
+            found = [forest(fp[a:b].view(np.uint64), max_bits, *[m[a:b] for m in marks]) for a, b in zip(starts, ends) if b - a > 1]
             if found:
                 src, dst = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    meeting = routed.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value")
+    meeting = routed.select("mask", "value", *kept).repartition("mask", "value").sortWithinPartitions("mask", "value")
     return meeting.mapInArrow(run, "src long, dst long")
 
 
@@ -218,34 +256,53 @@ def shingle_hashes(text: str | None, n: int) -> list[int]:
     return sorted(x - (1 << 64) if x >> 63 else x for x in found)
 
 
-def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def shingle_marks(hashes: list[int]) -> bytes:
+    """One byte for each of BINS parts of the hash range: of the part's least hash, from 1 up; 0 if it has none."""
+    x = np.sort(np.array(hashes, dtype=np.int64).view(np.uint64))
+    bins, at = np.unique(x >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[bins.astype(np.int64)] = (x[at] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out.tobytes()
+
+
+def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, fingerprints: int = 2, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, component_id for every row: classes of texts that SimHash finds near and whose five-word shingles have Jaccard num/den or more.
 
-    Fingerprints within max_bits are candidates. In a bucket the nearest pairs that span its components are kept (not all pairs), and texts of one fingerprint hang on
-    one of them; every such pair is verified exactly on whole texts, and verified pairs make the classes. A pair beyond
+    Texts are candidates if any of their `fingerprints` SimHash fingerprints (of differently mixed hashes) are within max_bits and 64 least-shingle marks look alike too. In a bucket the most alike pairs that span its components are kept (not
+    all pairs), and texts of one fingerprint hang on one of them; every such pair is verified exactly on whole texts, and verified pairs make the classes. A pair beyond
     max_bits that no chain joins is not found (the share found is measured in the README). Equal texts are always one class. Null and
     empty texts, and texts without words, are alike. Texts whose ids are all null are only alike with equal ones.
     """
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("th"))
     small_batches(docs.sparkSession)
+    names = [f"fp{k}" for k in range(fingerprints)]
 
     def marks(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
+            whole = batch.column(1).to_pylist()
+            fps = np.array([views(t, shingle, seed, fingerprints) for t in whole], dtype=np.uint64).reshape(-1, fingerprints)
+            signs = pa.array([shingle_marks(shingle_hashes(t, words)) for t in whole], pa.binary())
+            codes = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(fingerprints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signs, *codes], ["doc_id", "th", "marks", *names])
 
     def sets(batches):
         for batch in batches:
             found = pa.array([shingle_hashes(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["th", "s"])
 
-    rows = materialize(hashed.mapInArrow(marks, "doc_id long, th string, fp long"))
-    texts = materialize(rows.groupBy("th", "fp").agg(F.min("doc_id").alias("least")))
-    heads = materialize(texts.groupBy("fp").agg(F.min("th").alias("head")))
-    near = materialize(links(heads, max_bits)).distinct()
-    a, b = (heads.select(F.col("fp").alias(e), F.col("head").alias(n)) for e, n in (("src", "a"), ("dst", "b")))
-    same = texts.join(heads, "fp").where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b"))
-    pairs = materialize(near.join(a, "src").join(b, "dst").select("a", "b").unionByName(same))
+    rows = materialize(hashed.mapInArrow(marks, "doc_id long, th string, marks binary, " + ", ".join(f"{n} long" for n in names)))
+    texts = materialize(rows.groupBy("th", *names).agg(F.min("doc_id").alias("least"), F.min("marks").alias("marks")))
+    found = []
+    for name in names:
+        heads = materialize(texts.groupBy(F.col(name).alias("fp")).agg(F.min("th").alias("head"), F.min_by("marks", "th").alias("marks")))
+        near = materialize(links(heads, max_bits)).distinct()
+        a, b = (heads.select(F.col("fp").alias(e), F.col("head").alias(n)) for e, n in (("src", "a"), ("dst", "b")))
+        same = texts.join(heads.select(F.col("fp").alias(name), "head"), name).where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b"))
+        found += [near.join(a, "src").join(b, "dst").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), same]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    pairs = materialize(every.distinct())
     ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
     wanted = texts.join(ends, "th").where("least is not null").select(F.col("th").alias("_th"), "least")
     chosen = hashed.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("_th"))).select("th", "text")
