@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
     rows = materialize(fingerprints(docs, shingle, seed))
     codes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = materialize(links(codes, max_bits))
-    of_code = _named(codes, "fp", connected_components(edges))
+    of_code = materialize(_named(codes, "fp", connected_components(edges)))  # a plain table, so that the join below can be split at a hot fingerprint
     return rows.join(of_code, "fp").select("doc_id", "fp", "component_id")
 
 
