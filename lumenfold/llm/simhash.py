@@ -265,33 +265,119 @@ def shingle_marks(hashes: list[int]) -> bytes:
     return out.tobytes()
 
 
+#: Tokens whose frequency is sampled: one text in SAMPLED, the FREQUENT most frequent. They only order tokens; any order gives the same classes.
+SAMPLED, FREQUENT = 16, 1 << 17
+
+
+def rare_first(hashes: list[int], num: int, den: int, frequent: np.ndarray, counts: np.ndarray) -> list[int]:
+    """The first |A| - ceil(num/den |A|) + 1 hashes, rarest first: sets of Jaccard num/den or more share one of them. [0] for an empty set."""
+    if not hashes:
+        return [0]
+    h = np.array(hashes, dtype=np.int64)
+    often = np.zeros(len(h), dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        often = np.where(frequent[at] == h, counts[at], 0)
+    return h[np.lexsort((h, often))][: len(h) - -(-num * len(h) // den) + 1].tolist()
+
+
+def meeting_pairs(x: np.ndarray, row: np.ndarray, part: np.ndarray, n: np.ndarray, p: np.ndarray, num: int, den: int, most: int = 1 << 18):
+    """Yields (greater row, lesser row) arrays: pairs of equal x (sorted) and different parts that sizes n and places p of x let have Jaccard num/den."""
+    firsts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    sizes = np.diff(np.r_[firsts, len(x)])
+    mixed = np.minimum.reduceat(part, firsts) != np.maximum.reduceat(part, firsts)
+    end = np.repeat(np.where(mixed, firsts + sizes, 0), sizes)
+    live, step, held, found = np.arange(len(x)), 0, 0, []
+    while len(live):
+        step += 1
+        live = live[live + step < end[live]]
+        for at in range(0, len(live), most):
+            i = live[at : at + most]
+            j = i + step
+            least, largest = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            shared = np.minimum(p[i], p[j]) + 1 + np.minimum(n[i] - p[i], n[j] - p[j]) - 1
+            fits = (part[i] != part[j]) & (den * least >= num * largest) & ((num + den) * shared >= num * (n[i] + n[j]))
+            i, j = i[fits], j[fits]
+            found.append(np.stack([np.maximum(row[i], row[j]), np.minimum(row[i], row[j])]))
+            held += len(i)
+            if held > most:
+                yield np.unique(np.concatenate(found, axis=1), axis=1)
+                held, found = 0, []
+    if held:
+        yield np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def meetings(prefixes: DataFrame, num: int, den: int, rows: int = 1 << 16) -> DataFrame:
+    """(a, b) of prefixes (x, row, part, n, p): the pairs of meeting_pairs for each x, each once."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in _chain(batches):
+            if batch is not None:
+                held.append([np.asarray(batch.column(i)) for i in range(5)])
+                size += len(held[-1][0])
+                if size < rows:
+                    continue
+            if not size:
+                continue
+            now = [np.concatenate(c) for c in zip(*held)]
+            cut = size if batch is None else int(np.searchsorted(now[0], now[0][-1]))
+            held, size = [[c[cut:] for c in now]], size - cut
+            if not cut:
+                continue
+            for a, b in meeting_pairs(*[c[:cut] for c in now], num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    met = prefixes.select("x", "row", "part", "n", "p").repartition("x").sortWithinPartitions("x")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, fingerprints: int = 2, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, component_id for every row: classes of texts that SimHash finds near and whose five-word shingles have Jaccard num/den or more.
+    """doc_id, component_id for every row: classes of texts whose five-word shingles have Jaccard num/den or more, exactly those of all such pairs.
 
-    Texts are candidates if any of their `fingerprints` SimHash fingerprints (of differently mixed hashes) are within max_bits and 64 least-shingle marks look alike too. In a bucket the most alike pairs that span its components are kept (not
-    all pairs), and texts of one fingerprint hang on one of them; every such pair is verified exactly on whole texts, and verified pairs make the classes. A pair beyond
-    max_bits that no chain joins is not found (the share found is measured in the README). Equal texts are always one class. Null and
-    empty texts, and texts without words, are alike. Texts whose ids are all null are only alike with equal ones.
+    First come the pairs that SimHash finds: any of the `fingerprints` fingerprints (of differently mixed hashes) within max_bits, spanning forests only,
+    each verified on whole texts. They join most near copies, so that the exact route need not compare the members of a large class. Then a prefix
+    filter on shingles, rarest first, gives every pair of different classes that can reach num/den; all of these are verified too. Equal
+    texts are always one class. Null and empty texts, and texts without words, are alike. Texts whose ids are all null are only alike with equal ones.
     """
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("th"))
     small_batches(docs.sparkSession)
     names = [f"fp{k}" for k in range(fingerprints)]
 
+    def sets(batches):
+        for batch in batches:
+            found = pa.array([shingle_hashes(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["th", "s"])
+
+    sample = hashed.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLED)) == 0).select("th", "text").mapInArrow(sets, "th string, s array<long>")
+    tokens = sample.groupBy("th").agg(F.first("s").alias("s")).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    often = tokens.where("n > 1").orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow().sort_by("x")
+    shared_often = docs.sparkSession.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("x", "n")))
+
     def marks(batches):
+        frequent, counts = shared_often.value
         for batch in batches:
             whole = batch.column(1).to_pylist()
             fps = np.array([views(t, shingle, seed, fingerprints) for t in whole], dtype=np.uint64).reshape(-1, fingerprints)
-            signs = pa.array([shingle_marks(shingle_hashes(t, words)) for t in whole], pa.binary())
+            found = [shingle_hashes(t, words) for t in whole]
+            signs = pa.array([shingle_marks(s) for s in found], pa.binary())
+            rare = pa.array([rare_first(s, num, den, frequent, counts) for s in found], pa.list_(pa.int64()))
             codes = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(fingerprints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signs, *codes], ["doc_id", "th", "marks", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signs, rare, pa.array([len(s) for s in found], pa.int64()), *codes], ["doc_id", "th", "marks", "rare", "n", *names])
 
-    def sets(batches):
-        for batch in batches:
-            found = pa.array([shingle_hashes(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["th", "s"])
+    rows = materialize(hashed.mapInArrow(marks, "doc_id long, th string, marks binary, rare array<long>, n long, " + ", ".join(f"{n} long" for n in names)))
+    texts = materialize(rows.groupBy("th", *names).agg(F.min("doc_id").alias("least"), F.min("marks").alias("marks"), F.first("rare").alias("rare"), F.first("n").alias("n")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+        wanted = materialize(texts.join(ends, "th").where("least is not null").select(F.col("th").alias("_th"), "least"))
+        wanted = F.broadcast(wanted) if wanted.count() <= 50_000 else wanted
+        chosen = hashed.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("_th"))).select("th", "text")
+        whole = materialize(chosen.mapInArrow(sets, "th string, s array<long>").dropDuplicates(["th"]))
+        both = pairs.join(whole.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    rows = materialize(hashed.mapInArrow(marks, "doc_id long, th string, marks binary, " + ", ".join(f"{n} long" for n in names)))
-    texts = materialize(rows.groupBy("th", *names).agg(F.min("doc_id").alias("least"), F.min("marks").alias("marks")))
     found = []
     for name in names:
         heads = materialize(texts.groupBy(F.col(name).alias("fp")).agg(F.min("th").alias("head"), F.min_by("marks", "th").alias("marks")))
@@ -302,15 +388,17 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    pairs = materialize(every.distinct())
-    ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-    wanted = texts.join(ends, "th").where("least is not null").select(F.col("th").alias("_th"), "least")
-    chosen = hashed.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("_th"))).select("th", "text")
-    whole = materialize(chosen.mapInArrow(sets, "th string, s array<long>").dropDuplicates(["th"]))
-    both = pairs.join(whole.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    of_text = _named(texts.select("th", "least"), "th", connected_components(materialize(alike)))
+    alike = materialize(verified(materialize(every.distinct())))
+    classes = connected_components(alike)
+    parts = texts.join(classes.select(F.col("node").alias("th"), "root"), "th", "left").select("th", "n", "rare", F.coalesce("root", "th").alias("part"))
+    parts = parts.select(F.xxhash64("th").alias("row"), F.xxhash64("part").alias("part"), "n", F.posexplode("rare").alias("p", "x")).withColumn("p", F.col("p").cast("long"))
+    met = materialize(meetings(parts, num, den))
+    named = texts.select(F.xxhash64("th").alias("row"), "th")
+    pairs = met.join(named.select(F.col("row").alias("a"), F.col("th").alias("ta")), "a").join(named.select(F.col("row").alias("b"), F.col("th").alias("tb")), "b")
+    more = materialize(verified(materialize(pairs.select(F.col("ta").alias("a"), F.col("tb").alias("b")))))
+    if not more.isEmpty():
+        classes = connected_components(materialize(alike.unionByName(more)))
+    of_text = _named(texts.select("th", "least"), "th", classes)
     return rows.join(of_text, "th").select("doc_id", "component_id")
 
 

@@ -138,6 +138,58 @@ def test_similar_texts(spark, docs, table):
     assert all(any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in ids if j != i) for i in gone)
 
 
+def plain_classes(rows, words=5):
+    """Classes of all pairs with Jaccard 0.8 or more: id -> least id."""
+    ids, sets = [i for i, _ in rows], [set(simhash.shingle_hashes(t, words)) for _, t in rows]
+    where, root = {}, list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, s in enumerate(sets):
+        for h in s:
+            where.setdefault(h, []).append(k)
+    for i, s in enumerate(sets):
+        for j, n in Counter(k for h in s for k in where[h] if k < i).items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for i, x in enumerate(ids):
+        least[find(i)] = min(x, least.get(find(i), x))
+    return {x: least[find(i)] for i, x in enumerate(ids)}
+
+
+def test_similar_texts_are_all_found(spark):
+    """Middle-sized edits, pairs close to 0.8, and a group of near copies around one text, with no pair missed."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(400)}"
+    texts = []
+    for k in range(120):
+        base = [word() for _ in range(r.choice([12, 25, 40, 90, 200]))]
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 40))):
+                copy[r.randrange(len(copy))] = word()
+            at = r.randrange(max(1, len(base) // 12))
+            texts += [" ".join(copy), " ".join(copy[at:]), " ".join(base + [word() for _ in range(at)])]
+    hub = [word() for _ in range(100)]
+    texts += [" ".join(hub[:i] + [word()] + hub[i + 1 :]) for i in range(100)]
+    rows = list(enumerate(texts))
+    got = dict(simhash.similar_texts(docs_of(spark, [(i, t, "a") for i, t in rows])).collect())
+    assert got == plain_classes(rows)
+
+
+def test_similar_texts_without_fingerprints_in_reach(spark):
+    """No fingerprint within 0 bits and no like marks: the prefix filter alone finds the pairs."""
+    words = [f"a{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:54]), " ".join(words[6:]), " ".join(words[20:50]), "b c d e f g h"]
+    got = dict(simhash.similar_texts(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]), max_bits=0).collect())
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
 # 2 sharding
 
 
