@@ -3,7 +3,8 @@
 The index holds each item's BM25 impacts divided by the item's score for itself, so one threshold serves all items. Items lie in blocks; each
 term has its largest impact anywhere and in each block. A passage whose terms' largest impacts sum to less than the threshold is
 dropped, then its blocks whose block maxima do; the rest is scored exactly, so all items above the threshold are retrieved. A
-retrieved item counts as leaked if enough five-word shingles of its question and of its answer are in the document.
+retrieved item counts as leaked if enough five-word shingles of its question and of its answer are in the document, or, where
+the table has no answers, of the item as a whole.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def shingles(words: list, n: int = SHINGLE) -> set:
 class Index:
     """One shard of the inverted index, at most SHARD items."""
 
-    def __init__(self, items: list[tuple], frequency: dict[str, int], total: int, mean_words: float, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple], frequency: dict[str, int], total: int, mean_words: float, k1: float = 1.2, b: float = 0.75, whole: bool = False):
         rows = [(i, words_of(q), words_of(a)) for i, q, a in items]
         rows = sorted((r for r in rows if r[1] or r[2]), key=lambda r: (len(r[1]) + len(r[2]), str(r[0])))
         self.items = [r[0] for r in rows]
@@ -67,7 +68,7 @@ class Index:
                 df = frequency.get(w, 1)
                 idf = math.log(1 + (total - df + 0.5) / (df + 0.5))
                 impact[self.terms[w], k] = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean_words))
-            self.parts.append(tuple(shingles([self.terms[w] for w in part]) for part in (q, a)))
+            self.parts.append(tuple(shingles([self.terms[w] for w in part]) for part in ((q, a, q + a) if whole else (q, a))))
         impact /= np.maximum(impact.sum(axis=0, keepdims=True), 1e-9)
         self.impact = impact
         at = np.arange(0, len(rows), BLOCK)
@@ -144,8 +145,8 @@ class Matcher:
             if row != row_had:
                 had, row_had = _grams(ids[row].tolist()), row
             shares = [len(part & had[min(SHINGLE, len(next(iter(part))))]) / len(part) if part else 1.0 for part in index.parts[k]]
-            if min(shares) >= overlap:
-                out.append((row, index.items[k], best[row, k], *shares))
+            if min(shares[:2]) >= overlap or shares[2:] and shares[2] >= overlap:
+                out.append((row, index.items[k], best[row, k], *shares[:2]))
         return out
 
 
@@ -197,18 +198,19 @@ def index_shards(items: DataFrame, answer: str | None = None, per_shard: int = S
         mine = [(r[0], *((r[1] or "", r[2] or "") if answer else split_item(r[1] or ""))) for r in part.select("item_id", "text", "_answer").collect()]
         own = part.select(F.explode("_words").alias("_w")).distinct()
         frequency = {r[0]: r[1] for r in df.join(own, "_w").collect()}
-        yield spark.sparkContext.broadcast({"items": mine, "frequency": frequency, "total": total, "mean": max(1.0, (words or 0) / max(1, total))})
+        yield spark.sparkContext.broadcast({"items": mine, "frequency": frequency, "total": total, "mean": max(1.0, (words or 0) / max(1, total)), "whole": not answer})
 
 
 def _matcher(x: dict) -> Matcher:
-    return Matcher(Index(x["items"], x["frequency"], x["total"], x["mean"]))
+    return Matcher(Index(x["items"], x["frequency"], x["total"], x["mean"], whole=x["whole"]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, overlap: float = 0.8, answer: str | None = None) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each item that each row of docs leaks.
 
     threshold: share of an item's own BM25 score that a passage must reach. overlap: share of the question's, and of the answer's, distinct
-    five-word shingles that the document must hold. Passages are 2 * stride words at every stride words, over the whole
+    five-word shingles that the document must hold; without an answer column the halves are a split of one text, so that share of the
+    whole item's shingles is enough too (the overlaps given are still those of the halves). Passages are 2 * stride words at every stride words, over the whole
     text, where stride is at least the longest item up to 1,024 words. Items without words match nothing; null and empty texts leak
     nothing; repeated items and rows give a row each. A null id is kept as null.
     """

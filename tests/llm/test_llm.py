@@ -489,6 +489,19 @@ def test_many_shards_and_awkward(spark, awkward, empty):
     assert decontaminate.without_leaks(d, items).count() == 0
 
 
+def test_edited_items_leak(spark):
+    """One changed word in the short last sentence breaks up to five of its shingles, but few of the item's."""
+    words = [f"item{i}" for i in range(30)]
+    first, last = " ".join(words[:22]) + ". ", words[22:]
+    items = spark.createDataFrame([(1, first + " ".join(last))], "item_id long, text string")
+    rows = [(k, f"before {first}{' '.join(last[:k] + ['changed'] + last[k + 1:])} after", "a") for k in range(8)]
+    apart = (8, f"{first} some other words stand between here {' '.join(last)}", "a")
+    other = (9, first[: len(first) // 2] + " and nothing else of it", "a")
+    d = docs_of(spark, [*rows, apart, other])
+    assert sorted(r["doc_id"] for r in decontaminate.contaminated(d, items).collect()) == list(range(9))
+    assert [r["doc_id"] for r in decontaminate.without_leaks(d, items).collect()] == [9]
+
+
 # 10 packing
 
 
