@@ -75,7 +75,7 @@ class Index:
         self.block_max = np.maximum.reduceat(impact, at, axis=1) if len(rows) else impact
         self.most = impact.max(axis=1) if len(rows) else np.zeros(0, np.float32)
         longest = max((len(q) + len(a) for _, q, a in rows), default=1)
-        self.stride = min(max(longest, 32), 1024)
+        self.stride = max(longest, 32)
 
     def retrieve(self, passages: np.ndarray, terms: np.ndarray, threshold: float):
         """passages, terms: equally long, sorted by passage, each pair once. Yields (passage, item's place, score) arrays."""
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, o
     threshold: share of an item's own BM25 score that a passage must reach. overlap: share of the question's, and of the answer's, distinct
     five-word shingles that the document must hold; without an answer column the halves are a split of one text, so that share of the
     whole item's shingles is enough too (the overlaps given are still those of the halves). Passages are 2 * stride words at every stride words, over the whole
-    text, where stride is at least the longest item up to 1,024 words. Items without words match nothing; null and empty texts leak
+    text, where stride is at least the longest item of the shard. Items without words match nothing; null and empty texts leak
     nothing; repeated items and rows give a row each. A null id is kept as null.
     """
     small_batches(docs.sparkSession, 256)

@@ -502,6 +502,15 @@ def test_edited_items_leak(spark):
     assert [r["doc_id"] for r in decontaminate.without_leaks(d, items).collect()] == [9]
 
 
+def test_long_items_leak(spark):
+    """An item of 6,000 distinct words, its score spread evenly over them, stands in a longer document."""
+    words = [f"long{i}" for i in range(6000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "a short item of a few plain words")], "item_id long, text string")
+    d = docs_of(spark, [(1, f"{LONG[:50_000]} {' '.join(words)} after", "a"), (2, " ".join(words[:2000]), "a")])
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, items).collect()] == [(1, 1)]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(d, items).collect()] == [2]
+
+
 # 10 packing
 
 
