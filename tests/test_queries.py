@@ -25,6 +25,15 @@ def test_partitioning_changes_nothing(spark, sf_dir, con, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_whole_items_are_searched(spark, tmp_path):
+    item = "the opening of this item has well over sixty-four characters, and then it goes on to its end"
+    spark.createDataFrame([(1, item), (2, "short one"), (3, ""), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"say {item} again", f"{item[:70]} but ends otherwise", "a short one here", "nothing", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["item_id"], r["doc_id"]) for r in QUERIES["contamination_substring"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0), (2, 2)}
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
