@@ -81,9 +81,25 @@ END = r"\n|[.!?;]+(\s|$)"
 WORDS = r"(?i)licen[cs]|gpl|apache|mpl|\bcc|creative commons|attribution|public domain|unencumbered|permission|redistribut|endorse|as.is|rights reserved|copyright|\(c\)|\bc "
 
 
-def sentences(text: Column) -> Column:
-    kept = F.filter(F.split(text, END), lambda s: s.rlike(WORDS))
-    return F.transform(kept, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9.+()]+", " ")))
+#: A wrapped sentence ends at a blank line, or at . ! ? before white space or the end. It is cut again at line breaks and ; (the SQL has only these pieces).
+WRAPPED = r"\n[ \t\r]*\n|[.!?]+(\s|$)"
+PIECES = r"\n|;+(\s|$)"
+
+
+def normal(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+()]+", " "))
+
+
+def sentence_ids(text: Column) -> Column:
+    """Identifiers in text order: of a wrapped sentence as a whole, if none of its pieces has that identifier, else of its pieces."""
+
+    def of(s):
+        pieces = F.transform(F.filter(F.split(s, PIECES), lambda x: x.rlike(WORDS)), lambda x: identifier(normal(x)))
+        whole = identifier(F.regexp_replace(normal(s), r"( version [0-9.]+) of the license\b", "$1"))
+        both = F.struct(whole.alias("whole"), F.filter(pieces, lambda x: x.isNotNull()).alias("pieces"))
+        return F.transform(F.array(both), lambda x: F.when(x["whole"].isNull() | F.array_contains(x["pieces"], x["whole"]), x["pieces"]).otherwise(F.array(x["whole"])))[0]
+
+    return F.flatten(F.transform(F.filter(F.split(text, WRAPPED), lambda s: s.rlike(WORDS)), of))
 
 
 def identifier(sentence: Column) -> Column:
@@ -101,8 +117,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows. Texts are scanned whole. Texts without any of WORDS skip the cutting: no pattern can match them.
     """
     likely = F.when(F.col("text").rlike(WORDS), F.col("text"))
-    ids = docs.select("doc_id", F.coalesce(sentences(likely), F.array().cast("array<string>")).alias("_s"))
-    ids = ids.select("doc_id", F.filter(F.transform("_s", identifier), lambda x: x.isNotNull()).alias("sentence_ids"))
+    ids = docs.select("doc_id", F.coalesce(sentence_ids(likely), F.array().cast("array<string>")).alias("sentence_ids"))
     rest = F.concat_ws("", F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
     named = ids.withColumn("_rest", rest)
     hits = []

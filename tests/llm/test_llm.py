@@ -446,6 +446,20 @@ def test_licences(spark, text, want):
     assert ",".join(got["licenses"]) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted.\n\nRedistributions of source code must retain\nthe notice.\nRedistributions in binary form must\nreproduce the notice.\nNeither the name of X nor the names of its\ncontributors may be used to endorse or promote products.", "BSD-3-Clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", "ISC"),
+        ("under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.", "GPL-2.0-or-later"),
+        ("GNU General Public License, version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+        ("Released under the MIT License\nLicensed under CC BY-NC 4.0", "CC-BY-NC-4.0,MIT"),
+    ],
+)
+def test_wrapped_licences(spark, text, want):
+    assert ",".join(licenses.license_scan(docs_of(spark, [(1, text, "a")])).first()["licenses"]) == want
+
+
 def test_licences_awkward(awkward, empty):
     assert licenses.license_scan(awkward).where("status <> 'none'").count() == 0 and licenses.license_scan(empty).count() == 0
 
