@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on awkward inputs."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -258,6 +259,49 @@ def test_toxicity_awkward(awkward, empty):
     assert toxicity.train([])["weights"] == {} and toxicity.train([("a b", 1)])["weights"] == {}
 
 
+def test_toxicity_gradient_is_the_derivative():
+    r = random.Random(6)
+    sample = [(". ".join(" ".join(r.choice("ab cd ef gh ij kl".split()) for _ in range(3)) for _ in range(r.randint(1, 4))), i % 2) for i in range(30)]
+    bags = toxicity.Bags(sample, 1)
+    w, bias, step = np.array([r.uniform(-1, 1) for _ in bags.kept]), -0.7, 1e-6
+    of_weights, of_bias = bags.gradient(w, bias)
+    for k in range(len(w)):
+        up, down = w.copy(), w.copy()
+        up[k] += step
+        down[k] -= step
+        assert abs((bags.loss(up, bias) - bags.loss(down, bias)) / (2 * step) - of_weights[k]) < 1e-7
+    assert abs((bags.loss(w, bias + step) - bags.loss(w, bias - step)) / (2 * step) - of_bias) < 1e-7
+
+
+def test_toxicity_loss_and_scores_match_brute_force():
+    """The trained model's scores and the loss of its weights, word by word."""
+    sample = [("a b. c", 1), ("b c. d e!", 0), ("a. a b", 1), ("d", 0), ("", 0)]
+    model = toxicity.train(sample, rounds=20, least_docs=1)
+
+    def plain(text):
+        clean = 1.0
+        for sentence in text.replace("!", ".").split("."):
+            if sentence.split():
+                ids = {i for w in sentence.split() for i in toxicity.word_features(w)}
+                clean *= 1 - 1 / (1 + math.exp(-(model["bias"] + sum(model["weights"].get(i, 0.0) for i in ids))))
+        return 1 - clean
+
+    scores = [toxicity.score_sentences(t, model["bias"], toxicity.Weights(model))[0] for t, _ in sample]
+    assert np.allclose(scores, [plain(t) for t, _ in sample], atol=1e-12) and str(scores[-1]) == "0.0"
+    bags = toxicity.Bags(sample, 1)
+    w = np.array([model["weights"].get(int(k), 0.0) for k in bags.kept])
+    want = sum((-math.log(s if y else 1 - s)) / (2 * sum(x == y for _, x in sample)) for s, (_, y) in zip(scores, sample))
+    assert abs(bags.loss(w, model["bias"]) - want) < 1e-9
+
+
+def test_toxicity_cross_validation_prefers_what_generalises():
+    r = random.Random(9)
+    word = lambda: r.choice("alder birch cedar dogwood elm fir gum hazel iris juniper".split())
+    sample = [(". ".join(" ".join(word() for _ in range(5)) for _ in range(3)) + (" vilewort" if i % 2 else ""), i % 2) for i in range(120)]
+    fits, crushed = toxicity.cross_validated(sample, [{"decay": 0.1, "sparse": 0.5}, {"decay": 1000.0, "sparse": 0.5}])
+    assert fits < crushed
+
+
 def test_noisy_or():
     score, found = toxicity.score_sentences("a. b! c\n", 0.0, toxicity.Weights({"weights": {}}))
     assert abs(score - (1 - 0.5**3)) < 1e-12 and [f[1:] for f in found] == [(0, 1), (2, 4), (5, 7)]
