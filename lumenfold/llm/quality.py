@@ -30,7 +30,7 @@ def term(word: str) -> int:
     if len(word) <= 3 and word.isalpha():
         name = "w" + word.lower()
     else:
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
         name = "s" + re.sub(r"(.)\1+", r"\1\1", shape)
     return zlib.crc32(name.encode("utf-8", "replace")) % (TERMS - 64)
 
@@ -64,32 +64,52 @@ def counts(text: str | None, terms: Terms) -> np.ndarray:
 
 
 def fit(sample: list[tuple[str, int]], neighbours: int = 15) -> dict:
-    """The projection, and the labelled vectors and labels that vote."""
+    """The projection, and the labelled vectors and labels that vote, all in whole numbers (see `projected`)."""
     terms = Terms()
-    x = np.array([counts(t, terms) for t, _ in sample], dtype=np.float32).reshape(-1, TERMS)
-    y = np.array([label for _, label in sample], dtype=np.float32)
-    seen = (x > 0).sum(axis=0)
-    idf = np.log((len(x) + 1) / (seen + 1)).astype(np.float32) + 1
-    w = _unit(x * idf)
-    values, vectors = np.linalg.eigh((w.T @ w).astype(np.float64)) if len(x) else (None, np.eye(TERMS))
-    basis = (idf[:, None] * vectors[:, ::-1][:, :DIMS]).astype(np.float32)
-    return {"basis": basis, "vectors": _unit(x @ basis), "labels": y, "neighbours": neighbours}
+    x = np.array([counts(t, terms) for t, _ in sample], dtype=np.float64).reshape(-1, TERMS)
+    y = np.array([label for _, label in sample], dtype=np.float64)
+    idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 1
+    w = x * idf
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+    vectors = np.linalg.eigh(w.T @ w)[1] if len(x) else np.eye(TERMS)
+    basis = np.rint(idf[:, None] * vectors[:, ::-1][:, :DIMS] * SCALE)
+    return {"basis": basis, "vectors": projected(x, basis), "labels": y, "neighbours": neighbours}
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+#: Shares and the basis are held as multiples of 1 / SCALE, unit vectors as multiples of 1 / UNIT. All products and their sums are whole numbers
+#: below 2**53, so a block's products are exact whatever the block's size and the order of summation.
+SCALE, UNIT = 1 << 18, 1 << 20
+
+
+def projected(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit vectors of the rows of counts x, times UNIT, in whole numbers. A row without terms is zero."""
+    v = np.rint(x.astype(np.float64) * SCALE) @ basis
+    square = np.zeros(len(v))
+    for d in range(v.shape[1]):
+        square += v[:, d] * v[:, d]
+    return np.rint(v / np.maximum(np.sqrt(square), 1.0)[:, None] * UNIT)
 
 
 def vote(x: np.ndarray, model: dict) -> np.ndarray:
-    """Scores of the rows of counts x: exact cosines with every labelled vector; ties at the last neighbour fall to the sample's order."""
+    """Scores of the rows of counts x: exact cosines with every labelled vector, in one block. Of equally near texts the earlier in the sample
+    votes. A row's score depends on no other row."""
     vectors, labels = model["vectors"], model["labels"]
-    if not len(labels):
+    n = len(labels)
+    if not n:
         return np.full(len(x), 0.5)
-    k = min(model["neighbours"], len(labels))
-    cosines = _unit(x @ model["basis"]) @ vectors.T
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-3) ** 4
-    return np.clip((weight * labels[near]).sum(axis=1) / weight.sum(axis=1), 0, 1).astype(np.float64)
+    k = min(model["neighbours"], n)
+    cosines = (projected(x, model["basis"]) @ vectors.T).astype(np.int64)
+    order = cosines * n + np.arange(n - 1, -1, -1)  # no two alike: the cosine, then the place
+    near = np.argpartition(order, n - k, axis=1)[:, n - k :]
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(order, near, axis=1), axis=1), axis=1)
+    weight = np.maximum(np.take_along_axis(cosines, near, axis=1) / float(UNIT) ** 2, 1e-3)
+    weight *= weight
+    weight *= weight
+    total, good = np.zeros(len(x)), np.zeros(len(x))
+    for j in range(k):
+        total += weight[:, j]
+        good += weight[:, j] * labels[near[:, j]]
+    return np.clip(good / total, 0, 1)
 
 
 def quality(docs: DataFrame, model: dict) -> DataFrame:

@@ -307,19 +307,42 @@ def test_noisy_or():
     assert abs(score - (1 - 0.5**3)) < 1e-12 and [f[1:] for f in found] == [(0, 1), (2, 4), (5, 7)]
 
 
+def plain_vote(x, model):
+    """One document's score by Python's whole numbers; ties go to the earlier text."""
+    shares = [round(float(v) * quality.SCALE) for v in x]
+    dims = [sum(s * int(b) for s, b in zip(shares, column) if s) for column in model["basis"].T.tolist()]
+    norm = max(1.0, math.sqrt(sum(d * d for d in dims)))
+    unit = [round(d / norm * quality.UNIT) for d in dims]
+    cosines = [sum(u * int(v) for u, v in zip(unit, row)) for row in model["vectors"].tolist()]
+    near = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[: model["neighbours"]]
+    weights = [max(cosines[i] / quality.UNIT**2, 1e-3) ** 4 for i in near]
+    return sum(w * model["labels"][i] for w, i in zip(weights, near)) / sum(weights)
+
+
 def test_quality_votes_exactly(spark, docs, table, sf_dir):
     model = quality.trained(spark, docs, sf_dir)
     got = dict(quality.quality(docs, model).collect())
-    terms, k = quality.Terms(), min(model["neighbours"], len(model["labels"]))
+    terms = quality.Terms()
     for i, t in list(zip(table.doc_id, table.text))[:60]:
-        v = quality.counts(t, terms) @ model["basis"]
-        cos = model["vectors"] @ (v / max(np.linalg.norm(v), 1e-9))
-        kth = np.sort(cos)[-k]
-        sure, edge = np.flatnonzero(cos > kth + 1e-5), np.flatnonzero(abs(cos - kth) <= 1e-5)
-        if len(sure) + len(edge) == k:
-            near = np.concatenate([sure, edge])
-            w = np.maximum(cos[near], 1e-3) ** 4
-            assert abs(got[i] - (w * model["labels"][near]).sum() / w.sum()) < 1e-3
+        assert abs(got[i] - plain_vote(quality.counts(t, terms), model)) < 1e-9
+
+
+def test_quality_ties_and_batches(docs, table, spark, sf_dir):
+    """Many equal labelled texts with different labels at the last neighbour; scores are the same, bit by bit, for any batch."""
+    model = quality.fit([("one two three", 1)] * 10 + [("one two three", 0)] * 10 + [("Zq9, 77 xx", 0)] * 5)
+    terms = quality.Terms()
+    x = np.array([quality.counts(t, terms) for t in ["one two three", "one two three four", "", "Zq9,", *table.text[:60]]])
+    whole = quality.vote(x, model)
+    assert abs(whole[0] - 10 / 15) < 1e-9 and abs(whole[1] - plain_vote(x[1], model)) < 1e-9
+    real = quality.trained(spark, docs, sf_dir)
+    for m in (model, real):
+        whole = quality.vote(x, m)
+        for size in (1, 3, 37):
+            assert np.array_equal(np.concatenate([quality.vote(x[i : i + size], m) for i in range(0, len(x), size)]), whole)
+
+
+def test_quality_reads_whole_words():
+    assert quality.term("a" * 70 + "-9") != quality.term("a" * 70)
 
 
 def test_quality_held_out(spark):
