@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ def discard(df: DataFrame) -> None:
         _WRITTEN.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
