@@ -7,9 +7,9 @@ import duckdb
 from lumenfold.sources.tables import NAMES
 
 
-def connect(sf_dir):
+def connect(sf_dir, names=NAMES):
     con = duckdb.connect()
-    for name in NAMES:
+    for name in names:
         path = f"{sf_dir}/{name}.parquet"
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
