@@ -10,6 +10,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,12 +23,12 @@ from .common import small_batches, spare, table
 
 RUN = re.compile(r"(?<![A-Za-z0-9_\-+/])[A-Za-z0-9_\-+/]{16,}={0,2}")
 ASSIGNED = re.compile(r"[=:]>?[ \t]{0,3}[\"']?([^\s\"',;]{6,})")
-BLOCK = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----.*?-----END \1PRIVATE KEY-----", re.S)
+BLOCK = re.compile(r"-----(BEGIN|END) ([A-Z ]*)PRIVATE KEY-----")
 #: Words that name a secret, words that name something harmless, common prefixes of issued keys.
 SECRET_WORDS = re.compile(r"(?i)passw|passphrase|pwd|secret|token|api.?key|access.?key|auth|credential|private.?key|bearer")
 PLAIN_WORDS = re.compile(r"(?i)\b(commit|sha\d*|md5|crc|checksum|digest|uuid|guid|revision|version|build|example|sample|hash|isbn|iban|phone|tel|order|invoice|session|page|image|file|path|url|href|src|id)\b")
 PREFIXES = re.compile(r"(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abpr]-|sk_live_|rk_live_|AIza|eyJ|npm_|SG\.|-----BEGIN)")
-NAME = re.compile(r"[A-Za-z_\-]*[ \t]{0,3}[\"']?$")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.")
 #: Words that mark an identifier or a path as readable.
 DICTIONARY = (
     "about access account action admin agent alert alpha asset batch block board bonus button cache class client cloud code column "
@@ -44,40 +45,72 @@ _WORDS = re.compile("|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))))
 FEATURES = 14
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, in text order, not overlapping: key blocks, then assigned values, then long runs with a digit."""
-    found = [(m.start(), m.end(), "key_block") for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    taken = list(found)
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Where private keys stand: from a BEGIN mark to the next END mark of its kind. One pass: marks are found once, whatever is left open."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    begins = []
+    for m in BLOCK.finditer(text):
+        if m.group(1) == "BEGIN":
+            begins.append((m.start(), m.end(), m.group(2)))
+        else:
+            ends.setdefault(m.group(2), []).append((m.start(), m.end()))
+    out, upto = [], 0
+    for start, inner, kind in begins:
+        here = ends.get(kind, [])
+        at = bisect_left(here, (inner, 0))
+        if start >= upto and at < len(here):
+            upto = here[at][1]
+            out.append((start, upto))
+    return out
+
+
+def name_before(text: str, at: int) -> str:
+    """The name that stands before an '=' or ':' at that place, after at most one quote and three blanks."""
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    else:
+        for _ in range(3):
+            at -= bool(at and text[at - 1] in " \t")
+        at -= bool(at and text[at - 1] in "\"'")
+    start = at
+    while start and text[start - 1] in NAME:
+        start -= 1
+    return text[start:at]
 
-    def free(a, b):
-        return all(b <= x or a >= y for x, y, _ in taken)
 
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether [a, b) meets none of taken, which are sorted and do not meet."""
+    at = bisect_left(taken, (b, 0))
+    return not at or taken[at - 1][1] <= a
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in code points, in text order, not overlapping: key blocks, then assigned values, then long runs with a digit."""
+    blocks = key_blocks(text) if "-----BEGIN" in text else []
+    assigned = []
     if "=" in text or ":" in text:
         for m in ASSIGNED.finditer(text):
-            name = NAME.search(text, max(0, m.start() - 40), m.start()).group()
-            if SECRET_WORDS.search(name):
+            if SECRET_WORDS.search(name_before(text, m.start())):
                 a, b = m.start(1), m.end(1)
                 b -= len(m.group(1)) - len(m.group(1).rstrip(".)]}"))
-                if b - a >= 6 and free(a, b):
-                    taken.append((a, b, "assigned"))
-    assigned = len(taken)
-    for m in RUN.finditer(text):
-        value = m.group()
-        if any(c.isdigit() for c in value) and all(m.end() <= x or m.start() >= y for x, y, _ in taken[:assigned]):
-            taken.append((m.start(), m.end(), "run"))
-    return sorted(taken)
+                if b - a >= 6 and _free(blocks, a, b):
+                    assigned.append((a, b))
+    taken = sorted(blocks + assigned)
+    runs = [m.span() for m in RUN.finditer(text) if any(c.isdigit() for c in m.group()) and _free(taken, *m.span())]
+    return sorted([(a, b, kind) for found, kind in ((blocks, "key_block"), (assigned, "assigned"), (runs, "run")) for a, b in found])
 
 
 def features(before: str, value: str, after: str, kind: str) -> list[float]:
+    """Of the whole value, however long; of its neighbours, 48 to 64 characters before and 24 after."""
     n = len(value)
-    classes = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in value[:4096]]
-    count = Counter(value[:4096])
-    m = max(1, len(classes))
+    classes = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in value]
+    count = Counter(value)
+    m = max(1, n)
     share = Counter(classes)
-    covered = sum(len(w) for w in _WORDS.findall(value[:4096].lower()))
+    covered = sum(len(w) for w in _WORDS.findall(value.lower()))
     around = before[-48:] + " " + after[:24]
     return [
-        float(min(n, 4096)),
+        float(n),
         sum(a != b for a, b in zip(classes, classes[1:])) / m,
         len(count) / m,
         -sum(c / m * math.log2(c / m) for c in count.values()),
