@@ -2,9 +2,10 @@
 
 Documents are tokenised once into pieces of at most `capacity` tokens. The packing is solved on the histogram of
 piece lengths, which has at most `capacity` rows however large the corpus is: bins with the same contents are one group
-with a count. Best fit decreasing places every length; then local search exchanges one piece for one, two for one, or moves
-pieces between underfull groups, wherever that raises the sum of squared fills, until bins empty or nothing improves.
-Groups are turned into ranges of ranks within a length, and every piece looks up its place by its rank.
+with a count. Best fit decreasing places every length; then local search exchanges one piece for one, two for one, one for two, or moves
+pieces between underfull groups, wherever that raises the sum of squared fills, until bins empty to the least number that the tokens allow or nothing
+improves. A corpus with enough short documents is packed to that least number by best fit decreasing alone, as the given tables are; the search matters
+where short ones are few. Groups are turned into ranges of ranks within a length, and every piece looks up its place by its rank.
 """
 
 from __future__ import annotations
@@ -156,64 +157,107 @@ def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> Bins:
     return out
 
 
-def exchange(a: tuple, b: tuple, capacity: int):
-    """The best change between a fuller bin a and an emptier b: (leaves a, comes to a), or None. It raises the sum of squared
-    fills most by adding most tokens to a: a move, one for one, or two for one."""
-    space = capacity - sum(a)
-    values = sorted(set(b))
-    best, change = 0, None
-    for out in [0, *sorted(set(a))]:
-        most = space + out
-        i = bisect_left(values, most + 1) - 1
-        if i >= 0 and values[i] - out > best:
-            best, change = values[i] - out, ((out,) if out else (), (values[i],))
-        if out and best < space:
-            have = Counter(b)
-            for y in values:
-                j = bisect_left(values, most - y + 1) - 1
-                if j >= 0 and values[j] == y and have[y] < 2:
-                    j -= 1
-                if j >= 0 and y + values[j] - out > best:
-                    best, change = y + values[j] - out, ((out,), (y, values[j]))
-        if best == space:
-            break
-    return change
-
-
-def local_search(bins: Bins, patience: int = 200_000) -> Bins:
-    """Exchanges between underfull groups, fullest receivers first, emptiest givers first, until bins empty to the least
-    possible number, nothing improves, or `patience` pairs of groups were looked at."""
+class Underfull:
+    """Groups of bins that are not full, found by what a bin of theirs could give: one piece, or two."""
+
+    def __init__(self, bins: Bins):
+        self.capacity = bins.capacity
+        self.ones: dict[int, set] = {}  # length -> groups that hold such a piece
+        self.twos: dict[int, set] = {}  # sum -> (group, piece, piece)
+        self.masks = {1: 0, 2: 0}  # bit v: something of v tokens can be given
+        for contents in bins.of:
+            self.put(contents)
+
+    def _offers(self, contents: tuple):
+        have = sorted(Counter(contents).items())
+        yield from ((1, self.ones, y, contents) for y, _ in have)
+        for i, (y, n) in enumerate(have):
+            if n > 1:
+                yield 2, self.twos, 2 * y, (contents, y, y)
+            for z, _ in have[i + 1 :]:
+                yield 2, self.twos, y + z, (contents, y, z)
+
+    def put(self, contents: tuple) -> None:
+        if sum(contents) < self.capacity:
+            for kind, held, v, offer in self._offers(contents):
+                held.setdefault(v, set()).add(offer)
+                self.masks[kind] |= 1 << v
+
+    def drop(self, contents: tuple) -> None:
+        if sum(contents) < self.capacity:
+            for kind, held, v, offer in self._offers(contents):
+                held[v].discard(offer)
+                if not held[v]:
+                    del held[v]
+                    self.masks[kind] &= ~(1 << v)
+
+    def best(self, taker: tuple, bins: Bins):
+        """(tokens gained, giver, leaves, comes) of the best change for a bin of group taker, or None: the change that fills it most, then the
+        emptiest giver. A change counts only if it raises the sum of squared fills."""
+        fill = sum(taker)
+        space, best = self.capacity - fill, None
+        pieces = Counter(taker)
+        single = sorted(pieces)
+        leaves = [(), *((x,) for x in single), *((x, y) for i, x in enumerate(single) for y in single[i:] if x < y or pieces[x] > 1)]
+        for leave in leaves:
+            out = sum(leave)
+            for kind, held in ((1, self.ones), (2, self.twos))[: 2 if len(leave) == 1 else 1]:
+                left = self.masks[kind] & ((1 << (out + space + 1)) - 1)
+                while left:
+                    v = left.bit_length() - 1
+                    gain = v - out
+                    if gain <= 0 or best and gain < best[0]:
+                        break
+                    for offer in held[v]:
+                        giver, come = (offer, (v,)) if kind == 1 else (offer[0], offer[1:])
+                        if giver == taker and bins.of[giver] < 2 or sum(giver) - fill >= gain:
+                            continue
+                        found = (gain, -sum(giver), -len(come) - len(leave), giver, leave, come)
+                        if not best or found > best:
+                            best = found
+                    if best and best[0] >= gain:
+                        break
+                    left &= (1 << v) - 1
+        return best and (best[0], *best[3:])
+
+
+def local_search(bins: Bins) -> Bins:
+    """Moves, and exchanges one for one, two for one and one for two, between underfull bins, the fullest takers first, each for as many bins as both groups have. Ends when
+    the number of bins is the least that the tokens allow, or when no such change raises the sum of squared fills; that sum grows with every change,
+    so it does end."""
     capacity = bins.capacity
     least = -(-sum(sum(c) * n for c, n in bins.of.items()) // capacity)
-    looked = 0
-    improved = True
-    while improved and bins.count() > least and looked < patience:
-        improved = False
-        under = sorted((c for c in bins.of if sum(c) < capacity), key=lambda c: (sum(c), c))
-        for giver in under:
-            if giver not in bins.of:
+    under, stuck = Underfull(bins), set()
+    total = bins.count()
+    while total > least:
+        takers = sorted((c for c in bins.of if sum(c) < capacity and c not in stuck), key=lambda c: (-sum(c), c))
+        if not takers:
+            break
+        for taker in takers:
+            if taker not in bins.of or total <= least:
+                continue
+            change = under.best(taker, bins)
+            if not change:
+                stuck.add(taker)
                 continue
-            for taker in reversed(under):
-                if sum(taker) < sum(giver) or looked >= patience:
-                    break
-                if taker not in bins.of or giver not in bins.of:
-                    continue
-                if taker == giver and bins.of[taker] < 2:
-                    continue
-                looked += 1
-                change = exchange(taker, giver, capacity)
-                if not change:
-                    continue
-                out, come = change
-                n = bins.of[taker] // 2 if taker == giver else min(bins.of[taker], bins.of[giver])
-                full, empty = Counter(taker), Counter(giver)
-                full.subtract(out), full.update(come)
-                empty.subtract(come), empty.update(out)
-                bins.add(taker, -n), bins.add(giver, -n)
-                bins.add(full.elements(), n), bins.add(empty.elements(), n)
-                improved = True
-                if giver not in bins.of:
-                    break
+            _, giver, out, come = change
+            n = bins.of[taker] // 2 if taker == giver else min(bins.of[taker], bins.of[giver])
+            full, empty = Counter(taker), Counter(giver)
+            full.subtract(out), full.update(come)
+            empty.subtract(come), empty.update(out)
+            before = {taker, giver}
+            after = [tuple(sorted(c.elements(), reverse=True)) for c in (full, empty)]
+            known = {c for c in after if c in bins.of}
+            bins.add(taker, -n), bins.add(giver, -n)
+            bins.add(after[0], n), bins.add(after[1], n)
+            total -= n * (not after[1])
+            for c in before:
+                if c not in bins.of:
+                    under.drop(c)
+            for c in after:
+                if c and c not in known and c not in before and c in bins.of:
+                    under.put(c)
+            stuck.clear()
     return bins
 
 
