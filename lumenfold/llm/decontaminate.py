@@ -1,15 +1,15 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried by every training passage.
 
 The index holds each item's BM25 impacts divided by the item's score for itself, so one threshold serves all items. Items lie in blocks; each
-term has its largest impact anywhere and in each block. A passage whose terms' largest impacts sum to less than the threshold is
-dropped, then its blocks whose block maxima do; the rest is scored exactly, so all items above the threshold are retrieved. A
-retrieved item counts as leaked if enough five-word shingles of its question and of its answer are in the document, or, where
+term has its largest impact anywhere, and in the blocks where it is essential: an item's rarest terms are essential until the others together
+are worth at most REST. A passage whose terms' largest impacts sum to less than the threshold is dropped; so is a block where the essential terms'
+block maxima, plus what its items' other terms are worth at most, do. What is left is scored exactly, so all items above the threshold are retrieved.
+A retrieved item counts as leaked if enough five-word shingles of its question and of its answer are in the document, or, where
 the table has no answers, of the item as a whole.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import per_worker, small_batches, table
 
-SHARD = 512
+#: Items of so many bytes are searched in one scan of the documents; more items take more scans.
+GROUP_BYTES = 32 << 20
 BLOCK = 16
+REST = 0.25
+#: Items of up to 64, 256, 1,024 ... words are indexed apart, so that a long item doesn't make the passages of short ones long.
+CLASS, WIDER = 64, 4
+CELLS = 1 << 22
 MEMO = 400_000
 SHINGLE = 5
 
@@ -52,102 +57,147 @@ def shingles(words: list, n: int = SHINGLE) -> set:
 
 
 class Index:
-    """One shard of the inverted index, at most SHARD items."""
-
-    def __init__(self, items: list[tuple], frequency: dict[str, int], total: int, mean_words: float, k1: float = 1.2, b: float = 0.75, whole: bool = False):
-        rows = [(i, words_of(q), words_of(a)) for i, q, a in items]
-        rows = sorted((r for r in rows if r[1] or r[2]), key=lambda r: (len(r[1]) + len(r[2]), str(r[0])))
-        self.items = [r[0] for r in rows]
-        vocabulary = sorted({w for r in rows for w in r[1] + r[2]})
-        self.terms = {w: t for t, w in enumerate(vocabulary)}
-        impact = np.zeros((len(vocabulary), len(rows)), dtype=np.float32)
-        self.parts = []
+    """The inverted index of items of about one length: [(id, question's words, answer's words)], with terms numbered by `terms`."""
+
+    def __init__(self, rows: list[tuple], terms: dict[str, int], frequency: dict[str, int], total: int, mean_words: float, threshold: float, k1: float = 1.2, b: float = 0.75):
+        rows = sorted(rows, key=lambda r: (len(r[1]) + len(r[2]), str(r[0])))
+        self.items, self.threshold, self.wide = [r[0] for r in rows], threshold, len(terms)
+        self.words = [(np.array([terms[w] for w in q], dtype=np.int32), np.array([terms[w] for w in a], dtype=np.int32)) for _, q, a in rows]
+        self.stride = max(32, max((len(q) + len(a) for _, q, a in rows), default=1))
+        n, blocks = len(rows), -(-len(rows) // BLOCK)
+        each, essential, rest = [], [], np.zeros(blocks)
         for k, (_, q, a) in enumerate(rows):
-            n = len(q) + len(a)
-            for w, tf in Counter(q + a).items():
-                df = frequency.get(w, 1)
-                idf = math.log(1 + (total - df + 0.5) / (df + 0.5))
-                impact[self.terms[w], k] = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean_words))
-            self.parts.append(tuple(shingles([self.terms[w] for w in part]) for part in ((q, a, q + a) if whole else (q, a))))
-        impact /= np.maximum(impact.sum(axis=0, keepdims=True), 1e-9)
-        self.impact = impact
-        at = np.arange(0, len(rows), BLOCK)
-        self.block_max = np.maximum.reduceat(impact, at, axis=1) if len(rows) else impact
-        self.most = impact.max(axis=1) if len(rows) else np.zeros(0, np.float32)
-        longest = max((len(q) + len(a) for _, q, a in rows), default=1)
-        self.stride = max(longest, 32)
-
-    def retrieve(self, passages: np.ndarray, terms: np.ndarray, threshold: float):
+            counts = sorted(((frequency.get(w, 1), terms[w], tf) for w, tf in Counter(q + a).items()))
+            df, t, tf = (np.array(c, dtype=np.float64) for c in zip(*counts))
+            impact = np.log(1 + (total - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (len(q) + len(a)) / mean_words))
+            impact /= impact.sum()
+            left = np.maximum(1 - np.cumsum(impact), 0.0)
+            needed = int(np.argmax(left <= min(REST, threshold / 2))) + 1
+            rest[k // BLOCK] = max(rest[k // BLOCK], left[needed - 1])
+            t = t.astype(np.int64)
+            each.append((t, np.full(len(t), k), impact))
+            essential.append((t[:needed], np.full(needed, k // BLOCK), impact[:needed]))
+        t, k, v = (np.concatenate(c) if c else np.zeros(0) for c in (zip(*each) if each else ((), (), ())))
+        keys = t.astype(np.int64) * max(n, 1) + k.astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.impacts, self.rest = keys[order], v[order], rest
+        self.most = np.zeros(self.wide)
+        np.maximum.at(self.most, t.astype(np.int64), v)
+        t, block, v = (np.concatenate(c) if c else np.zeros(0) for c in (zip(*essential) if essential else ((), (), ())))
+        cells = t.astype(np.int64) * max(blocks, 1) + block.astype(np.int64)
+        order = np.argsort(cells, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(cells[order]) > 0]) if len(cells) else np.zeros(0, np.int64)
+        own = cells[order][starts]
+        self.cell_block, self.cell_most = own % max(blocks, 1), np.maximum.reduceat(v[order], starts) if len(starts) else np.zeros(0)
+        self.cells = np.searchsorted(own // max(blocks, 1), np.arange(self.wide + 1))
+        self.parts: dict[int, tuple] = {}
+
+    def retrieve(self, passages: np.ndarray, terms: np.ndarray):
         """passages, terms: equally long, sorted by passage, each pair once. Yields (passage, item's place, score) arrays."""
+        enough, n, blocks = self.threshold - 1e-9, len(self.items), len(self.rest)
+        if not n or not len(passages):
+            return
         firsts = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]])
-        alive = np.add.reduceat(self.most[terms], firsts) >= threshold
-        sizes = np.diff(np.r_[firsts, len(passages)])
-        keep = np.repeat(alive, sizes)
+        alive = np.add.reduceat(self.most[terms], firsts) >= enough
+        keep = np.repeat(alive, np.diff(np.r_[firsts, len(passages)]))
         passages, terms = passages[keep], terms[keep]
-        step = 1 << 18
-        cuts = [0]
-        firsts = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]]) if len(passages) else np.zeros(0, np.int64)
-        while cuts[-1] < len(passages):
-            i = np.searchsorted(firsts, cuts[-1] + step)
-            cuts.append(int(firsts[i]) if i < len(firsts) else len(passages))
-        for lo, hi in zip(cuts, cuts[1:]):
-            p, t = passages[lo:hi], terms[lo:hi]
-            first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-            bound = np.add.reduceat(self.block_max[t], first, axis=0) >= threshold
-            ends = np.r_[first[1:], len(p)]
-            for block in np.flatnonzero(bound.any(axis=0)):
-                hit = np.flatnonzero(bound[:, block])
-                size = ends[hit] - first[hit]
-                start = np.cumsum(size) - size
-                rows = np.repeat(first[hit] - start, size) + np.arange(size.sum())
-                columns = slice(block * BLOCK, (block + 1) * BLOCK)
-                scores = np.add.reduceat(self.impact[t[rows], columns], start, axis=0)
-                a, b = np.nonzero(scores >= threshold)
-                if len(a):
-                    yield p[first[hit[a]]], block * BLOCK + b, scores[a, b]
+        if not len(passages):
+            return
+        firsts = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]])
+        ends = np.r_[firsts[1:], len(passages)]
+        met = self.cells[terms + 1] - self.cells[terms]
+        upto = np.cumsum(met)
+        lo = 0
+        while lo < len(firsts):
+            before = upto[firsts[lo] - 1] if firsts[lo] else 0
+            hi = max(lo + 1, min(int(np.searchsorted(upto[ends - 1], before + CELLS)), lo + max(1, CELLS // blocks)))
+            a, z = firsts[lo], ends[min(hi, len(firsts)) - 1]
+            local = np.repeat(np.arange(min(hi, len(firsts)) - lo), ends[lo:hi] - firsts[lo:hi])
+            cell = _ranges(self.cells[terms[a:z]], met[a:z])
+            place = np.repeat(local, met[a:z]) * blocks + self.cell_block[cell]
+            bound = np.bincount(place, self.cell_most[cell], (min(hi, len(firsts)) - lo) * blocks).reshape(-1, blocks)
+            p, block = np.nonzero((bound > 0) & (bound + self.rest >= enough))
+            size = (ends - firsts)[lo + p]
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // CELLS)) + 1
+            for some in np.split(np.arange(len(p)), cuts):
+                if len(some):
+                    yield from self._scored(passages, terms, firsts[lo + p[some]], size[some], block[some], n, enough)
+            lo = hi
+
+    def _scored(self, passages, terms, first, size, block, n, enough):
+        pair = np.repeat(np.arange(len(first)), size)
+        t, low = terms[_ranges(first, size)], np.repeat(block, size) * BLOCK
+        start = np.searchsorted(self.keys, t * n + low)
+        many = np.searchsorted(self.keys, t * n + np.minimum(low + BLOCK, n)) - start
+        at = _ranges(start, many)
+        place = np.repeat(pair, many) * BLOCK + self.keys[at] % n - np.repeat(low, many)
+        scores = np.bincount(place, self.impacts[at], len(first) * BLOCK).reshape(-1, BLOCK)
+        x, k = np.nonzero(scores >= enough)
+        if len(x):
+            yield passages[first[x]], block[x] * BLOCK + k, scores[x, k]
+
+    def shares(self, k: int, had: _Grams, whole: bool) -> list[float]:
+        """Of the question's, the answer's and, if asked, the whole item's shingles, the share that a document has."""
+        if k not in self.parts:
+            if len(self.parts) >= 10_000:
+                self.parts.clear()
+            q, a = (x.tolist() for x in self.words[k])
+            self.parts[k] = tuple(shingles(x) for x in ((q, a, q + a) if whole else (q, a)))
+        return [len(part & had[min(SHINGLE, len(next(iter(part))))]) / len(part) if part else 1.0 for part in self.parts[k]]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class Matcher:
-    """An index with the words it has seen: word as written -> term, or -1."""
-
-    def __init__(self, index: Index):
-        self.index = index
-        self.memo = _Terms(index.terms)
+    """The indexes of one group of items, and the words it has seen: word as written -> term, or -1."""
 
-    def leaks(self, texts: list, threshold: float, overlap: float) -> list[tuple]:
+    def __init__(self, items: list[tuple], frequency: dict[str, int], total: int, mean_words: float, whole: bool, threshold: float):
+        rows = [(i, words_of(q), words_of(a)) for i, q, a in items]
+        rows = [r for r in rows if r[1] or r[2]]
+        terms = {w: t for t, w in enumerate(sorted({w for r in rows for w in r[1] + r[2]}))}
+        classes: dict[int, list] = {}
+        for r in rows:
+            longest = CLASS
+            while longest < len(r[1]) + len(r[2]):
+                longest *= WIDER
+            classes.setdefault(longest, []).append(r)
+        self.indexes = [Index(classes[c], terms, frequency, total, mean_words, threshold) for c in sorted(classes)]
+        self.memo, self.whole = _Terms(terms), whole
+
+    def leaks(self, texts: list, overlap: float) -> list[tuple]:
         """[(row, item id, score, question overlap, answer overlap)] verified, by row and item."""
-        index, memo = self.index, self.memo
-        if not index.items:
+        if not self.indexes:
             return []
-        ids = [np.fromiter(map(memo.__getitem__, w), dtype=np.int64, count=len(w)) for w in ((t or "").split() for t in texts)]
+        ids = [np.fromiter(map(self.memo.__getitem__, w), dtype=np.int64, count=len(w)) for w in ((t or "").split() for t in texts)]
         ids = [x[x != -2] for x in ids]
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         if not sizes.sum():
             return []
-        segments = -(-sizes // index.stride)
-        base = np.cumsum(segments) - segments
-        flat = np.concatenate(ids)
-        local = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        segment = np.repeat(base, sizes) + local // index.stride
-        known = flat >= 0
-        flat, segment, inner = flat[known], segment[known], (local >= index.stride)[known]
-        if not len(flat):
-            return []
-        wide = len(index.terms)
-        pairs = np.unique(np.concatenate([segment * wide + flat, (segment[inner] - 1) * wide + flat[inner]]))
-        doc_of = np.repeat(np.arange(len(ids)), segments)
-        best: dict[tuple[int, int], float] = {}
-        for p, k, s in index.retrieve(pairs // wide, pairs % wide, threshold):
-            for key, score in zip(zip(doc_of[p].tolist(), k.tolist()), s.tolist()):
-                best[key] = max(score, best.get(key, 0.0))
-        out, had, row_had = [], set(), -1
-        for row, k in sorted(best):
-            if row != row_had:
-                had, row_had = _grams(ids[row].tolist()), row
-            shares = [len(part & had[min(SHINGLE, len(next(iter(part))))]) / len(part) if part else 1.0 for part in index.parts[k]]
-            if min(shares[:2]) >= overlap or shares[2:] and shares[2] >= overlap:
-                out.append((row, index.items[k], best[row, k], *shares[:2]))
-        return out
+        whole = np.concatenate(ids)
+        local = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out, grams = [], {}
+        for index in self.indexes:
+            segments = -(-sizes // index.stride)
+            segment = np.repeat(np.cumsum(segments) - segments, sizes) + local // index.stride
+            known = whole >= 0
+            flat, segment, inner = whole[known], segment[known], (local >= index.stride)[known]
+            wide = index.wide
+            pairs = np.unique(np.concatenate([segment * wide + flat, (segment[inner] - 1) * wide + flat[inner]]))
+            doc_of = np.repeat(np.arange(len(ids)), segments)
+            best: dict[tuple[int, int], float] = {}
+            for p, k, s in index.retrieve(pairs // wide, pairs % wide):
+                for key, score in zip(zip(doc_of[p].tolist(), k.tolist()), s.tolist()):
+                    best[key] = max(score, best.get(key, 0.0))
+            for row, k in sorted(best):
+                if row not in grams:
+                    grams[row] = _Grams(ids[row].tolist())
+                shares = index.shares(k, grams[row], self.whole)
+                if min(shares[:2]) >= overlap or shares[2:] and shares[2] >= overlap:
+                    out.append((row, index.items[k], best[row, k], *shares[:2]))
+        return sorted(out, key=lambda x: x[0])
 
 
 class _Terms(dict):
@@ -177,51 +227,47 @@ class _Grams(dict):
         return self[n]
 
 
-def _grams(words: list) -> _Grams:
-    return _Grams(words)
-
-
-def index_shards(items: DataFrame, answer: str | None = None, per_shard: int = SHARD):
-    """Broadcast shards of at most about per_shard items each, however many items there are; document frequencies and the mean length are those of all items."""
+def index_groups(items: DataFrame, answer: str | None, threshold: float, group_bytes: int = GROUP_BYTES):
+    """Broadcasts of about group_bytes of items each, one for all items of up to that size; document frequencies and the mean length are those of all items."""
     spark = items.sparkSession
     answers = F.col(answer) if answer else F.lit(None).cast("string")
     rows = items.select("item_id", "text", answers.alias("_answer")).where("text is not null or _answer is not null")
     whole = F.concat_ws(" ", "text", "_answer")
     tokens = F.filter(F.transform(F.split(F.lower(whole), r"\s+"), lambda w: F.regexp_replace(w, r"(?U)[\W_]+", "")), lambda w: w != "")
-    worded = rows.select("item_id", "text", "_answer", tokens.alias("_words"))
-    total, words = worded.agg(F.count(F.lit(1)), F.sum(F.size("_words"))).first()
-    shards = max(1, -(-total // per_shard))
+    worded = rows.select("item_id", "text", "_answer", tokens.alias("_words"), F.octet_length(whole).alias("_size"))
+    total, words, size = worded.agg(F.count(F.lit(1)), F.sum(F.size("_words")), F.sum("_size")).first()
+    groups = max(1, -(-(size or 0) // group_bytes))
     df = worded.select(F.explode(F.array_distinct("_words")).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    for s in range(shards):
-        part = worded.where(place == s)
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
+    for g in range(groups):
+        part = worded.where(place == g)
         mine = [(r[0], *((r[1] or "", r[2] or "") if answer else split_item(r[1] or ""))) for r in part.select("item_id", "text", "_answer").collect()]
         own = part.select(F.explode("_words").alias("_w")).distinct()
         frequency = {r[0]: r[1] for r in df.join(own, "_w").collect()}
-        yield spark.sparkContext.broadcast({"items": mine, "frequency": frequency, "total": total, "mean": max(1.0, (words or 0) / max(1, total)), "whole": not answer})
+        yield spark.sparkContext.broadcast({"items": mine, "frequency": frequency, "total": total, "mean": max(1.0, (words or 0) / max(1, total)), "whole": not answer, "threshold": threshold})
 
 
 def _matcher(x: dict) -> Matcher:
-    return Matcher(Index(x["items"], x["frequency"], x["total"], x["mean"], whole=x["whole"]))
+    return Matcher(x["items"], x["frequency"], x["total"], x["mean"], x["whole"], x["threshold"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, overlap: float = 0.8, answer: str | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, overlap: float = 0.8, answer: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each item that each row of docs leaks.
 
     threshold: share of an item's own BM25 score that a passage must reach. overlap: share of the question's, and of the answer's, distinct
     five-word shingles that the document must hold; without an answer column the halves are a split of one text, so that share of the
     whole item's shingles is enough too (the overlaps given are still those of the halves). Passages are 2 * stride words at every stride words, over the whole
-    text, where stride is at least the longest item of the shard. Items without words match nothing; null and empty texts leak
+    text, where stride is at least the longest item of the index (an index has items of about one length). Items without words match nothing; null and empty texts leak
     nothing; repeated items and rows give a row each. A null id is kept as null.
     """
     small_batches(docs.sparkSession, 256)
     parts = []
-    for shared in index_shards(items, answer):
+    for shared in index_groups(items, answer, threshold, group_bytes):
 
         def run(batches, shared=shared):
             matcher = per_worker(shared, _matcher)
             for batch in batches:
-                found = matcher.leaks(batch.column(1).to_pylist(), threshold, overlap)
+                found = matcher.leaks(batch.column(1).to_pylist(), overlap)
                 if found:
                     rows, *columns = map(list, zip(*found))
                     kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
@@ -241,18 +287,18 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, o
 def without_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """docs, columns as they are, without the rows that leak an item. Only texts go to Python, only verdicts come back."""
     small_batches(docs.sparkSession, 256)
-    for shared in index_shards(items):
-        docs = docs.where(_clean(shared, threshold, overlap)("text"))
+    for shared in index_groups(items, None, threshold):
+        docs = docs.where(_clean(shared, overlap)("text"))
     return docs
 
 
-def _clean(shared, threshold: float, overlap: float):
+def _clean(shared, overlap: float):
     @F.arrow_udf("boolean")
     def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = per_worker(shared, _matcher)
         for texts in columns:
             keep = np.ones(len(texts), dtype=bool)
-            keep[[f[0] for f in matcher.leaks(texts.to_pylist(), threshold, overlap)]] = False
+            keep[[f[0] for f in matcher.leaks(texts.to_pylist(), overlap)]] = False
             yield pa.array(keep)
 
     return clean
