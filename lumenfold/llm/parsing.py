@@ -11,6 +11,7 @@ three levels; likeness is the estimated share of common names, over the levels.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ SKETCH = 20
 #: Weight of each level's likeness: phrases of about 4, 13 and 45 characters.
 LEVELS = (0.2, 0.4, 0.4)
 CHARS = 1 << 20
+PART_BYTES = 128 << 20
 NONE = np.uint64(1 << 32)
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
@@ -132,53 +134,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """(_tail, doc_id, text) dealt by ranges of doc_id and sorted; each partition ends with the next range's first document (_tail = 1).
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(known, doc_id, h, text): rows in the order of these columns; null ids first, null texts as empty ones, h a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"), "text")
 
-    Texts are shuffled once. Bounds are approximate percentiles of the ids; the driver holds them and each
-    range's first id: two numbers a partition.
+
+def placing(bounds: list[tuple]):
+    """Arrow function: the number of bounds (known, id, h, tie), sorted, at or below a key. Most keys need their id alone."""
+    nulls = sum(not b[0] for b in bounds)
+    ids = np.array([b[1] for b in bounds[nulls:]], dtype=np.int64)
+
+    @F.arrow_udf("int")
+    def place(known: pa.Array, doc_id: pa.Array, h: pa.Array, tie: pa.Array) -> pa.Array:
+        there = np.asarray(known)
+        own = np.asarray(doc_id.fill_null(0))
+        out = nulls + np.searchsorted(ids, own, side="right")
+        for i in np.flatnonzero(~there | (nulls + np.searchsorted(ids, own) != out)):
+            out[i] = bisect_right(bounds, (bool(there[i]), int(own[i]), h[i].as_py(), tie[i].as_py()))
+        return pa.array(out, pa.int32())
+
+    return place
+
+
+def in_order(docs: DataFrame, parts: int | None) -> DataFrame:
+    """(_tail, doc_id, text) dealt by ranges of (doc_id, hash of the text) and sorted; each partition ends with the next range's first document (_tail = 1).
+
+    Texts are shuffled once. Bounds come from a sample of 20 keys a partition, a million at most, as Spark's own range partitioner takes them; they only
+    decide where ranges end. Equal rows are told apart by a tie number, so that no range need hold all of them: as they are equal, it changes no
+    result which of them follows which. The driver holds the sample and each range's first key. Without `parts` there is one for PART_BYTES of text, and
+    no fewer than Spark's shuffle partitions.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = (rows.agg(F.percentile_approx("doc_id", shares, 10 * max(parts, 1000))).first()[0] if shares else None) or []
-    bounds = sorted(set(bounds))
-    rows = rows.withColumn("_part", _place(F.col("doc_id"), bounds))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
-    heads = sorted((r[0], r[1]["id"]) for r in rows.groupBy("_part").agg(F.min(order)).collect())
-    before = [(heads[i - 1][0], head) for i, (_, head) in enumerate(heads)]
-    tails = spark.createDataFrame(before, "_to int, _head long")
-    dealt = rows.join(F.broadcast(tails), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
-    own = F.struct(F.col("_part").alias("part"), F.lit(0).alias("tail"))
-    other = F.struct(F.col("_to").alias("part"), F.lit(1).alias("tail"))
-    sent = dealt.select("doc_id", "text", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("_s"))
-    sent = sent.select(F.col("_s.part").alias("_part"), F.col("_s.tail").alias("_tail"), "doc_id", "text")
-    return sent.repartitionById(len(bounds) + 1, "_part").sortWithinPartitions("_tail", "doc_id", "text").select("_tail", "doc_id", "text")
-
-
-def _place(value, bounds: list[int]):
-    """Number of bounds at or below value, by two short searches."""
-    width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    if not groups:
-        return F.lit(0)
-    below = lambda array: F.size(F.filter(array, lambda b: b <= value))
-    firsts = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    all_groups = F.array(*[F.array(*[F.lit(b).cast("long") for b in g]) for g in groups])
-    group = below(firsts)
-    return F.when(value.isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * width + below(F.element_at(all_groups, F.greatest(group, F.lit(1))))).cast("int")
+    rows = _keyed(docs)
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PART_BYTES))
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    keys = rows.select("known", F.coalesce("doc_id", F.lit(0)), "h", tie).sample(fraction=min(1.0, min(20 * parts, 1_000_000) / max(n, 1)), seed=7).collect()
+    keys = sorted(tuple(k) for k in keys)
+    bounds = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+    dealt = rows.withColumn("_tie", tie).withColumn("_part", placing(bounds)("known", "doc_id", "h", "_tie")).drop("_tie")
+    firsts = dealt.groupBy("_part").agg(F.min(F.struct("known", "doc_id", "h")).alias("_first")).collect()
+    heads = sorted((r["_part"], *r["_first"]) for r in firsts)
+    before = spark.createDataFrame([(heads[i - 1][0], *head[2:]) for i, head in enumerate(heads)], "_to int, _id long, _h long")
+    tails = rows.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).groupBy("_to", "doc_id", "h").agg(F.min("text").alias("text"))
+    sent = dealt.select("_part", F.lit(0).alias("_tail"), "doc_id", "h", "text").unionByName(tails.select(F.col("_to").alias("_part"), F.lit(1).alias("_tail"), "doc_id", "h", "text"))
+    return sent.repartitionById(len(bounds) + 1, "_part").sortWithinPartitions("_tail", "doc_id", "h", "text").select("_tail", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    The next document is the next row by (doc_id, text), null ids first; after the last comes the first, so a sole row follows itself. A
+    The next document is the next row by (doc_id, hash of the text), null ids first; after the last comes the first, so a sole row follows itself. A
     null text is the empty text, whose fingerprint is '::'. Equal texts have equal fingerprints and likeness 1. Texts
     are parsed whole; a batch holds about CHARS code points, or one longer text.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches):
         for batch in batches:
