@@ -104,21 +104,40 @@ def decoded_body(coding: pd.Series, body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode(k, b) for k, b in zip(coding, body)], columns=["body", "reject"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("layers", T.IntegerType())]))
-def decode_layers(texts: pd.Series) -> pd.DataFrame:
-    """Percent-decodes up to three times, while there is a triplet to decode: the text and how many rounds decoded one."""
+LAYERS = T.StructType([T.StructField("text", T.StringType()), T.StructField("layers", T.IntegerType())])
+
+
+def _layers(texts: pd.Series, form: bool) -> pd.DataFrame:
     import re
     from urllib.parse import unquote
 
+    triplet = re.compile(r"%[0-9A-Fa-f]{2}")
+
     def decode(t):
         n = 0
-        while t is not None and n < 3 and re.search(r"%[0-9A-Fa-f]{2}", t):
-            t, n = unquote(t, errors="replace"), n + 1
+        while t is not None and n < 3:
+            encoded = triplet.search(t) is not None
+            plain = unquote(t.replace("+", " ") if form and not n else t, errors="replace")
+            if not encoded or plain == t:
+                return plain, n + encoded
+            t, n = plain, n + 1
         return t, n
 
     return pd.DataFrame([decode(t) for t in texts], columns=["text", "layers"]).astype({"layers": "int32"})
 
 
+@F.pandas_udf(LAYERS)
+def decode_layers(texts: pd.Series) -> pd.DataFrame:
+    """Percent-decodes up to three times, while there is a triplet to decode: the text and how many rounds decoded one."""
+    return _layers(texts, False)
+
+
+@F.pandas_udf(LAYERS)
+def decode_form_layers(texts: pd.Series) -> pd.DataFrame:
+    """The same for a form's field: in the first round '+' is a space."""
+    return _layers(texts, True)
+
+
 @F.pandas_udf(T.StringType())
 def backslash_rendered(wires: pd.Series) -> pd.Series:
     """Bytes as text; what is not UTF-8 as \\xNN."""

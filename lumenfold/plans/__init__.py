@@ -1,6 +1,6 @@
 """The engine's queries by name, and their SQL."""
 
-from . import breadth, curation, evaluation, logs, models, records, requests
+from . import breadth, curation, evaluation, forms, logs, models, records, requests
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "breadth", "curation", "evaluation", "logs", "models", "records", "requests"]
+__all__ = ["QUERIES", "SQL", "breadth", "curation", "evaluation", "forms", "logs", "models", "records", "requests"]
