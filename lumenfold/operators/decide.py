@@ -99,3 +99,21 @@ def ordered_match(flows: DataFrame, results: DataFrame, by: str, order: str) ->
 def wire_sections(line: Column) -> Column:
     """key=value tokens of a line as a map; a token without '=' has a null value."""
     return F.str_to_map(line, F.lit(" "), F.lit("="))
+
+
+def fast_path(method: Column, path: Column, query: Column, policy: list[tuple[str, str, str, str, str | None]]) -> tuple[Column, Column]:
+    """(rule, outcome) of a closed-world policy: rules are (name, method or '*', 'exact' or 'prefix', path, part that the query must hold or None), first
+    match. outcome is FORWARD, or why no rule fits: method (no rule takes it), or no_rule."""
+    fits = lambda kind, p: path == p if kind == "exact" else path.startswith(p)
+    rules = [(n, (F.lit(True) if m == "*" else method == m) & fits(kind, p) & (F.lit(True) if part is None else F.contains(query, F.lit(part)))) for n, m, kind, p, part in policy]
+    rule = first_reason([(n, F.coalesce(holds, F.lit(False))) for n, holds in rules])
+    taken = method.isin(*{m for _, m, *_ in policy if m != "*"})
+    return rule, F.when(rule.isNotNull(), "FORWARD").when(~F.coalesce(taken, F.lit(False)), "method").otherwise("no_rule")
+
+
+def mode_at(at: Column, switches: list[tuple[str, str]]) -> Column:
+    """The mode in force at a time: that of the last switch (time, mode) at or before it; null before the first. A short list of an operator's switches."""
+    out = F.lit(None).cast("string")
+    for time, mode in sorted(switches):
+        out = F.when(at >= F.to_timestamp_ntz(F.lit(time)), F.lit(mode)).otherwise(out)
+    return out

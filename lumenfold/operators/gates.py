@@ -114,3 +114,128 @@ def check(name: str, violations: DataFrame, detail: str) -> DataFrame:
     """(check, ok, violations, detail): a table of violations as one gate row."""
     n = violations.agg(F.count(F.lit(1)).alias("violations"))
     return n.select(F.lit(name).alias("check"), (F.col("violations") == 0).alias("ok"), "violations", F.lit(detail).alias("detail"))
+
+
+def gate_rows(rows: DataFrame, checks: list[tuple[str, list[Column], str]]) -> DataFrame:
+    """(check, scope, ok, violations, detail): row predicates as gates, one pass. A check's violations are those of all its predicates; a null predicate is none."""
+    one = rows.agg(*[sum((F.count_if(F.coalesce(p, F.lit(False))) for p in broken), F.lit(0)).cast("long").alias(f"_{i}") for i, (_, broken, _) in enumerate(checks)])
+    cells = [F.struct(F.lit(n).alias("check"), F.lit("rows").alias("scope"), (F.col(f"_{i}") == 0).alias("ok"), F.col(f"_{i}").alias("violations"), F.lit(d).alias("detail")) for i, (n, _, d) in enumerate(checks)]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def tables_of(parts: list[DataFrame]) -> DataFrame:
+    """Gate tables as one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def label_invariants(statuses: list[str], exclusions: list[str], policies: list[str], reasons: list[str], allow_output: str, slices: list[str] | None = None) -> list[tuple[str, list[Column], str]]:
+    """The label invariants M-1 to M-7 as checks for gate_rows, over columns label, label_status, exclusion_reason, policy_id, attack_category, payload_family_id,
+    payload_record_id, reason_string, output. Rows of a slice file (slices: its exclusion reasons) must be excluded, rows of a split must not."""
+    c = F.col
+    status, reason, policy, block, allow = c("label_status"), c("exclusion_reason"), c("policy_id"), c("label") == "BLOCK", c("label") == "ALLOW"
+    excluded, defined = status.eqNullSafe(F.lit("EXCLUDED")), status.eqNullSafe(F.lit("POLICY_DEFINED"))
+    out_of = lambda x, names: ~F.coalesce(x.isin(*names), F.lit(False))
+    misplaced = excluded if slices is None else ~excluded | out_of(reason, slices)
+    return [
+        ("M-1", [out_of(status, statuses), c("label").isNull() & ~excluded], "a known status; no label only if excluded"),
+        ("M-2", [(reason.isNotNull() != excluded) | (reason.isNotNull() & out_of(reason, exclusions))], "an exclusion has a known reason, and only it"),
+        ("M-3", [(policy.isNotNull() != defined) | (policy.isNotNull() & out_of(policy, policies))], "a policy label names a known policy, and only it"),
+        ("M-4", [misplaced], "excluded rows are in slices only"),
+        ("M-5", [block & ((F.coalesce(c("attack_category"), F.lit("")) == "") | (F.coalesce(c("payload_family_id"), F.lit("")) == "")), allow & c("payload_family_id").isNotNull()], "an attack has a category and a family, a benign row has none"),
+        ("M-6", [allow & c("payload_record_id").isNotNull()], "a benign row has no payload record"),
+        ("M-7", [block & (~c("output").eqNullSafe(F.concat(F.lit("BLOCK | "), c("reason_string"))) | out_of(c("reason_string"), reasons)), allow & ~c("output").eqNullSafe(F.lit(allow_output))], "the output says the label and a known reason"),
+    ]
+
+
+def label_census(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by all keys at once, '—' for null."""
+    return rows.groupBy(*[F.coalesce(F.col(k), F.lit("—")).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def identity_overlaps(rows: DataFrame, keys: list[str], split: str) -> DataFrame:
+    """(check, scope, ok, violations, detail): for each key, identities in more than one split. A list-valued key counts each of its elements; nulls are none."""
+    parts = []
+    for k in keys:
+        kind = rows.schema[k].dataType.typeName()
+        flat = rows.select(F.col(split).alias("_s"), (F.explode(k) if kind == "array" else F.col(k)).alias("_k")).where("_k is not null")
+        over = flat.groupBy("_k").agg((F.min("_s") != F.max("_s")).alias("_x")).agg(F.count_if("_x").alias("violations"))
+        parts.append(over.select(F.lit("disjoint").alias("check"), F.lit(k).alias("scope"), (F.col("violations") == 0).alias("ok"), "violations", F.lit("identities in two splits").alias("detail")))
+    return tables_of(parts)
+
+
+def spanning(rows: DataFrame, key: Column, split: str, check: str, scope: str) -> DataFrame:
+    """One gate row: values of key that are in more than one split. Keys are hashed before they are shuffled."""
+    by = rows.where(key.isNotNull()).groupBy(F.sha2(key.cast("string"), 256).alias("_k")).agg((F.min(split) != F.max(split)).alias("_x"))
+    n = by.agg(F.count_if("_x").alias("violations"))
+    return n.select(F.lit(check).alias("check"), F.lit(scope).alias("scope"), (F.col("violations") == 0).alias("ok"), "violations", F.lit("groups that span splits").alias("detail"))
+
+
+def evaluability(rows: DataFrame, category: str, family: str, split: str, test: str, reserve: str, least: int, least_test: int) -> DataFrame:
+    """(category, families, in_test, flag): EVALUABLE with enough families outside the reserve, and enough in test."""
+    f = rows.select(category, family, split).distinct().where(F.col(split) != reserve)
+    t = f.groupBy(category).agg(F.count(F.lit(1)).alias("families"), F.count_if(F.col(split) == test).alias("in_test"))
+    return t.withColumn("flag", F.when((F.col("families") >= least) & (F.col("in_test") >= least_test), "EVALUABLE").otherwise("NOT_EVALUABLE"))
+
+
+#: The integrity gate's thresholds: (warn, fail).
+THRESHOLDS = {"duplicates": (0.10, None), "leakage": (0.0, 0.01), "shortcut_accuracy": (0.65, 0.80), "shortcut_margin": (0.10, 0.20), "purity": (None, 0.99), "category_ratio": (100.0, None), "category_share": (0.001, None)}
+
+
+def graded(value: Column, warn: float | None, fail: float | None, strict: bool = True) -> Column:
+    """PASS, WARN or FAIL: over warn (or at it, if not strict), at or over fail."""
+    out = F.lit("PASS")
+    if warn is not None:
+        out = F.when(value > warn if strict else value >= warn, "WARN").otherwise(out)
+    return out if fail is None else F.when(value >= fail, "FAIL").otherwise(out)
+
+
+def integrity_gate(rows: DataFrame, text: str, split: str, train: str, label: str, fields: list[str], category: str) -> DataFrame:
+    """(check, scope, value, status) of a labelled corpus: duplicates inside each split, leakage of the other splits from train, how far single fields give the
+    label away (accuracy and margin over the majority), values at PURITY's share of one label that cover a hundredth of the rows, and balance of categories."""
+    hashed = rows.select(F.sha2(text, 256).alias("_h"), split, label, category, *[f for f in fields if f not in (split, label, category)])
+    by_text = hashed.groupBy("_h", split).agg(F.count(F.lit(1)).alias("_n"))
+    dup = by_text.groupBy(split).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).select(F.lit("duplicates").alias("check"), F.col(split).alias("scope"), ((F.col("n") - F.col("k")) / F.col("n")).alias("value"))
+    seen = by_text.where(F.col(split) == train).select("_h", F.lit(True).alias("_t"))
+    leak = by_text.where(F.col(split) != train).join(seen, "_h", "left").groupBy(split).agg((F.sum(F.when(F.col("_t"), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("value"))
+    leak = leak.select(F.lit("leakage").alias("check"), F.col(split).alias("scope"), "value")
+    long = hashed.select(label, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("_x"))
+    cells = long.groupBy("_x.field", "_x.v").agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
+    sums = cells.groupBy("field").agg(F.sum(F.col("n0") + F.col("n1")).alias("n"), F.sum(F.greatest("n0", "n1")).alias("m"), F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+    accuracy = sums.select(F.lit("shortcut_accuracy").alias("check"), F.col("field").alias("scope"), (F.col("m") / F.col("n")).alias("value"))
+    margin = sums.select(F.lit("shortcut_margin").alias("check"), F.col("field").alias("scope"), ((F.col("m") - F.greatest("a", "b")) / F.col("n")).alias("value"))
+    n = cells.join(sums.select("field", F.col("n").alias("_all")), "field")
+    pure = n.where((F.col("n0") + F.col("n1")) * 100 >= F.col("_all")).groupBy("field").agg(F.max(F.greatest("n0", "n1") / (F.col("n0") + F.col("n1"))).alias("value")).select(F.lit("purity").alias("check"), F.col("field").alias("scope"), "value")
+    sizes = hashed.groupBy(category).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.sum("n").alias("all"))
+    ratio_, share = (sizes.select(F.lit(c).alias("check"), F.lit(category).alias("scope"), v.alias("value")) for c, v in (("category_ratio", F.col("hi") / F.col("lo")), ("category_share", F.col("lo") / F.col("all"))))
+    every = tables_of([dup, leak, accuracy, margin, pure, ratio_, share])
+    status = F.lit("PASS")
+    for check_name, (warn, fail) in THRESHOLDS.items():
+        low = check_name == "category_share"
+        mine = F.when(F.col("value") < warn, "WARN").otherwise("PASS") if low else graded(F.col("value"), warn, fail, strict=check_name in ("leakage", "duplicates", "category_ratio"))
+        status = F.when(F.col("check") == check_name, mine).otherwise(status)
+    return every.select("check", "scope", F.round("value", 6).alias("value"), status.alias("status"))
+
+
+def freeze_precheck(artifacts: DataFrame, rows: DataFrame, meta: DataFrame, expected: DataFrame, split: str, category: str, source: str, over_limit: Column, block: Column) -> DataFrame:
+    """(check, scope, ok, violations, detail) before a dataset is frozen: artifacts whose verified status is ok, rows and their metadata alike in number by split, the
+    expected counts (split, n), no source with over three quarters of its category, at most a hundredth of a category over the length limit, and blocks
+    between 48 and 52 in a hundred of every split."""
+    shape = lambda name, scope, n, detail: n.select(F.lit(name).alias("check"), F.lit(scope).alias("scope"), (F.col("violations") == 0).alias("ok"), "violations", F.lit(detail).alias("detail"))
+    listed = artifacts.agg((F.count_if(F.col("status") != "ok") + (F.count(F.lit(1)) == 0).cast("int")).alias("violations"))
+    counts, metas = (d.groupBy(split).agg(F.count(F.lit(1)).alias(n)) for d, n in ((rows, "_n"), (meta, "_m")))
+    aligned = counts.join(metas, split, "full_outer").agg(F.count_if(~F.col("_n").eqNullSafe(F.col("_m"))).alias("violations"))
+    right = counts.join(expected.select(F.col("split").alias(split), F.col("n").alias("_e")), split, "full_outer").agg(F.count_if(~F.col("_n").eqNullSafe(F.col("_e"))).alias("violations"))
+    by_source = rows.groupBy(category, source).agg(F.count(F.lit(1)).alias("n"))
+    capped = by_source.groupBy(category).agg((4 * F.max("n") > 3 * F.sum("n")).alias("x")).agg(F.count_if("x").alias("violations"))
+    long = rows.groupBy(category).agg((100 * F.count_if(over_limit) > F.count(F.lit(1))).alias("x")).agg(F.count_if("x").alias("violations"))
+    balance = rows.groupBy(split).agg(F.count_if(block).alias("b"), F.count(F.lit(1)).alias("n")).agg(F.count_if((100 * F.col("b") < 48 * F.col("n")) | (100 * F.col("b") > 52 * F.col("n"))).alias("violations"))
+    return tables_of(
+        [
+            shape("artifact_hashes", "artifacts", listed, "artifacts that don't match their manifest, or none listed"), shape("row_meta_alignment", "splits", aligned, "splits whose rows and metadata differ in number"),
+            shape("split_row_counts", "splits", right, "splits without the expected number of rows"), shape("source_file_cap", "categories", capped, "categories with over 3/4 of one source"),
+            shape("over_limit", "categories", long, "categories with over 1/100 too long"), shape("class_balance", "splits", balance, "splits outside 48 to 52 in 100 blocks"),
+        ]
+    )

@@ -107,3 +107,8 @@ def compare(before: DataFrame, after: DataFrame, key: str, value: str, tolerance
         .when(pct > tolerance, "regressed").when(pct < -tolerance, "improved").otherwise("unchanged")
     )
     return j.select(key, F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round(pct, 6).alias("change_pct"), status.alias("status"))
+
+
+def merged_counters(rows: DataFrame, by: list[str], counters: list[str]) -> DataFrame:
+    """Counters summed by key, partial and final ones alike: the sum knows no order."""
+    return rows.groupBy(*by).agg(*[F.sum(c).cast("long").alias(c) for c in counters])

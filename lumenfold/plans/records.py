@@ -199,75 +199,16 @@ def label_census(t):
     return rows.groupBy("lang", "quality", "toxic", "held").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("violations"))
 
 
-@query("layer_attribution", """
-SELECT layer, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM (SELECT user_id, CASE WHEN event_type = 'error' AND value < 10 THEN 'front' WHEN event_type = 'error' AND value < 30 THEN 'upstream' WHEN event_type = 'error' THEN 'firewall' WHEN value IS NULL THEN 'no_answer' ELSE 'gateway' END AS layer FROM events) GROUP BY layer""")
-def layer_attribution(t):
-    err = F.col("event_type") == "error"
-    kind = first_reason([("front", err & (F.col("value") < 10)), ("upstream", err & (F.col("value") < 30)), ("firewall", err), ("no_answer", F.col("value").isNull())], "gateway")
-    return t("events").groupBy(kind.alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
-
-
-@query("cross_path_equality", """
-WITH s AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), p AS (SELECT conv_id, max(n) FILTER (WHERE turn = 0) AS direct, max(n) FILTER (WHERE turn = 1) AS proxied, max(n) FILTER (WHERE turn = 2) AS gateway FROM s GROUP BY conv_id)
-SELECT CASE WHEN proxied IS NULL THEN 'missing' WHEN proxied = direct THEN 'equal' ELSE 'different' END AS proxied, CASE WHEN gateway IS NULL THEN 'missing' WHEN gateway = direct THEN 'equal' ELSE 'different' END AS gateway, count(*)::BIGINT AS n FROM p GROUP BY ALL""")
-def cross_path_equality(t):
-    """Each path against the direct one, by step; a missing path is skipped, and said so."""
-    p = t("conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.length("text"))).alias(n) for i, n in enumerate(("direct", "proxied", "gateway"))])
-    said = lambda c: F.when(F.col(c).isNull(), "missing").when(F.col(c) == F.col("direct"), "equal").otherwise("different").alias(c)
-    return p.select(said("proxied"), said("gateway")).groupBy("proxied", "gateway").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("effect_oracle", """
-SELECT kind, count(*)::BIGINT AS n, count(*) FILTER (WHERE hit)::BIGINT AS hits FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'contains' WHEN 1 THEN 'sha256' ELSE 'prefix' END AS kind, CASE doc_id % 3 WHEN 0 THEN contains(text, 'the') WHEN 1 THEN substr(sha256(text), 1, 1) = 'a' ELSE starts_with(text, 'Th') END AS hit FROM documents) GROUP BY kind""")
-def effect_oracle(t):
-    k = F.col("doc_id") % 3
-    kind = F.when(k == 0, "contains").when(k == 1, "sha256").otherwise("prefix")
-    hit = F.when(k == 0, F.contains("text", F.lit("the"))).when(k == 1, F.sha2("text", 256).startswith("a")).otherwise(F.startswith("text", F.lit("Th")))
-    return t("documents").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
-
-
-@query("encoding_signals", None)
+@query("encoding_signals", """
+WITH p AS (SELECT CASE page_id % 4 WHEN 0 THEN url || '%2527' WHEN 1 THEN url || '%00%u0041' WHEN 2 THEN url || '%c0%ae' ELSE url END AS u FROM pages)
+SELECT array_to_string(list_filter([CASE WHEN page_has THEN 'multi_encoding' END, CASE WHEN contains(u, '%00') THEN 'null_byte' END, CASE WHEN regexp_matches(u, '(?i)%c[01]%[89ab][0-9a-f]') THEN 'overlong_utf8' END, CASE WHEN regexp_matches(u, '(?i)%u[0-9a-f]{4}') THEN 'percent_u' END], lambda x: x IS NOT NULL), ',') AS signals, count(*)::BIGINT AS n
+FROM (SELECT u, coalesce(regexp_matches(TRY(url_decode(u)), '%[0-9A-Fa-f]{2}'), false) AS page_has FROM p) GROUP BY 1""")
 def encoding_signals(t):
     """Encodings that hide characters, in urls with some planted; tests hold the function to hand-written cases."""
-    planted = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("%2527"))).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("%00%u0041"))).otherwise(F.col("url"))
+    planted = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("%2527"))).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("%00%u0041"))).when(F.col("page_id") % 4 == 2, F.concat("url", F.lit("%c0%ae"))).otherwise(F.col("url"))
     return t("pages").groupBy(F.array_join(protocol.encoding_signals(planted), ",").alias("signals")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LONG_KEYS = ["all rights reserved", "general public license", "apache license"]
-
-
-@query("benign_oracle", """
-WITH k AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS key FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS key FROM documents)
-SELECT verdict, count(*)::BIGINT AS n FROM (SELECT CASE WHEN key IN (SELECT key FROM k) THEN 'exact' """ + " ".join(f"WHEN contains(key, '{k}') THEN 'contains: {k}'" for k in sorted(LONG_KEYS)) + """ WHEN regexp_matches(key, '(password|token) ?= ?') THEN 'signature' ELSE 'free' END AS verdict FROM d) GROUP BY verdict""")
-def benign_oracle(t):
-    """Exact key in the set, else the first long key (sorted) that is contained, else a signature."""
-    from ..functions.keys import plain_key
-
-    known = t("benchmark").select(F.sha2(plain_key(F.col("text")), 256).alias("h")).distinct().withColumn("hit", F.lit(True))
-    d = t("documents").select(plain_key(F.col("text")).alias("key")).withColumn("h", F.sha2("key", 256)).join(known, "h", "left")
-    rules = [("exact", F.coalesce("hit", F.lit(False))), *[(f"contains: {k}", F.contains("key", F.lit(k))) for k in sorted(LONG_KEYS)], ("signature", F.col("key").rlike("(password|token) ?= ?"))]
-    return d.groupBy(first_reason(rules, "free").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("label_combination", """
-WITH r AS (SELECT conv_id, min(CASE WHEN text IS NULL OR text = '' THEN 0 WHEN contains(text, '@') THEN 1 WHEN contains(text, '!!') THEN 2 ELSE 9 END) AS k FROM conversations GROUP BY conv_id)
-SELECT CASE k WHEN 0 THEN 'excluded_empty' WHEN 1 THEN 'excluded_contact' WHEN 2 THEN 'BLOCK' ELSE 'ALLOW' END AS label, count(*)::BIGINT AS n FROM r GROUP BY 1""")
-def label_combination(t):
-    """A row's leaves to one label: the first exclusion in a frozen order, else an attack, else ALLOW."""
-    rank = F.when(F.coalesce("text", F.lit("")) == "", 0).when(F.contains("text", F.lit("@")), 1).when(F.contains("text", F.lit("!!")), 2).otherwise(9)
-    r = t("conversations").groupBy("conv_id").agg(F.min(rank).alias("k"))
-    label = F.when(F.col("k") == 0, "excluded_empty").when(F.col("k") == 1, "excluded_contact").when(F.col("k") == 2, "BLOCK").otherwise("ALLOW")
-    return r.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("trial_classes", """
-SELECT class, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_id % 10 = 0 THEN 'CONTROL' WHEN event_type = 'error' AND value < 5 THEN 'INFRA_ERROR' WHEN event_type = 'logout' THEN 'OUT_OF_SCOPE' WHEN event_id % 7 = 0 THEN 'MODEL_INVALID' WHEN value >= 20 THEN 'BLOCK' ELSE 'ALLOW' END AS class FROM events) GROUP BY class""")
-def trial_classes(t):
-    e = F.expr
-    kind = first_reason([("CONTROL", e("event_id % 10 = 0")), ("INFRA_ERROR", e("event_type = 'error' and value < 5")), ("OUT_OF_SCOPE", e("event_type = 'logout'")), ("MODEL_INVALID", e("event_id % 7 = 0")), ("BLOCK", e("value >= 20"))], "ALLOW")
-    return t("events").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("flow_assembly", """
 SELECT user_id, count(*)::BIGINT AS lines, min(event_id) AS opened, max_by(event_type, event_id) AS last_type, round(max_by(value, event_id), 6) AS last_value FROM events GROUP BY user_id""")
 def flow_assembly(t):

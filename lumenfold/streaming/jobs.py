@@ -45,17 +45,43 @@ def one_outcome(events: DataFrame, key: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def rotating_sink(stream: DataFrame, path: str, checkpoint: str, limit: int):
-    """JSON lines by micro-batch, at most `limit` rows each; what is over is counted, never waited for: (query, counters)."""
-    counters = {"written": 0, "dropped": 0}
+def rotating_sink(stream: DataFrame, path: str, checkpoint: str, items: int, octets: int, order: list[str], keep: int | None = None):
+    """JSON lines by micro-batch into path/batch=<number>: by order, the rows that fit in `items` and `octets` (of their JSON); what is over is counted by
+    outcome, never waited for. Counts go to path/_outcomes with the batch's number, so that a batch that is run again writes the same once more. With
+    keep only the last `keep` batches' files stay. Returns the query."""
+    from pyspark.sql import Window
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        line = F.to_json(F.struct(*batch.columns))
+        upto = Window.partitionBy().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # one micro-batch, bounded by its trigger
+        sized = batch.withColumn("_n", F.row_number().over(upto)).withColumn("_b", F.sum(F.octet_length(line) + 1).over(upto))
+        named = sized.withColumn("_outcome", F.when(F.col("_n") > items, "DROPPED_ITEMS").when(F.col("_b") > octets, "DROPPED_BYTES").otherwise("WRITTEN")).persist()
+        named.where("_outcome = 'WRITTEN'").drop("_n", "_b", "_outcome").write.mode("overwrite").json(f"{path}/batch={number:08d}")
+        named.groupBy(F.col("_outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").json(f"{path}/_outcomes/batch={number:08d}")
+        named.unpersist()
+        if keep is not None and number >= keep:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - keep:08d}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """(outcome, n) of all batches of a rotating sink."""
+    return spark.read.schema("outcome string, n long").json(f"{path}/_outcomes/*").groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
+def switched(stream: DataFrame, flag: str, path: str, checkpoint: str, on: str, off: str):
+    """Each micro-batch with the mode that the presence of the file `flag` says when the batch begins: on if it is there, else off. Returns the query."""
 
     def write(batch: DataFrame, number: int) -> None:
-        n = batch.count()
-        batch.limit(limit).write.mode("overwrite").json(f"{path}/batch={number}")
-        counters["written"] += min(n, limit)
-        counters["dropped"] += max(0, n - limit)
+        spark = batch.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(flag)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        batch.withColumn("mode", F.lit(on if there else off)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), counters
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def spend(times: list[float], rate_per_s: float, burst: float, tokens: float | None = None, last: float | None = None):
@@ -130,9 +156,19 @@ def admission_batch(events: DataFrame, slots: int, waiting: int, service_s: floa
     return rows.groupBy("user_id").applyInPandas(run, "event_id long, user_id long, outcome string")
 
 
-def log_tail(spark: SparkSession, path: str) -> DataFrame:
-    """A growing directory of JSON lines as a stream of complete lines."""
-    return spark.readStream.option("maxFilesPerTrigger", 100).text(path).where("value <> ''")
+def log_tail(spark: SparkSession, path: str, offsets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((file, at, line), (file, offset)): the complete lines of growing files beyond each file's offset (0 where offsets has none), `at` their place in
+    bytes, and the offsets after them. A last line without its LF waits for the next call. A file that has become shorter is read anew."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.length("content").alias("size"))
+    known = offsets if offsets is not None else spark.createDataFrame([], "file string, offset long")
+    both = files.join(known.select("file", F.col("offset").alias("o")), "file", "left").withColumn("o", F.when(F.col("o") <= F.col("size"), F.col("o")).otherwise(F.lit(0)))
+    fresh = F.decode(F.substring("content", (F.col("o") + 1).cast("int"), F.col("size").cast("int")), "ISO-8859-1")  # a character a byte
+    whole = both.select("file", "o", F.regexp_extract(fresh, r"(?s)^(.*\n)", 1).alias("w"))
+    cut = F.split(F.col("w"), "\n")
+    starts = F.aggregate(cut, F.array(F.col("o").cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
+    rows = whole.where("w <> ''").select("file", F.posexplode(F.slice(cut, F.lit(1), F.size(cut) - 1)).alias("p", "l"), starts.alias("s"))
+    lines = rows.select("file", F.get("s", F.col("p")).alias("at"), F.decode(F.encode("l", "ISO-8859-1"), "UTF-8").alias("line"))
+    return lines, whole.select("file", (F.col("o") + F.length("w")).cast("long").alias("offset"))
 
 
 def schedule(spark: SparkSession, rate: float, seconds: float, seed: str) -> DataFrame:
