@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..storage import discard, materialize
+from ..storage import discard, materialize, release
 
-__all__ = ["Memo", "connected_components", "discard", "held_out", "materialize", "per_worker", "small_batches", "spare", "table", "training_sample"]
+__all__ = ["Memo", "connected_components", "discard", "held_out", "materialize", "per_worker", "release", "small_batches", "spare", "table", "training_sample"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,10 +14,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_batches, spare, table
+from .common import connected_components, discard, materialize, release, small_batches, spare, table
 
 BUCKET = 2048
 FAN = 8
@@ -269,137 +270,206 @@ def shingle_marks(hashes: list[int]) -> bytes:
 SAMPLED, FREQUENT = 16, 1 << 17
 
 
-def rare_first(hashes: list[int], num: int, den: int, frequent: np.ndarray, counts: np.ndarray) -> list[int]:
-    """The first |A| - ceil(num/den |A|) + 1 hashes, rarest first: sets of Jaccard num/den or more share one of them. [0] for an empty set."""
+def rare_first(hashes: list[int], num: int, den: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[list[int], int]:
+    """The first |A| - ceil(num/den |A|) + 1 hashes, rarest first: sets of Jaccard num/den or more share one of them. Then how many of them are not
+    known to be frequent. [0] for an empty set."""
     if not hashes:
-        return [0]
+        return [0], 1
     h = np.array(hashes, dtype=np.int64)
     often = np.zeros(len(h), dtype=np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
         often = np.where(frequent[at] == h, counts[at], 0)
-    return h[np.lexsort((h, often))][: len(h) - -(-num * len(h) // den) + 1].tolist()
-
-
-def meeting_pairs(x: np.ndarray, row: np.ndarray, part: np.ndarray, n: np.ndarray, p: np.ndarray, num: int, den: int, most: int = 1 << 18):
-    """Yields (greater row, lesser row) arrays: pairs of equal x (sorted) and different parts that sizes n and places p of x let have Jaccard num/den."""
-    firsts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    sizes = np.diff(np.r_[firsts, len(x)])
-    mixed = np.minimum.reduceat(part, firsts) != np.maximum.reduceat(part, firsts)
-    end = np.repeat(np.where(mixed, firsts + sizes, 0), sizes)
-    live, step, held, found = np.arange(len(x)), 0, 0, []
-    while len(live):
-        step += 1
-        live = live[live + step < end[live]]
-        for at in range(0, len(live), most):
-            i = live[at : at + most]
-            j = i + step
-            least, largest = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            shared = np.minimum(p[i], p[j]) + 1 + np.minimum(n[i] - p[i], n[j] - p[j]) - 1
-            fits = (part[i] != part[j]) & (den * least >= num * largest) & ((num + den) * shared >= num * (n[i] + n[j]))
-            i, j = i[fits], j[fits]
-            found.append(np.stack([np.maximum(row[i], row[j]), np.minimum(row[i], row[j])]))
-            held += len(i)
-            if held > most:
-                yield np.unique(np.concatenate(found, axis=1), axis=1)
-                held, found = 0, []
+    order = np.lexsort((h, often))[: len(h) - -(-num * len(h) // den) + 1]
+    return h[order].tolist(), int((often[order] == 0).sum())
+
+
+def cast(hashes: list[int]) -> bytes | None:
+    """How many hashes fall in each of BINS equal parts of their range, a byte each; None if a part holds over 255."""
+    counts = np.bincount((np.array(hashes, dtype=np.int64).view(np.uint64) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def meeting_pairs(x: np.ndarray, row: np.ndarray, part: np.ndarray, n: np.ndarray, p: np.ndarray, num: int, den: int, casts: np.ndarray | None = None, cast_of: np.ndarray | None = None, most: int = 1 << 18):
+    """Yields (greater row, lesser row) arrays: pairs of equal x and different parts (x, part: sorted) that sizes n, places p of x and, where both
+    rows have one, their casts let have Jaccard num/den. A place's cast is casts[cast_of], none if that is negative. Pairs within a part are not looked at."""
+    ends = lambda new: np.repeat(np.r_[np.flatnonzero(new)[1:], len(new)], np.diff(np.r_[np.flatnonzero(new), len(new)]))
+    new = np.r_[True, x[1:] != x[:-1]]
+    start, many = ends(new | np.r_[True, part[1:] != part[:-1]]), ends(new)
+    many = many - start
+    held, found = 0, []
+    upto = np.cumsum(many)
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        size = many[lo:hi]
+        first, lo = lo, hi
+        i = np.repeat(np.arange(first, hi), size)
+        if not len(i):
+            continue
+        j = np.repeat(start[first:hi] - (np.cumsum(size) - size), size) + np.arange(len(i))
+        least, largest = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        shared = np.minimum(p[i], p[j]) + 1 + np.minimum(n[i] - p[i], n[j] - p[j]) - 1
+        fits = (den * least >= num * largest) & ((num + den) * shared >= num * (n[i] + n[j]))
+        i, j = i[fits], j[fits]
+        if casts is not None and len(i):
+            a, b = cast_of[i], cast_of[j]
+            known = np.flatnonzero((a >= 0) & (b >= 0))
+            out = np.ones(len(i), dtype=bool)
+            for some in np.array_split(known, 1 + len(known) // (1 << 16)):
+                common = np.minimum(casts[a[some]], casts[b[some]]).sum(axis=1, dtype=np.int64)
+                out[some] = (num + den) * common >= num * (n[i[some]] + n[j[some]])
+            i, j = i[out], j[out]
+        found.append(np.stack([np.maximum(row[i], row[j]), np.minimum(row[i], row[j])]))
+        held += len(i)
+        if held > most:
+            yield np.unique(np.concatenate(found, axis=1), axis=1)
+            held, found = 0, []
     if held:
         yield np.unique(np.concatenate(found, axis=1), axis=1)
 
 
 def meetings(prefixes: DataFrame, num: int, den: int, rows: int = 1 << 16) -> DataFrame:
-    """(a, b) of prefixes (x, row, part, n, p): the pairs of meeting_pairs for each x, each once."""
+    """(a, b) of prefixes (x, row, part, size_place, cast): the pairs of meeting_pairs for each x, each once. size_place is n << 32 | p; cast may be null."""
 
     def run(batches):
         held, size = [], 0
         for batch in _chain(batches):
             if batch is not None:
-                held.append([np.asarray(batch.column(i)) for i in range(5)])
-                size += len(held[-1][0])
+                held.append(batch)
+                size += len(batch)
                 if size < rows:
                     continue
             if not size:
                 continue
-            now = [np.concatenate(c) for c in zip(*held)]
-            cut = size if batch is None else int(np.searchsorted(now[0], now[0][-1]))
-            held, size = [[c[cut:] for c in now]], size - cut
+            now = pa.Table.from_batches(held)
+            x = now.column(0).to_numpy()
+            cut = size if batch is None else int(np.searchsorted(x, x[-1]))
+            held, size = now.slice(cut).to_batches(), size - cut
             if not cut:
                 continue
-            for a, b in meeting_pairs(*[c[:cut] for c in now], num, den):
+            now = now.slice(0, cut)
+            x, row, part, both = (now.column(i).to_numpy() for i in range(4))
+            known = now.column(4).is_valid().to_numpy()
+            casts = np.frombuffer(b"".join(now.column(4).drop_null().to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            for a, b in meeting_pairs(x, row, part, both >> 32, both & 0xFFFFFFFF, num, den, casts, np.where(known, np.cumsum(known) - 1, -1)):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    met = prefixes.select("x", "row", "part", "n", "p").repartition("x").sortWithinPartitions("x")
+    met = prefixes.select("x", "row", "part", "size_place", "cast").repartition("x").sortWithinPartitions("x", "part")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def crowd(hashes: list[int]) -> bytes:
+    """How many hashes fall in each of 2**k equal parts of their range, a byte each, about two hashes a part; empty if a part holds over 255."""
+    k = max(6, (max(len(hashes), 2) // 2).bit_length())
+    counts = np.bincount((np.array(hashes, dtype=np.int64).view(np.uint64) >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_alike(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bool:
+    """False only if sets of n and m hashes with these crowds can't have Jaccard num/den: a part's lesser count bounds what they share there."""
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(c, dtype=np.uint8).astype(np.int64) for c in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    shared = int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+    return (num + den) * shared >= num * (n + m)
+
+
 def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, fingerprints: int = 2, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, component_id for every row: classes of texts whose five-word shingles have Jaccard num/den or more, exactly those of all such pairs.
 
     First come the pairs that SimHash finds: any of the `fingerprints` fingerprints (of differently mixed hashes) within max_bits, spanning forests only,
     each verified on whole texts. They join most near copies, so that the exact route need not compare the members of a large class. Then a prefix
-    filter on shingles, rarest first, gives every pair of different classes that can reach num/den; all of these are verified too. Equal
-    texts are always one class. Null and empty texts, and texts without words, are alike. Texts whose ids are all null are only alike with equal ones.
+    filter on shingles, rarest first, gives every pair of different classes that can reach num/den; pairs that counts of hashes (`cast` where they meet,
+    which goes along with frequent shingles only, then `crowd`) rule out are left out, and all others are verified on whole texts too. Equal texts are always one class. Null and empty texts, and texts without words, are
+    alike. Texts whose ids are all null are only alike with equal ones.
     """
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("th"))
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("th"))
+    small_batches(spark)
     names = [f"fp{k}" for k in range(fingerprints)]
 
     def sets(batches):
         for batch in batches:
             found = pa.array([shingle_hashes(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["th", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["key", "s"])
 
-    sample = hashed.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLED)) == 0).select("th", "text").mapInArrow(sets, "th string, s array<long>")
-    tokens = sample.groupBy("th").agg(F.first("s").alias("s")).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    sample = hashed.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLED)) == 0).select("th", "text").mapInArrow(sets, "key binary, s array<long>")
+    tokens = sample.groupBy("key").agg(F.first("s").alias("s")).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     often = tokens.where("n > 1").orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow().sort_by("x")
-    shared_often = docs.sparkSession.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("x", "n")))
+    shared_often = spark.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("x", "n")))
 
-    def marks(batches):
+    def described(batches):
         frequent, counts = shared_often.value
+        start = TaskContext.get().partitionId() << 33
         for batch in batches:
             whole = batch.column(1).to_pylist()
             fps = np.array([views(t, shingle, seed, fingerprints) for t in whole], dtype=np.uint64).reshape(-1, fingerprints)
             found = [shingle_hashes(t, words) for t in whole]
-            signs = pa.array([shingle_marks(s) for s in found], pa.binary())
-            rare = pa.array([rare_first(s, num, den, frequent, counts) for s in found], pa.list_(pa.int64()))
-            codes = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(fingerprints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signs, rare, pa.array([len(s) for s in found], pa.int64()), *codes], ["doc_id", "th", "marks", "rare", "n", *names])
-
-    rows = materialize(hashed.mapInArrow(marks, "doc_id long, th string, marks binary, rare array<long>, n long, " + ", ".join(f"{n} long" for n in names)))
-    texts = materialize(rows.groupBy("th", *names).agg(F.min("doc_id").alias("least"), F.min("marks").alias("marks"), F.first("rare").alias("rare"), F.first("n").alias("n")))
+            columns = [pa.array(np.arange(start, start + len(whole))), batch.column(0), batch.column(2)]
+            columns += [pa.array([of(s) for s in found], pa.binary()) for of in (shingle_marks, crowd, cast)]
+            rare, unknown = zip(*[rare_first(s, num, den, frequent, counts) for s in found]) if found else ((), ())
+            columns += [pa.array(rare, pa.list_(pa.int64())), pa.array(unknown, pa.int64()), pa.array([len(s) for s in found], pa.int64())]
+            columns += [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(fingerprints)]
+            start += len(whole)
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "marks", "crowd", "cast", "rare", "unknown", "n", *names])
+
+    rows = materialize(hashed.mapInArrow(described, "row long, doc_id long, th binary, marks binary, crowd binary, cast binary, rare array<long>, unknown long, n long, " + ", ".join(f"{n} long" for n in names)))
+    ids = materialize(rows.groupBy("th").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")))  # each text's first row stands for it
+    texts = materialize(rows.select("row", *names).join(ids.select("row"), "row"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-        wanted = materialize(texts.join(ends, "th").where("least is not null").select(F.col("th").alias("_th"), "least"))
-        wanted = F.broadcast(wanted) if wanted.count() <= 50_000 else wanted
-        chosen = hashed.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("_th"))).select("th", "text")
-        whole = materialize(chosen.mapInArrow(sets, "th string, s array<long>").dropDuplicates(["th"]))
-        both = pairs.join(whole.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
+        ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        wanted = materialize(ids.join(ends, "row").where("least is not null").select("row", "least", F.col("th").alias("_th")))
+        few = F.broadcast(wanted) if wanted.count() <= 50_000 else wanted
+        chosen = hashed.join(few, (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("_th"))).select("row", "text")
+        whole = materialize(chosen.mapInArrow(sets, "key long, s array<long>").dropDuplicates(["key"]))
+        both = pairs.join(whole.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        out = materialize(both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        discard(wanted), discard(whole)
+        return out
 
-    found = []
+    found, spent = [], []
     for name in names:
-        heads = materialize(texts.groupBy(F.col(name).alias("fp")).agg(F.min("th").alias("head"), F.min_by("marks", "th").alias("marks")))
-        near = materialize(links(heads, max_bits)).distinct()
+        heads = materialize(rows.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("head"), F.min_by("marks", "row").alias("marks")))
+        near = materialize(links(heads, max_bits).distinct())
         a, b = (heads.select(F.col("fp").alias(e), F.col("head").alias(n)) for e, n in (("src", "a"), ("dst", "b")))
-        same = texts.join(heads.select(F.col("fp").alias(name), "head"), name).where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b"))
+        same = texts.join(heads.select(F.col("fp").alias(name), "head"), name).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
         found += [near.join(a, "src").join(b, "dst").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), same]
+        spent += [heads, near]
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    alike = materialize(verified(materialize(every.distinct())))
-    classes = connected_components(alike)
-    parts = texts.join(classes.select(F.col("node").alias("th"), "root"), "th", "left").select("th", "n", "rare", F.coalesce("root", "th").alias("part"))
-    parts = parts.select(F.xxhash64("th").alias("row"), F.xxhash64("part").alias("part"), "n", F.posexplode("rare").alias("p", "x")).withColumn("p", F.col("p").cast("long"))
-    met = materialize(meetings(parts, num, den))
-    named = texts.select(F.xxhash64("th").alias("row"), "th")
-    pairs = met.join(named.select(F.col("row").alias("a"), F.col("th").alias("ta")), "a").join(named.select(F.col("row").alias("b"), F.col("th").alias("tb")), "b")
-    more = materialize(verified(materialize(pairs.select(F.col("ta").alias("a"), F.col("tb").alias("b")))))
+    candidates = materialize(every.distinct())
+    alike = verified(candidates)
+    for table_ in (*spent, candidates, texts):
+        discard(table_)
+    release(spark)
+    classes = materialize(connected_components(alike))
+    parts = materialize(ids.select("row").join(classes.select(F.col("node").alias("row"), "root"), "row", "left").select("row", F.coalesce("root", "row").alias("part")))
+    release(spark)
+    prefixes = rows.select("row", "n", "rare", "unknown", "cast").join(parts, "row").select("row", "part", "n", "unknown", "cast", F.posexplode("rare").alias("_p", "x"))
+    prefixes = prefixes.withColumn("size_place", F.shiftleft("n", 32) + F.col("_p")).withColumn("cast", F.when(F.col("_p") >= F.col("unknown"), F.col("cast")))
+    met = materialize(meetings(prefixes, num, den))
+    release(spark)
+
+    @F.arrow_udf("boolean")
+    def fits(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array([may_be_alike(*row, num, den) for row in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), m.to_pylist())], pa.bool_())
+
+    a, b = (rows.select(F.col("row").alias(e), F.col("crowd").alias(f"c{e}"), F.col("n").alias(f"n{e}")) for e in ("a", "b"))
+    pairs = materialize(met.join(a, "a").join(b, "b").where(fits("ca", "cb", "na", "nb")).select("a", "b"))
+    discard(met)
+    more = verified(pairs)
     if not more.isEmpty():
         classes = connected_components(materialize(alike.unionByName(more)))
-    of_text = _named(texts.select("th", "least"), "th", classes)
-    return rows.join(of_text, "th").select("doc_id", "component_id")
+    of_text = _named(ids.select("row", "least"), "row", classes)
+    named = materialize(ids.select("row", "th").join(of_text, "row").select("th", "component_id"))  # a plain table, so that the join below can be split at a hot text
+    release(spark)
+    return rows.select("doc_id", "th").join(named, "th").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
