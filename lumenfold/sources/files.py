@@ -68,9 +68,9 @@ def bindings(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("reason", F.when(F.col("item").isNull() | F.col("label").isNull(), "malformed_binding"))
 
 
-def fenced_blocks(spark: SparkSession, path: str) -> DataFrame:
+def fenced_blocks(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """file, block (from 0), language, body: the fenced blocks of a tree of Markdown files."""
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     fence = r"(?s)```([A-Za-z0-9_+-]*)\n(.*?)```"
     both = texts.select(F.col("_metadata.file_name").alias("file"), F.regexp_extract_all("value", F.lit(fence), 1).alias("l"), F.regexp_extract_all("value", F.lit(fence), 2).alias("b"))
     return both.select("file", F.posexplode(F.arrays_zip("l", "b")).alias("block", "x")).select("file", "block", F.col("x.l").alias("language"), F.col("x.b").alias("body"))
@@ -124,53 +124,104 @@ class Workbook:
                         yield name, int(re.sub(r"\D", "", place) or 0), place, value
 
 
-@F.udtf(returnType="path string, value string")
-class YamlLeaves:
-    """Leaves of the plain YAML that corpora use: nested maps, lists of maps or scalars, quoted and bare scalars, literal blocks."""
-
-    def eval(self, content: bytes) -> Iterator[tuple]:
-        import re
-
-        stack: list[tuple[int, str]] = []
-        counts: dict[str, int] = {}
-        block: tuple[int, str, list[str]] | None = None
-        for line in [*bytes(content).decode("utf-8", "replace").split("\n"), "..."]:
-            indent = len(line) - len(line.lstrip(" "))
-            if block:
-                if line.strip() and indent <= block[0]:
-                    yield block[1], "\n".join(block[2]).rstrip("\n")
-                    block = None
-                else:
-                    block[2].append(line.strip())
-                    continue
-            plain = line.strip()
-            if not plain or plain.startswith("#") or plain in ("---", "..."):
+def yaml_leaves(text: str) -> list[tuple[str, str]]:
+    """(path, value) of the leaves of the plain YAML that corpora use: nested maps, lists of maps or scalars, quoted and bare scalars, comments, literal ('|')
+    and folded ('>') blocks with their indentation. Anchors, tags, flow collections and tabs as indentation raise ValueError."""
+    import re
+
+    stack: list[tuple[int, str]] = []
+    counts: dict[str, int] = {}
+    out: list[tuple[str, str]] = []
+    block = None  # [indent of its key, path, folded, chomped, lines]
+
+    def close():
+        lines = block[4]
+        while lines and not lines[-1].strip():
+            lines.pop()
+        own = min((len(x) - len(x.lstrip(" ")) for x in lines if x.strip()), default=0)
+        lines = [x[own:] for x in lines]
+        joined = "\n".join(lines)
+        if block[2]:
+            joined = re.sub(r"(?<=[^\n])\n(?=[^\n ])", " ", joined)
+            joined = re.sub(r"\n(\n+)", r"\1", joined)
+        out.append((block[1], joined + ("" if block[3] or not lines else "\n")))
+
+    def scalar(value: str) -> str:
+        quoted = re.match(r"""('(?:[^']|'')*'|"(?:[^"\\]|\\.)*")\s*(?:#.*)?$""", value)
+        if quoted and value[0] == "'":
+            return quoted.group(1)[1:-1].replace("''", "'")
+        if quoted:
+            import json
+
+            return json.loads(re.sub(r"\\x([0-9A-Fa-f]{2})", r"\\u00\1", quoted.group(1)))
+        value = re.split(r"\s+#", value, maxsplit=1)[0].rstrip()
+        if value[:1] in "&*!{[%@`" and value not in ("{}", "[]"):
+            raise ValueError(f"not plain: {value}")
+        return value
+
+    for line in [*text.split("\n"), "..."]:
+        line = line.rstrip("\r")
+        indent = len(line) - len(line.lstrip(" "))
+        if block:
+            if line.strip() and indent <= block[0]:
+                close()
+                block = None
+            else:
+                block[4].append(line)
                 continue
-            while plain.startswith("- ") or plain == "-":
-                while stack and stack[-1][0] >= indent:
-                    stack.pop()
-                parent = "/".join(k for _, k in stack)
-                counts[parent] = counts.get(parent, -1) + 1
-                stack.append((indent, str(counts[parent])))
-                plain, indent = plain[1:].strip(), indent + 2
-            m = re.match(r"""("[^"]*"|'[^']*'|[^:\s][^:]*):(?:\s+(.*))?$""", plain)
-            key, value = (m.group(1).strip("\"' "), m.group(2)) if m else (None, plain)
+        if line[indent : indent + 1] == "\t":
+            raise ValueError("a tab as indentation")
+        plain = line.strip()
+        if not plain or plain.startswith("#") or plain in ("---", "..."):
+            continue
+        while plain.startswith("- ") or plain == "-":
             while stack and stack[-1][0] >= indent:
                 stack.pop()
-            path = "/".join([*(k for _, k in stack), *([key] if key else [])])
-            if value in ("|", ">", "|-", ">-"):
-                block = (indent, path, [])
-            elif value:
-                yield path, value.strip("\"'")
-            elif key:
-                stack.append((indent, key))
+            parent = "/".join(k for _, k in stack)
+            counts[parent] = counts.get(parent, -1) + 1
+            stack.append((indent, str(counts[parent])))
+            rest = plain[1:]
+            indent, plain = indent + 1 + len(rest) - len(rest.lstrip(" ")), rest.strip()
+        if not plain:
+            continue
+        m = re.match(r"""("[^"]*"|'[^']*'|[^"'{\[&*!][^:]*?|[^"'{\[&*!]):(?:\s+(.*))?$""", plain)
+        key, value = (m.group(1).strip("\"' "), m.group(2)) if m else (None, plain)
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        path = "/".join([*(k for _, k in stack), *([key] if key is not None else [])])
+        head = re.match(r"([|>])([+-]?)$", value or "")
+        if head:
+            block = [indent, path, head.group(1) == ">", head.group(2) == "-", []]
+        elif value and not value.startswith("#"):
+            out.append((path, scalar(value)))
+        elif key is not None:
+            stack.append((indent, key))
+    return out
+
+
+@F.udtf(returnType="path string, value string, reason string")
+class YamlLeaves:
+    """Leaves of a YAML file (see yaml_leaves); a file that can't be read is one row with the reason."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        try:
+            for path, value in yaml_leaves(bytes(content).decode("utf-8")):
+                yield path, value, None
+        except ValueError as e:
+            yield None, None, f"unparseable: {e}"[:200]
 
 
 def exploded_files(spark: SparkSession, path: str, glob: str, reader, name: str) -> DataFrame:
     """file and what a table function (SectionedLog, Workbook, YamlLeaves) makes of each file's bytes. name: to register it by."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return exploded(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"), reader, name)
+
+
+def exploded(files: DataFrame, reader, name: str) -> DataFrame:
+    """The same of a table (file, content)."""
+    spark = files.sparkSession
     spark.udtf.register(name, reader)
-    files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").createOrReplaceTempView(f"{name}_files")
+    files.select("file", "content").createOrReplaceTempView(f"{name}_files")
     return spark.sql(f"SELECT f.file, t.* FROM {name}_files f, LATERAL {name}(f.content) t")
 
 
@@ -196,7 +247,10 @@ def prometheus(spark: SparkSession, path: str) -> DataFrame:
     line = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})? ([^ ]+)$"
     x = spark.read.text(path).where("value not like '#%'").select(*[F.regexp_extract("value", line, i).alias(n) for i, n in ((1, "name"), (2, "_l"), (3, "_v"))])
     x = x.where(F.col("name") != "").where(~F.col("name").rlike("_(bucket|sum|count)$"))
-    return x.select("name", F.str_to_map(F.regexp_replace("_l", '"', ""), F.lit(","), F.lit("=")).alias("labels"), F.expr("try_cast(_v as double)").alias("value"))
+    one = r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'
+    names, values = (F.regexp_extract_all("_l", F.lit(one), F.lit(i)) for i in (1, 2))
+    plain = F.transform(values, lambda v: F.replace(F.replace(F.replace(v, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\")))
+    return x.select("name", F.map_from_arrays(names, plain).alias("labels"), F.expr("try_cast(_v as double)").alias("value"))
 
 
 def run_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

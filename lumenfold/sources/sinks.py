@@ -24,12 +24,24 @@ def exclusive_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
 
-def by_split_and_slice(rows: DataFrame, path: str, split: str = "split", part: str = "slice") -> None:
-    rows.write.mode("errorifexists").partitionBy(split, part).parquet(path)
-
-
-def csv_table(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", "true").csv(path)
+def by_split_and_slice(rows: DataFrame, path: str, key: str, split: str = "split", part: str = "slice") -> DataFrame:
+    """Rows to path/rows and what else is known of them (columns that begin with '_', without the underscore, beside the key) to path/meta, both partitioned by
+    split and slice; never over what is there. Returns the counts (split, slice, rows) of what was written."""
+    plain = [c for c in rows.columns if not c.startswith("_")]
+    sidecar = [F.col(c).alias(c.lstrip("_")) for c in rows.columns if c.startswith("_")]
+    rows.select(*plain).write.mode("errorifexists").partitionBy(split, part).parquet(f"{path}/rows")
+    rows.select(key, split, part, *sidecar).write.mode("errorifexists").partitionBy(split, part).parquet(f"{path}/meta")
+    return rows.groupBy(split, part).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def csv_table(tables: list[DataFrame], path: str, order: list[str]) -> list[str]:
+    """Tables of one report as one CSV under one header: the sorted union of their columns, empty where a table lacks one; sorted by order. Returns the header."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    header = sorted(out.columns)
+    out.select(*header).repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", "true").csv(path)
+    return header
 
 
 def allowed(rows: DataFrame, columns: list[str], longest: int = 256) -> DataFrame:

@@ -14,23 +14,33 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one temporary folder only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary folder, but only on a local master: on a cluster its
+    machines would each write to their own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="lumenfold-"))
         path = _OWN[0]
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed at exit if not before."""
     path = f"{shared_dir(spark)}/lumenfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_remove_all)
     _WRITTEN.append(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = scratch(spark)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenfold_path = path
     return out

@@ -63,7 +63,10 @@ def test_archives(spark, tmp_path):
     assert [(r["entry"], r["section"], r["value"]) for r in got] == [("ab12", "A", "head"), ("ab12", "B", "GET /")]
     put(tmp_path, "y/a.yaml", "tests:\n  - id: 1\n    stages:\n      - uri: \"/x\"\n      - uri: /y\n  - id: 2\nbody: |\n  two\n  lines\n")
     got = files.exploded_files(spark, str(tmp_path / "y"), "*.yaml", files.YamlLeaves, "leaves").collect()
-    assert [(r["path"], r["value"]) for r in got] == [("tests/0/id", "1"), ("tests/0/stages/0/uri", "/x"), ("tests/0/stages/1/uri", "/y"), ("tests/1/id", "2"), ("body", "two\nlines")]
+    assert [(r["path"], r["value"]) for r in got] == [("tests/0/id", "1"), ("tests/0/stages/0/uri", "/x"), ("tests/0/stages/1/uri", "/y"), ("tests/1/id", "2"), ("body", "two\nlines\n")]
+    put(tmp_path, "y/b.yaml", "a: &x 1\nb: *x\n")
+    got = files.exploded_files(spark, str(tmp_path / "y"), "b.yaml", files.YamlLeaves, "leaves").collect()
+    assert [(r["path"], r["reason"][:12]) for r in got] == [(None, "unparseable:")]
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("xl/sharedStrings.xml", '<sst xmlns="urn:x"><si><t>hello</t></si></sst>')
@@ -105,11 +108,42 @@ def test_sinks(spark, tmp_path):
     clean = sinks.without_keys(d, "^body$").first()
     assert clean["r"].asDict() == {"keep": 1} and clean["l"][0].asDict() == {"n": 4}
     assert sinks.allowed(d.withColumn("t", F.repeat(F.lit("x"), 999)), ["id", "t"]).first()["t"] == "x" * 256
-    sinks.by_split_and_slice(d.select("id", F.lit("train").alias("split"), F.lit("s").alias("slice")), str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 100
+    counts = sinks.by_split_and_slice(d.select("id", "_private", F.lit("train").alias("split"), F.lit("s").alias("slice")), str(tmp_path / "p"), "id")
+    assert spark.read.parquet(str(tmp_path / "p/rows")).columns == ["id", "split", "slice"] and counts.first()["rows"] == 100
+    assert spark.read.parquet(str(tmp_path / "p/meta")).where("private = 's'").count() == 100
+    assert sinks.csv_table([d.select("id"), d.select("id", F.lit(1).alias("x"))], str(tmp_path / "c"), ["id"]) == ["id", "x"]
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).where("x is null").count() == 100
 
 
 def test_guard():
     assert tables.guard("/data/open/x") == "/data/open/x"
     with pytest.raises(tables.ProtectedInput):
         tables.guard("/data/open/../held/x", ("/data/held",))
+
+
+def test_yaml_leaves():
+    text = "a:\n  - 'it''s'\n  - \"x\\ty\" # comment\n  -\n    b: |-\n      def f():\n        return 1\n\n      f()\n    c: >\n      one\n      two\n\n      three\nd: {}\ne: http://x:1/y #z\n"
+    assert files.yaml_leaves(text) == [("a/0", "it's"), ("a/1", "x\ty"), ("a/2/b", "def f():\n  return 1\n\nf()"), ("a/2/c", "one two\nthree\n"), ("d", "{}"), ("e", "http://x:1/y")]
+    for bad in ("a: &x 1", "a: [1, 2]", "\ta: 1", "a: !t x"):
+        with pytest.raises(ValueError):
+            files.yaml_leaves(bad)
+
+
+def test_metric_labels_keep_commas_and_escapes(spark, tmp_path):
+    path = put(tmp_path, "m.txt", 'up{job="a,b",path="C:\\\\x \\"q\\""} 1\nplain 2\n')
+    got = {r["name"]: r["labels"] for r in files.prometheus(spark, path).collect()}
+    assert got == {"up": {"job": "a,b", "path": 'C:\\x "q"'}, "plain": {}}
+
+
+def test_shared_folder_is_required_on_clusters(spark):
+    from lumenfold import storage
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://h:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
