@@ -118,11 +118,6 @@ def url_value_classes(t):
     return links.groupBy(text.url_class(F.col("v")).alias("url_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shape_keys", None)
-def shape_keys(t):
-    return url_columns(t).groupBy("host", text.bind(F.col("query"), keys.shape_key).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("canonical_exact", None)
 def canonical_exact(t):
     """Exact canonical and family keys of urls, counted; tests hold the functions to hand-written cases."""
