@@ -160,7 +160,7 @@ def placing(bounds: list[tuple]):
 def in_order(docs: DataFrame, parts: int | None) -> DataFrame:
     """(_tail, doc_id, text) dealt by ranges of (doc_id, hash of the text) and sorted; each partition ends with the next range's first document (_tail = 1).
 
-    Texts are shuffled once. Bounds come from a sample of 20 keys a partition, a million at most, as Spark's own range partitioner takes them; they only
+    Texts are shuffled once. Bounds come from a sample of 100 keys a partition, a million at most (as in Spark's own range partitioner); they only
     decide where ranges end. Equal rows are told apart by a tie number, so that no range need hold all of them: as they are equal, it changes no
     result which of them follows which. The driver holds the sample and each range's first key. Without `parts` there is one for PART_BYTES of text, and
     no fewer than Spark's shuffle partitions.
@@ -170,7 +170,7 @@ def in_order(docs: DataFrame, parts: int | None) -> DataFrame:
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PART_BYTES))
     tie = F.xxhash64(F.monotonically_increasing_id())
-    keys = rows.select("known", F.coalesce("doc_id", F.lit(0)), "h", tie).sample(fraction=min(1.0, min(20 * parts, 1_000_000) / max(n, 1)), seed=7).collect()
+    keys = rows.select("known", F.coalesce("doc_id", F.lit(0)), "h", tie).sample(fraction=min(1.0, min(100 * parts, 1_000_000) / max(n, 1)), seed=7).collect()
     keys = sorted(tuple(k) for k in keys)
     bounds = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
     dealt = rows.withColumn("_tie", tie).withColumn("_part", placing(bounds)("known", "doc_id", "h", "_tie")).drop("_tie")
