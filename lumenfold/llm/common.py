@@ -11,6 +11,10 @@ from ..storage import discard, materialize, release
 __all__ = ["Memo", "connected_components", "discard", "held_out", "materialize", "per_worker", "release", "small_batches", "spare", "table", "training_sample"]
 
 
+#: A batch of texts: 512 rows, or as many as come to these bytes; a longer text is a batch of its own.
+BATCH_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,8 +28,12 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds Arrow batches: texts can be long, and a batch is held whole by a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds Arrow batches of this session, for good, by rows and by bytes where its settings allow more: texts can be long, and a Python worker holds a
+    batch whole. (Plans read the settings when they run, so they can't be put back here.)"""
+    octets = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, number in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows, int), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, octets)):
+        if not 0 < number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def per_worker(shared, make):

@@ -34,25 +34,28 @@ def running(df: DataFrame, bucket: str, strata: list[str]) -> DataFrame:
 def interleave(docs: DataFrame, *, shards: int, seed: int = 42, source: str = "source", overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, source, fraction, shard, slot for every row.
 
-    Shards differ by one row at most, whatever the sources' sizes. A null source is a stratum of its own; a null
-    id hashes as 'null'; a null text has size `overhead` and the crc32 of the empty text. Rows with equal ids,
+    Shards differ by one row at most, whatever the sources' sizes. A null source is a stratum of its own; rows without an id are
+    shuffled by their text's crc32 and size, so that they are no one bucket; a null text has size `overhead` and the crc32 of the empty text. Rows with equal ids,
     sizes and texts are interchangeable; other ties fall to id, crc and size. An empty table gives none.
     """
     n = docs.count()
     buckets = max(1, math.isqrt(n))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("|", F.lit("null"), crc.cast("string"), size.cast("string")))
     rows = docs.select(
         "doc_id",
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
         F.col(source).isNull().alias("_null"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        shuffle_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed).alias("_h"),
+        size.alias("size"),
+        crc.alias("text_crc32"),
+        shuffle_hash(key, seed).alias("_h"),
     ).withColumn("_b", _bucket(F.col("_h"), buckets))
     strata = ["_source", "_null"]
     light = docs.select(
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
         F.col(source).isNull().alias("_null"),
-        _bucket(shuffle_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed), buckets).alias("_b"),
+        _bucket(shuffle_hash(key, seed), buckets).alias("_b"),
     )
     order = ["_h", "doc_id", "text_crc32", "size"]
     within = Window.partitionBy(*strata, "_b").orderBy(*order)
@@ -90,9 +93,10 @@ def op2(spark, sf_dir):
 def oracle(shards: int = 40, seed: int = 42) -> str:
     """The same in DuckDB SQL; the crc32 is folded over the text's bits."""
     return f"""
-WITH b AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h,
+WITH b AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
   list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: (('0x' || x)::BIGINT >> k) & 1)))) AS bits FROM documents),
-c AS (SELECT doc_id, source, size, h, xor(list_reduce(bits, lambda a, x: xor(a >> 1, 3988292384 * xor(a & 1, x))), 4294967295)::BIGINT AS crc FROM b),
+x AS (SELECT doc_id, source, size, xor(list_reduce(bits, lambda a, x: xor(a >> 1, 3988292384 * xor(a & 1, x))), 4294967295)::BIGINT AS crc FROM b),
+c AS (SELECT *, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null|' || crc || '|' || size)), 1, 15))::BIGINT AS h FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc, size) AS k, count(*) OVER (PARTITION BY source) AS n FROM c),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1)::DOUBLE / (2 * n), h, doc_id, crc, size, source) - 1 AS pos, count(*) OVER () AS total FROM r),
 s AS (SELECT *, pos * {shards} // total AS shard FROM p)

@@ -225,6 +225,46 @@ def test_shards_match_the_mixture(spark):
     assert ((counts.max() - counts.min()) <= 2).all()
 
 
+def test_sharding_without_ids_matches_sql(spark, tmp_path):
+    """A third of all rows have no id: they are spread over buckets, and the SQL says the same."""
+    rows = [(i if i % 3 else None, f"text {i % 50}", f"s{i % 4}" if i % 7 else None) for i in range(600)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(registry.queries()["op2_stratified_sharding"](spark, str(tmp_path)), connect(str(tmp_path), ["documents"]), registry.oracle_sql()["op2_stratified_sharding"])
+
+
+def test_batches_are_only_made_smaller(spark):
+    from lumenfold.llm.common import BATCH_BYTES, small_batches
+
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for now, want in (("10000", "512"), ("100", "100"), ("0", "512")):
+            spark.conf.set(key, now)
+            small_batches(spark, 512)
+            assert spark.conf.get(key) == want
+            assert 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) <= BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_stages_without_labels_or_rows(spark, tmp_path, empty, awkward):
+    """No label teaches nothing: all score 0.5 and stay. Every stage takes an empty table."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.keep_good(spark, awkward, str(tmp_path)).count() == len(ROWS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, awkward, str(tmp_path)).columns == awkward.columns
+
+
+def test_keeping_takes_scores_at_the_threshold(spark):
+    model = quality.fit([("one two three", 1)] * 3 + [("one two three", 0)] * 7, 10)
+    d = docs_of(spark, [(1, "one two three", "a")])
+    assert abs(quality.quality(d, model).first()["score"] - 0.3) < 1e-12
+    assert quality.keep_good(d, model, quality.quality(d, model).first()["score"]).count() == 1
+
+
 def test_sharding_awkward(awkward, empty):
     got = sharding.interleave(awkward, shards=4).toPandas()
     assert len(got) == len(ROWS) and got[got.doc_id == 2]["size"].tolist() == [16]
