@@ -177,8 +177,12 @@ PROSE = [
 
 def prose_reason(text: Column, least: int = 3, most: int = 200) -> Column:
     """First reason to leave a text out of a prose pool; 'accepted' if none holds."""
+    at = text.contains("@")
+    low = F.lower(text)
+    #: what a text must hold for a pattern to match: cheap tests before dear ones
+    needs = {"email_like": at, "at_sign": at, "url_like": text.contains("://") | low.contains("www."), "digit_run_ge6": text.rlike("[0-9]{3}"), "phone_like": text.rlike("[0-9]"), "dated_event": text.rlike("[0-9]{4}")}
     rules = [("empty", F.coalesce(text, F.lit("")) == ""), PROSE[0], ("too_short", F.length(text) < least), ("too_long", F.length(text) > most), *PROSE[1:]]
-    return first_reason([(n, text.rlike(r) if isinstance(r, str) else r) for n, r in rules], "accepted")
+    return first_reason([(n, (needs[n] & text.rlike(r) if n in needs else text.rlike(r)) if isinstance(r, str) else r) for n, r in rules], "accepted")
 
 
 def name_reason(value: Column, given: bool = True) -> Column:

@@ -56,17 +56,20 @@ def group_cap(rows: DataFrame, group: list[str], order: list[str], cap: int) ->
 
 
 def round_robin_cap(rows: DataFrame, source: str, group: str, order: list[str], quota: int) -> DataFrame:
-    """Breadth first: the first of every group, then the second, until a source has quota rows. Adds depth and taken (place in the source)."""
-    depth = F.row_number().over(Window.partitionBy(source, group).orderBy(*order)).cast("long")
-    place = F.row_number().over(Window.partitionBy(source).orderBy("depth", group, *order)).cast("long")
-    return rows.withColumn("depth", depth).where(F.col("depth") <= quota).withColumn("taken", place).where(F.col("taken") <= quota)
+    """Breadth first: the first of every group, then the second, until a source has quota rows. Adds depth and taken (place in the source). Both ranks are cut
+    where they are made, so that tasks hold only quota rows a group, and groups' quotas a source, before and after the shuffle."""
+    depth = F.row_number().over(Window.partitionBy(source, group).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(source).orderBy("depth", group, *order))
+    shallow = rows.withColumn("depth", depth).where(F.col("depth") <= quota).withColumn("taken", place).where(F.col("taken") <= quota)
+    return shallow.withColumns({c: F.col(c).cast("long") for c in ("depth", "taken")})
 
 
-def class_balance(rows: DataFrame, stratum: str, label: str, order: list[str]) -> DataFrame:
-    """Of each stratum as many rows of either of two classes (0, 1) as the rarer has, by order."""
+def class_balance(rows: DataFrame, stratum: str, label: str, h: str, ties: list[str]) -> DataFrame:
+    """Of each stratum as many rows of either of two classes (0, 1) as the rarer has, by the 60-bit hash h."""
+    from .split import bucket_rank
+
     sizes = rows.groupBy(stratum).agg(F.least(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("_q"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, label).orderBy(*order)))
-    return ranked.join(sizes, stratum).where(F.col("_r") <= F.col("_q")).drop("_r", "_q")
+    return bucket_rank(rows, [stratum, label], h, ties).join(sizes, stratum).where(F.col("rank") <= F.col("_q")).drop("rank", "size", "_q")
 
 
 def collisions(rows: DataFrame, key: str, scope: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,10 +83,18 @@ def holm(tests: DataFrame, key: str, p: str) -> DataFrame:
 
 
 def auc_ap(rows: DataFrame, label: Column, score: str) -> DataFrame:
-    """AUC (ties count half) and average precision (tied scores move together). Rows are counted by distinct score before the running sums."""
-    by_score = rows.groupBy(F.col(score).alias("_s")).agg(F.count_if(label).alias("_p"), F.count_if(~label).alias("_n"))
-    down = Window.partitionBy().orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by_score.select("_p", "_n", F.sum("_p").over(down).alias("_cp"), F.sum("_n").over(down).alias("_cn"))
+    """AUC (ties count half) and average precision (tied scores move together). Rows are counted by distinct score before the running sums, and these run in
+    about sqrt(n) stretches of the score's range, whose totals come first: no window holds all scores."""
+    by_score = rows.groupBy(F.col(score).cast("double").alias("_s")).agg(F.count_if(label).alias("_p"), F.count_if(~label).alias("_n"))
+    n, low, high = by_score.agg(F.count("_s"), F.min("_s"), F.max("_s")).first()
+    stretches = max(1, math.isqrt(n or 0))
+    place = F.width_bucket("_s", F.lit(low or 0.0), F.lit(high), F.lit(stretches)) if high is not None and high > low else F.lit(1)
+    dealt = by_score.withColumn("_b", place.cast("long"))
+    totals = dealt.groupBy("_b").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn"))
+    over = Window.partitionBy().orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)
+    above = totals.select("_b", (F.sum("_bp").over(over) - F.col("_bp")).alias("_ap0"), (F.sum("_bn").over(over) - F.col("_bn")).alias("_an0"))
+    down = Window.partitionBy("_b").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.join(above, "_b").select("_p", "_n", (F.col("_ap0") + F.sum("_p").over(down)).alias("_cp"), (F.col("_an0") + F.sum("_n").over(down)).alias("_cn"))
     p, n, cp, cn = (F.col(c) for c in ("_p", "_n", "_cp", "_cn"))
     sums = run.agg(F.sum(p).alias("_P"), F.sum(n).alias("_N"), F.sum(n * (cp - p) + 0.5 * p * n).alias("_u"), F.sum(p * (cp / (cp + cn))).alias("_ap"))
     auc = ratio(F.col("_u"), F.col("_P").cast("double") * F.col("_N"))

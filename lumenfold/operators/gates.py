@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import bind, hash60
 from ..functions.stats import ratio
+from ..storage import materialize
 
 
 def leakage(rows: DataFrame, key: str, split: str, train: str) -> DataFrame:
@@ -35,39 +36,176 @@ def identity_splits(rows: DataFrame, keys: list[str], split: str) -> DataFrame:
     return sets.groupBy("splits").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def contains_join(rows: DataFrame, row_id: str, probes: DataFrame, probe_id: str, block: int = 24) -> DataFrame:
-    """(probe_id, row_id) of all rows whose text contains a probe. Probes are at least `block` characters.
+#: A side of a join is broadcast up to so many rows (of a key and an id each); beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+#: Probes that no run of words identifies are searched in one scan of the rows for each so many bytes of them.
+PROBE_BYTES = 32 << 20
 
-    A probe is anchored at the first place after a space, so that texts need only be cut at word starts; the block there is the equi-join key, and contains()
-    verifies. Probes without a space are compared at every place.
+
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if its rows are at most limit."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def run_hashes(words: Column, n: int) -> Column:
+    """Hash of each run of n consecutive words, in order; empty for fewer words. Each word is hashed once."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))
+    return bind(hashed, lambda h: F.when(F.size(h) >= n, runs(h)).otherwise(F.array().cast("array<bigint>")))
+
+
+class Runs:
+    """Hashes of runs of consecutive words, in numpy: a word is hashed once while it is remembered, a run's hash is a weighted sum of its words'."""
+
+    def __init__(self, pattern: str | None):
+        import re
+
+        self.find, self.memo = re.compile(pattern).findall if pattern else None, {}
+
+    def words(self, text: str) -> list[str]:
+        return self.find(text.lower()) if self.find else text.split(" ")
+
+    def hashes(self, words: list[str]):
+        import hashlib
+
+        import numpy as np
+
+        memo = self.memo
+        if len(memo) > 1_000_000:
+            memo.clear()
+        for w in (w for w in set(words) if w not in memo):
+            memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    @staticmethod
+    def of(hashes, n: int):
+        """Hash of each run of n."""
+        import numpy as np
+
+        at = len(hashes) - n + 1
+        out, weight = np.zeros(max(at, 0), dtype=np.uint64), 1
+        for k in range(n if at > 0 else 0):
+            weight = weight * 0x9E3779B97F4A7C15 % 2**64
+            out += hashes[k : k + at] * np.uint64(weight)
+        return out
+
+
+def met_by_runs(rows: DataFrame, row_id: str, wanted: dict[int, dict[int, list]], item_type, pattern: str | None) -> DataFrame:
+    """(row_id, _i): candidates, rows with a run of words whose hash is wanted: {length: {hash: items}}, a bounded table that is broadcast. Rows' runs never leave
+    their task. pattern finds the words of a lower-case text; None: what stands between single spaces."""
+    import numpy as np
+    import pyarrow as pa
+
+    tables = {n: (np.array(sorted(of), dtype=np.uint64), [of[h] for h in sorted(of)]) for n, of in wanted.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    kind = pa.int64() if item_type.typeName() == "long" else pa.int32() if item_type.typeName() == "integer" else pa.string()
+
+    def run(batches):
+        runs = Runs(pattern)
+        for batch in batches:
+            found = set()
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if text:
+                    h = runs.hashes(runs.words(text))
+                    for n, (known, items) in shared.value.items():
+                        own = Runs.of(h, n)
+                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        found.update((row, i) for k in np.unique(at[known[at] == own]).tolist() for i in items[k])
+            if found:
+                found = sorted(found, key=lambda x: x[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in found])), pa.array([i for _, i in found], kind)], [row_id, "_i"])
+
+    id_type = rows.schema[row_id].dataType.simpleString()
+    return rows.select(row_id, "text").mapInArrow(run, f"{row_id} {id_type}, _i {item_type.simpleString()}").distinct()
+
+
+def contains_join(rows: DataFrame, row_id: str, probes: DataFrame, probe_id: str) -> DataFrame:
+    """(probe_id, row_id) of all rows whose text contains a probe of one character or more.
+
+    A probe with three words between spaces is found by the hash of the first such three, and contains() verifies. While probes are few, their hashes are
+    broadcast and rows are read where they are; beyond, rows' runs of three words meet them in an equi join. Other probes are searched by one
+    automaton in each task, which reads a text once whatever their number.
     """
-    first = F.instr("probe", " ")
-    anchored = (first > 0) & (F.length("probe") - first >= block)
-    p = probes.withColumn("_at", F.when(anchored, first + 1).otherwise(1)).withColumn("_word", anchored)
-    keyed = p.select(probe_id, "probe", "_word", F.xxhash64(F.expr(f"substr(probe, _at, {block})")).alias("_k"))
-    grams = F.transform(F.regexp_extract_all("text", F.lit(rf"(?s) (?=(.{{{block}}}))"), 1), lambda g: F.xxhash64(g))
-    words = rows.select(row_id, F.explode(F.array_distinct(grams)).alias("_k"))
-    hit = words.join(keyed.where("_word"), "_k").select(row_id, probe_id, "probe")
-    plain = keyed.where("not _word").select(probe_id, "probe")
-    some = rows.join(hit, row_id).where(F.contains("text", "probe")).select(probe_id, row_id)
-    return some.unionByName(rows.join(plain, F.contains("text", "probe")).select(probe_id, row_id)).distinct()
-
-
-def word_ngrams(text: Column, n: int) -> Column:
-    """Distinct hashes of word n-grams; null for a shorter text."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9à-ÿ]+"), lambda w: w != "")
-    gram = lambda w: lambda i: F.xxhash64(F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(n)]))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), gram(w))
-    return bind(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(grams(w))))
+    inner = F.slice(F.split("probe", " "), F.lit(2), F.greatest(F.size(F.split("probe", " ")) - 2, F.lit(0)))
+    keyed = probes.where(F.length("probe") > 0).select(probe_id, "probe", F.when(F.size(inner) >= 3, F.slice(inner, 1, 3)).alias("_k"))
+    anchored = keyed.where("_k is not null")
+    if anchored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        runs, wanted = Runs(None), {}
+        for i, words in anchored.select(probe_id, "_k").collect():
+            wanted.setdefault(int(Runs.of(runs.hashes(list(words)), 3)[0]), []).append(i)
+        hit = met_by_runs(rows, row_id, {3: wanted} if wanted else {}, probes.schema[probe_id].dataType, None).withColumnRenamed("_i", probe_id)
+    else:
+        theirs = rows.select(row_id, F.explode(F.array_distinct(run_hashes(F.split("text", " "), 3))).alias("_h"))
+        hit = theirs.join(anchored.select(probe_id, F.get(run_hashes(F.col("_k"), 3), F.lit(0)).alias("_h")), "_h").select(row_id, probe_id).distinct()
+    some = rows.join(few(materialize(hit)), row_id).join(few(keyed.select(probe_id, "probe")), probe_id).where(F.contains("text", "probe")).select(probe_id, row_id)
+    return some.unionByName(_searched(rows, row_id, keyed.where("_k is null").select(probe_id, "probe"), probe_id)).distinct()
+
+
+def _searched(rows: DataFrame, row_id: str, probes: DataFrame, probe_id: str) -> DataFrame:
+    """The same by Aho-Corasick automata over groups of at most PROBE_BYTES of probes."""
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    schema = f"{probe_id} {probes.schema[probe_id].dataType.simpleString()}, {row_id} {rows.schema[row_id].dataType.simpleString()}"
+    size = probes.agg(F.sum(F.octet_length("probe"))).first()[0] or 0
+    out = spark.createDataFrame([], schema)
+    groups = -(-size // PROBE_BYTES)
+    for g in range(groups):
+        part = probes.where(F.pmod(F.xxhash64("probe"), F.lit(groups)) == g)
+        shared = spark.sparkContext.broadcast([tuple(r) for r in part.select(probe_id, "probe").collect()])
+
+        def run(batches, shared=shared):
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            ids: dict[str, list] = {}
+            for i, probe in shared.value:
+                ids.setdefault(probe, []).append(i)
+            for probe, own in ids.items():
+                found.add_word(probe, own)
+            found.make_automaton()
+            kinds = [pa.array([i for i, _ in shared.value[:1]]).type]
+            for batch in batches:
+                pairs = [(p, r) for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for own in {id(o): o for _, o in found.iter(text)}.values() for p in own]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], kinds[0]), pa.array([r for _, r in pairs], batch.column(0).type)], [probe_id, row_id])
+
+        out = out.unionByName(rows.select(row_id, "text").mapInArrow(run, schema))
+    return out
+
+
+def plain_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9à-ÿ]+"), lambda w: w != "")
+
+
+def word_ngrams(text: Column, n: int | Column) -> Column:
+    """Distinct word n-grams; empty for a shorter text."""
+    size = F.lit(n) if isinstance(n, int) else n
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    return bind(plain_words(text), lambda w: F.when(F.size(w) >= size, F.array_distinct(grams(w))).otherwise(F.array().cast("array<string>")))
 
 
 def ngram_overlap(rows: DataFrame, row_id: str, items: DataFrame, item_id: str, n: int) -> DataFrame:
-    """(row_id, item_id, shared, overlap): share of an item's distinct word n-grams that a row holds, of all pairs that share one."""
-    mine = items.select(item_id, word_ngrams(F.col("text"), n).alias("g")).withColumn("_n", F.size("g"))
-    mine = mine.select(item_id, "_n", F.explode("g").alias("g"))
-    theirs = rows.select(row_id, F.explode(word_ngrams(F.col("text"), n)).alias("g"))
-    counts = theirs.join(mine, "g").groupBy(row_id, item_id, "_n").agg(F.count(F.lit(1)).alias("shared"))
-    return counts.select(row_id, item_id, "shared", F.round(F.col("shared") / F.col("_n"), 6).alias("overlap"))
+    """(row_id, item_id, shared, overlap): share of an item's distinct word n-grams that a row holds, of all pairs that share one. An item of fewer words has
+    one gram, its whole sequence. Candidates meet by hashes of grams: broadcast while items' words are few, else by an equi join; pairs that met are
+    counted on the words."""
+    mine = items.select(F.col(item_id).alias("_i"), plain_words(F.col("text")).alias("_w")).withColumn("_n", F.least(F.size("_w"), F.lit(n))).where("_n > 0")
+    if (mine.agg(F.sum(F.size("_w"))).first()[0] or 0) <= BROADCAST_ROWS:
+        runs, wanted = Runs(None), {}
+        for i, words, size in mine.collect():
+            for h in set(Runs.of(runs.hashes(words), size).tolist()):
+                wanted.setdefault(size, {}).setdefault(h, []).append(i)
+        met = met_by_runs(rows, row_id, wanted, items.schema[item_id].dataType, "[a-z0-9à-ÿ]+")
+    else:
+        grams = F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1), lambda i: F.xxhash64(F.slice(F.transform("_w", lambda w: F.xxhash64(w)), i, F.col("_n"))))
+        sizes = sorted(r[0] for r in mine.select("_n").distinct().collect())  # n numbers at most
+        theirs = rows.select(row_id, F.explode(F.array_distinct(bind(plain_words(F.col("text")), lambda w: F.concat(*[run_hashes(w, k) for k in sizes])))).alias("_g"))
+        met = theirs.join(mine.select("_i", F.explode(F.array_distinct(grams)).alias("_g")), "_g").select(row_id, "_i").distinct()
+    met = materialize(met)
+    known = materialize(mine.select("_i", "_n", F.array_distinct(bind(F.col("_w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - F.col("_n") + 1), lambda i: F.array_join(F.slice(w, i, F.col("_n")), " ")))).alias("_own")))
+    pairs = rows.select(row_id, "text").join(few(met), row_id).join(few(known), "_i")
+    counted = pairs.select(row_id, F.col("_i").alias(item_id), F.size(F.array_intersect("_own", word_ngrams(F.col("text"), F.col("_n")))).cast("long").alias("shared"), F.size("_own").alias("_n"))
+    return counted.where("shared > 0").select(row_id, item_id, "shared", F.round(F.col("shared") / F.col("_n"), 6).alias("overlap"))
 
 
 def shortcut_scores(rows: DataFrame, fields: list[str], label: str, score: float, margin: float) -> DataFrame:

@@ -67,13 +67,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def key_edges(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
-    """(src, dst) of the row-to-key relation: rows that share any key's value hang together. Null keys link nothing."""
-    parts = [
-        rows.where(F.col(k).isNotNull()).select(
-            F.concat(F.lit("r:"), F.col(row_id).cast("string")).alias("src"), F.concat(F.lit(f"{k}:"), F.col(k).cast("string")).alias("dst")
-        )
-        for k in keys
-    ]
+    """(src, dst): every row to the least row that shares a key's value. Null keys link nothing. The least rows are partial minima, so a key that a third of all
+    rows have is no task's burden."""
+    parts = []
+    for k in keys:
+        own = rows.select(F.col(row_id).alias("src"), F.col(k).alias("_k")).where("_k is not null")
+        least = own.groupBy("_k").agg(F.min("src").alias("dst"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k", "dst")
+        parts.append(own.join(least, "_k").select("src", "dst").where("src <> dst"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -82,12 +82,8 @@ def key_edges(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
 
 def multi_key_components(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
     """(row_id, component): the smallest row id among rows connected through any of the keys. A row without keys is alone."""
-    edges = materialize(key_edges(rows, row_id, keys))
-    nodes = connected_components(edges).where(F.col("node").startswith("r:"))
-    named = nodes.select(F.substring("node", 3, 1 << 20).cast(rows.schema[row_id].dataType).alias(row_id), "root")
-    least = named.groupBy("root").agg(F.min(row_id).alias("component"))
-    joined = named.join(least, "root").select(row_id, "component")
-    return rows.select(row_id).join(joined, row_id, "left").select(row_id, F.coalesce("component", row_id).alias("component"))
+    found = connected_components(key_edges(rows, row_id, keys)).select(F.col("node").alias(row_id), "root")
+    return rows.select(row_id).join(found, row_id, "left").select(row_id, F.coalesce("root", row_id).alias("component"))
 
 
 def families(rows: DataFrame, family: str, lists: list[str]) -> DataFrame:

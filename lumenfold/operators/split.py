@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash60
 
 
+def bucket_rank(rows: DataFrame, strata: list[str], h: str, ties: list[str]) -> DataFrame:
+    """rows with rank (from 1, by the 60-bit hash h, then ties) and size of their stratum. Ranks come from prefix sums over about sqrt(n) buckets of the hash, so no
+    window holds a stratum, only a bucket of it."""
+    buckets = max(1, math.isqrt(rows.count()))
+    dealt = rows.withColumn("_b", F.shiftright(F.shiftright(h, 30) * F.lit(buckets), 30))
+    counts = dealt.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    part = Window.partitionBy(*strata)
+    upto = part.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_b").alias("_bb"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(part).alias("size"))
+    same = F.col("_b") == F.col("_bb")
+    for i, s in enumerate(strata):
+        same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    inside = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy(h, *ties))
+    return dealt.join(sums, same).withColumn("rank", (F.col("_before") + inside).cast("long")).select(*rows.columns, "rank", "size")
+
+
 def hash_rank(rows: DataFrame, row_id: str, strata: list[str], salt: str) -> DataFrame:
-    """rows with rank (from 1, by hash, then id) and size of their stratum. The window holds one stratum: for strata that
-    grow with the corpus use split_of, which needs none."""
+    """rows with rank (from 1, by hash, then id) and size of their stratum."""
     h = hash60(F.concat(F.lit(salt + "|"), *[x for s in strata for x in (F.coalesce(F.col(s).cast("string"), F.lit("")), F.lit("|"))], F.col(row_id).cast("string")))
-    part = Window.partitionBy(*strata)
-    ranked = rows.withColumn("_h", h)
-    return ranked.select(
-        *rows.columns, F.row_number().over(part.orderBy("_h", row_id)).cast("long").alias("rank"), F.count(F.lit(1)).over(part).alias("size")
-    )
+    return bucket_rank(rows.withColumn("_h", h), strata, "_h", [row_id]).drop("_h")
 
 
 def rank_cuts(rank: Column, size: Column) -> Column:

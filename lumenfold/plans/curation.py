@@ -11,6 +11,18 @@ from ..storage import materialize
 from .registry import KEYED, LABELLED, PLAIN, L, R, h60, query, split_sql
 
 SALT = "v1"
+
+
+def masked_sql(x: str) -> str:
+    """masked_key of a canonical key: digit runs as 0, four or more of a letter as three, no blanks."""
+    x = f"regexp_replace({x}, '[0-9]+', '0', 'g')"
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        x = f"regexp_replace({x}, '{c}{{4,}}', '{c * 3}', 'g')"
+    return f"replace({x}, ' ', '')"
+
+
+MASKED = masked_sql(PLAIN)
+TITLE = r"trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[ \t\r\n\f\x0B]+', ' ', 'g'))"
 SPLIT = split_sql("key", SALT)
 
 
@@ -172,26 +184,22 @@ def contamination_exact(t):
     return lines.join(items, "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
-PROBE = "substr(text, 1, 64)"
-
-
-@query("contamination_substring", f"SELECT b.item_id, d.doc_id FROM (SELECT item_id, {PROBE} AS probe FROM benchmark WHERE length(text) >= 64) b JOIN documents d ON contains(d.text, b.probe)")
+@query("contamination_substring", "SELECT b.item_id, d.doc_id FROM (SELECT item_id, text AS probe FROM benchmark WHERE length(text) > 0) b JOIN documents d ON contains(d.text, b.probe)")
 def contamination_substring(t):
-    """Documents that hold a whole item, of any length but 0. Blocked by 24 characters after its first space: an equi join, verified by contains(). The SQL
-    searches an item's first 64 characters, which gives the same rows on the given tables only."""
+    """Documents that hold a whole item, of any length but 0."""
     probes = t("benchmark").where(F.length("text") > 0).select("item_id", F.col("text").alias("probe"))
     return gates.contains_join(t("documents").select("doc_id", "text"), "doc_id", probes, "item_id")
 
 
 @query("contamination_ngram", """
 WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), lambda x: x <> '') AS ws FROM benchmark),
-b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM w WHERE len(ws) >= 8),
+b AS (SELECT DISTINCT item_id, least(len(ws), 8) AS k, unnest(list_transform(range(1, len(ws) - least(len(ws), 8) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 8) - 1], ' '))) AS g FROM w WHERE len(ws) > 0),
 n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id),
 v AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), lambda x: x <> '') AS ws FROM documents),
-d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM v WHERE len(ws) >= 8)
-SELECT d.doc_id, b.item_id, count(*)::BIGINT AS shared, round(count(*)::DOUBLE / any_value(n.n), 6) AS overlap FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY ALL""")
+d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS g FROM v, (SELECT DISTINCT k FROM b) WHERE len(ws) >= k)
+SELECT d.doc_id, b.item_id, count(*)::BIGINT AS shared, round(count(*)::DOUBLE / any_value(n.n), 6) AS overlap FROM d JOIN b USING (k, g) JOIN n USING (item_id) GROUP BY ALL""")
 def contamination_ngram(t):
-    """Share of an item's distinct 8-word n-grams that a document holds."""
+    """Share of an item's distinct 8-word n-grams that a document holds; a shorter item is one gram."""
     return gates.ngram_overlap(t("documents"), "doc_id", t("benchmark"), "item_id", 8)
 
 
@@ -284,7 +292,7 @@ q AS (SELECT lang, least(count(*) FILTER (WHERE toxic = 0), count(*) FILTER (WHE
 SELECT doc_id, lang, toxic FROM r JOIN q USING (lang) WHERE r.r <= q.q""")
 def class_balance(t):
     rows = labelled(t).select("doc_id", "lang", "toxic", keys.hash60(F.col("doc_id").cast("string")).alias("h"))
-    return curate.class_balance(rows, "lang", "toxic", ["h", "doc_id"]).drop("h")
+    return curate.class_balance(rows, "lang", "toxic", "h", ["doc_id"]).drop("h")
 
 
 @query("cluster_share_class", f"""
@@ -300,19 +308,19 @@ def cluster_share_class(t):
 
 WORDS5 = """
 WITH k AS (SELECT min(doc_id) AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents GROUP BY trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))),
-g AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM k WHERE len(w) >= 5),
+g AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS t FROM k WHERE len(w) > 0),
 e AS (SELECT id, unnest(t) AS x, len(t) AS n FROM g),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS united FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
 s AS (SELECT a, b, shared::BIGINT AS shared, united::BIGINT AS united FROM p WHERE 5 * shared >= 4 * united)"""
 
 
 def word_sets(t):
-    """(id, t): distinct five-word shingles of distinct canonical texts; texts of fewer words can't be compared."""
+    """(id, t): distinct five-word shingles of distinct canonical texts; the whole sequence of fewer words; texts without words have none."""
     one = keyed(t).groupBy("key").agg(F.min("doc_id").alias("id"))
     words = F.filter(F.split("key", " "), lambda w: w != "")
     gram = lambda w: lambda i: F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(5)])
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), gram(w))
-    return one.select("id", keys.bind(words, lambda w: F.when(F.size(w) >= 5, F.array_distinct(grams(w)))).alias("t"))
+    return one.select("id", keys.bind(words, lambda w: F.when(F.size(w) >= 5, F.array_distinct(grams(w))).when(F.size(w) > 0, F.array(F.array_join(w, " ")))).alias("t"))
 
 
 @query("near_dup_pairs", WORDS5 + " SELECT * FROM s")
@@ -344,31 +352,33 @@ def near_dup_items(t):
 
 
 @query("multi_key_components", f"""
-WITH RECURSIVE k AS (SELECT doc_id, 't' || sha256({PLAIN}) AS x FROM documents UNION SELECT doc_id, 'f' || substr({PLAIN}, 1, 40) FROM documents),
+WITH RECURSIVE k AS (SELECT doc_id, 'f' || sha256({MASKED}) AS x FROM documents UNION SELECT doc_id, 't' || {TITLE} FROM documents WHERE {TITLE} <> ''),
 s AS (SELECT x, min(doc_id) AS m FROM k GROUP BY x), e AS (SELECT DISTINCT k.doc_id AS a, s.m AS b FROM k JOIN s USING (x)),
 w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a)
 SELECT a AS doc_id, min(b) AS component FROM r GROUP BY a""")
 def multi_key_components(t):
-    """Documents that share a canonical text, or its first 40 characters, hang together."""
-    rows = materialize(keyed(t).select("doc_id", F.sha2("key", 256).alias("text_key"), F.substring("key", 1, 40).alias("family_key")))
-    return graph.multi_key_components(rows, "doc_id", ["text_key", "family_key"])
+    """Documents of one family (canonical text with numbers and long runs masked), or with one title (their whole first line), hang together."""
+    title = keys.plain_key(F.substring_index("text", "\n", 1))
+    rows = t("documents").select("doc_id", F.xxhash64(keys.masked_key(F.col("text"))).alias("family"), F.nullif(title, F.lit("")).alias("title"))
+    rows = materialize(rows.select("doc_id", "family", F.sha2("title", 256).alias("title")))
+    return graph.multi_key_components(rows, "doc_id", ["family", "title"])
 
 
 @query("family_table", f"""
-SELECT sha256(substr({PLAIN}, 1, 40)) AS family, count(*)::BIGINT AS members, array_to_string(list_sort(list(DISTINCT lang)), ',') AS lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS source
+SELECT sha256({MASKED}) AS family, count(*)::BIGINT AS members, array_to_string(list_sort(list(DISTINCT lang)), ',') AS lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS source
 FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def family_table(t):
-    rows = keyed(t).withColumn("family", F.sha2(F.substring("key", 1, 40), 256))
+    rows = t("documents").select("lang", "source", F.sha2(keys.masked_key(F.col("text")), 256).alias("family"))
     out = graph.families(rows, "family", ["lang", "source"]).where("members > 1")
     return out.withColumns({c: F.array_join(c, ",") for c in ("lang", "source")})
 
 
 @query("component_split", f"""
-WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY substr({PLAIN}, 1, 40)) AS c FROM documents)
+WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {MASKED}) AS c FROM documents)
 SELECT {split_sql("c::VARCHAR", "comp")} AS split, count(*)::BIGINT AS n, count(DISTINCT c)::BIGINT AS components FROM f GROUP BY 1""")
 def component_split(t):
     """Whole components go to one split."""
-    rows = keyed(t).withColumn("family", F.sha2(F.substring("key", 1, 40), 256))
+    rows = t("documents").select("doc_id", F.sha2(keys.masked_key(F.col("text")), 256).alias("family"))
     sizes = rows.groupBy("family").agg(F.min("doc_id").alias("c"), F.count(F.lit(1)).alias("n"))
     placed = sizes.withColumn("split", keys.split_of(F.col("c").cast("string"), "comp"))
     return placed.groupBy("split").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("components"))
@@ -395,12 +405,12 @@ def greedy_validation_pick(t):
 
 
 @query("family_reserve_split", f"""
-WITH g AS (SELECT sha256(substr({PLAIN}, 1, 40)) AS family, min(lang) AS lang, count(*)::BIGINT AS n FROM documents GROUP BY 1),
+WITH g AS (SELECT sha256({MASKED}) AS family, min(lang) AS lang, count(*)::BIGINT AS n FROM documents GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {h60("'fam|' || lang || '|' || family")}, family) AS rank, count(*) OVER (PARTITION BY lang) AS size FROM g),
 h AS (SELECT *, CASE WHEN size >= 30 THEN floor(size * 0.08::DOUBLE)::BIGINT ELSE 0 END AS held FROM r)
 SELECT family, lang, n, CASE WHEN rank > size - held THEN 'reserve' WHEN size - held < 3 THEN 'train' WHEN rank <= greatest(1, (20 * (size - held) + 50) // 100) THEN 'test'
   WHEN rank <= greatest(1, (20 * (size - held) + 50) // 100) + greatest(1, (10 * (size - held) + 50) // 100) THEN 'val' ELSE 'train' END AS split FROM h""")
 def family_reserve_split(t):
-    rows = keyed(t).withColumn("family", F.sha2(F.substring("key", 1, 40), 256))
+    rows = t("documents").select("lang", F.sha2(keys.masked_key(F.col("text")), 256).alias("family"))
     fam = rows.groupBy("family").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("n"))
     return split.assign_families(fam, "lang", "size", "fam").select("family", "lang", "n", "split")

@@ -64,7 +64,9 @@ def char_entropy(t):
     return t("benchmark").select("item_id", R(text.entropy(F.col("text"))).alias("entropy"))
 
 
-@query("longest_run", None)
+@query("longest_run", """
+WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents), s AS (SELECT doc_id, c, list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]) AS s FROM c)
+SELECT doc_id, coalesce(list_max(list_transform(s, lambda x, i: CASE WHEN i < len(s) THEN s[i + 1] ELSE len(c) + 1 END - x)), 0)::BIGINT AS longest_run FROM s""")
 def longest_run(t):
     """Longest run of one character; needs a back-reference, which RE2 lacks. Tests hold it to a loop."""
     return t("documents").select("doc_id", text.longest_run(F.col("text")).alias("longest_run"))
