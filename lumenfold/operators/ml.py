@@ -28,11 +28,19 @@ def encoder(numeric: list[str], categorical: list[str]) -> list:
     return [*stages, StandardScaler(inputCol="_raw", outputCol="features", withMean=False)]
 
 
+def fit(train: DataFrame, family: str, numeric: list[str], categorical: list[str]):
+    """A model of the family, with its encoder, fitted on train's y."""
+    return Pipeline(stages=[*encoder(numeric, categorical), FAMILIES[family]()]).fit(train)
+
+
+def scored(model, rows: DataFrame) -> DataFrame:
+    """rows with p, the model's probability of y = 1."""
+    return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("p"))
+
+
 def fit_score(train: DataFrame, rows: DataFrame, family: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """rows with p, the probability of y = 1 under a model of the family."""
-    model = Pipeline(stages=[*encoder(numeric, categorical), FAMILIES[family]()]).fit(train)
-    out = model.transform(rows)
-    return out.select(*rows.columns, vector_to_array("probability")[1].alias("p"))
+    return scored(fit(train, family, numeric, categorical), rows)
 
 
 def char_tfidf_probe(train: DataFrame, rows: DataFrame, text: str, vocabulary: int = 4096) -> DataFrame:
@@ -49,25 +57,49 @@ def fold(group: Column, folds: int, salt: str) -> Column:
     return (hash60(F.concat(F.lit(salt + "|"), group.cast("string"))) % folds).cast("int")
 
 
-def calibrate(rows: DataFrame, method: str) -> DataFrame:
-    """rows (p, y) with calibrated: native, sigmoid (logistic on p) or isotonic."""
+def calibrator(rows: DataFrame, method: str):
+    """What turns rows with p into rows with calibrated, fitted on rows (p, y): native (p itself), sigmoid (logistic on p) or isotonic."""
     if method == "native":
-        return rows.withColumn("calibrated", F.col("p"))
+        return lambda d: d.withColumn("calibrated", F.col("p"))
     if method == "isotonic":
         fitted = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(rows.withColumn("y", F.col("y").cast("double")))
-        return fitted.transform(rows)
-    v = VectorAssembler(inputCols=["p"], outputCol="features").transform(rows)
-    out = LogisticRegression(featuresCol="features", labelCol="y").fit(v).transform(v)
-    return out.select(*rows.columns, vector_to_array("probability")[1].alias("calibrated"))
+        return fitted.transform
+    put = VectorAssembler(inputCols=["p"], outputCol="_p").transform
+    fitted = LogisticRegression(featuresCol="_p", labelCol="y").fit(put(rows))
+    return lambda d: fitted.transform(put(d)).select(*d.columns, vector_to_array("probability")[1].alias("calibrated"))
+
+
+def calibrate(rows: DataFrame, method: str, group: Column, folds: int = 5, salt: str = "cal") -> DataFrame:
+    """rows (p, y) with calibrated, out of fold: each fold of whole groups is calibrated by what the other folds taught, so that no row judges itself. A fold whose
+    others hold one label only keeps p."""
+    placed = rows.withColumn("_fold", fold(group, folds, salt))
+    parts = []
+    for k in range(folds):
+        own, others = placed.where(F.col("_fold") == k).drop("_fold"), placed.where(F.col("_fold") != k).drop("_fold")
+        both = others.select("y").distinct().limit(2).count() == 2
+        parts.append(calibrator(others, method if both else "native")(own))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def permuted(rows: DataFrame, column: str, row_id: str, salt: str) -> DataFrame:
-    """rows with one column's values moved between rows, by two hash orders joined on place: for permutation importance."""
-    from pyspark.sql import Window
+    """rows with one column's values moved between rows, by two hash orders joined on place. Places come from prefix sums over buckets: no window holds all rows."""
+    from .split import bucket_rank
+
+    def ranked(d, s):
+        h = hash60(F.concat(F.lit(s), F.col(row_id).cast("string")))
+        return bucket_rank(d.withColumn("_h", h), [], "_h", [row_id]).drop("_h", "size").withColumnRenamed("rank", "_k")
+
+    values = ranked(rows.select(row_id, F.col(column).alias("_v")), salt + "v|").select("_k", "_v")
+    return ranked(rows, salt + "r|").join(values, "_k").withColumn(column, F.col("_v")).select(*rows.columns)
+
 
-    at = lambda s: F.row_number().over(Window.partitionBy().orderBy(hash60(F.concat(F.lit(s), F.col(row_id).cast("string"))), row_id))
-    values = rows.select(F.col(column).alias("_v"), at(salt + "v|").alias("_k"))
-    return rows.withColumn("_k", at(salt + "r|")).join(values, "_k").withColumn(column, F.col("_v")).drop("_v", "_k")
+def permutation_importance(model, rows: DataFrame, fields: list[str], row_id: str, salt: str, metric) -> list[tuple[str, float]]:
+    """(field, how much metric(rows with p) falls when the field's values are moved between rows), under one fitted model."""
+    base = metric(scored(model, rows))
+    return [(f, base - metric(scored(model, permuted(rows, f, row_id, f"{salt}|{f}|")))) for f in fields]
 
 
 def logistic_score(features: dict[str, float], scales: dict[str, float], bias: float) -> Column:

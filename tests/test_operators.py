@@ -160,13 +160,31 @@ def test_ml(spark):
         out = ml.fit_score(rows, rows, family, ["x"], ["c"])
         assert out.where("(p > 0.5) = (y = 1)").count() > 190
     for method in ("native", "sigmoid", "isotonic"):
-        assert ml.calibrate(out, method).count() == 200
+        assert ml.calibrate(out, method, F.col("id")).count() == 200
     moved = ml.permuted(rows, "x", "id", "s")
     assert moved.agg(F.round(F.sum("x"), 6)).first() == rows.agg(F.round(F.sum("x"), 6)).first()
     texts = rows.select("y", F.when(F.col("y") == 1, "good morning all").otherwise("bad evening none").alias("t"))
     assert ml.char_tfidf_probe(texts, texts, "t", 100).where("(p > 0.5) = (y = 1)").count() == 200
 
 
+def test_calibration_is_out_of_fold(spark):
+    """A fold's own labels don't move its calibrated values; every row is calibrated once."""
+    rows = spark.range(300).select("id", (F.col("id") % 3 == 0).cast("double").alias("y"), ((F.col("id") * 37 % 100) / 100).alias("p"))
+    own = ml.fold(F.col("id"), 5, "cal")
+    flipped = rows.withColumn("y", F.when(own == 2, 1 - F.col("y")).otherwise(F.col("y")))
+    for method in ("sigmoid", "isotonic"):
+        one, two = ({r["id"]: round(r["calibrated"], 9) for r in ml.calibrate(d, method, F.col("id")).where(own == 2).collect()} for d in (rows, flipped))
+        assert one == two and one
+        assert ml.calibrate(rows, method, F.col("id")).select("id").distinct().count() == 300
+
+
+def test_importance_finds_the_field_that_matters(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("y"), (F.col("id") % 2 + F.rand(3) * 0.5).alias("x"), F.rand(5).alias("z"))
+    model = ml.fit(rows, "logistic", ["x", "z"], [])
+    found = dict(ml.permutation_importance(model, rows, ["x", "z"], "id", "s", lambda d: evaluate.auc_ap(d, F.col("y") == 1, "p").first()["auc"]))
+    assert found["x"] > 0.3 and abs(found["z"]) < 0.05
+
+
 def test_winner(spark):
     c = spark.createDataFrame([("a", 0.9, 0.0, 5.0), ("b", 0.89, -0.01, 1.0), ("c", 0.5, 0.2, 0.1)], "name string, score double, low double, cost double")
     assert ml.winner(c).first()["winner"] == "b"
