@@ -80,14 +80,27 @@ def http1_request(wires: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("reject", T.StringType())]))
 def decoded_body(coding: pd.Series, body: pd.Series) -> pd.DataFrame:
-    """A gzip or deflate body, at most 1 MiB decoded; identity passes; else unsupported, corrupt or too_large."""
+    """A gzip, deflate or (where its package is installed) zstd body, at most 1 MiB decoded; identity passes; else unsupported, corrupt or too_large."""
     import zlib
 
+    try:
+        import zstandard
+    except ImportError:
+        zstandard = None
     most = 1 << 20
 
+    def frame(data):
+        try:
+            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
+        except zstandard.ZstdError:
+            return None, "corrupt"
+        return (None, "too_large") if len(out) > most else (out, None)
+
     def decode(kind, data):
         if kind in (None, "", "identity"):
             return data, None
+        if kind == "zstd" and zstandard:
+            return frame(bytes(data))
         if kind not in ("gzip", "x-gzip", "deflate"):
             return None, "unsupported"
         for wbits in (31,) if kind != "deflate" else (15, -15):

@@ -226,9 +226,13 @@ def lookup_baseline(rows: DataFrame, value: str, label: str, split: str, train:
     return joined.groupBy(split).agg(F.count(F.lit(1)).alias("n"), right.alias("correct")).withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
 
 
-def token_purity(rows: DataFrame, text: str, label: str, coverage: float, purity: float) -> DataFrame:
-    """Tokens in at least that share of rows: document frequency, share of the larger class, and whether that blocks."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9à-ÿ]+"), lambda w: w != ""))
+def token_purity(rows: DataFrame, text: str, label: str, coverage: float, purity: float, spans: str | None = None) -> DataFrame:
+    """Tokens in at least that share of rows: document frequency, share of the larger class, and whether that blocks. With spans (a column of [a, b) places in
+    code points) these are masked before tokens are counted; a row whose spans overlap or leave the text counts no token."""
+    from ..functions.protocol import masked_spans
+
+    whole = masked_spans(text, spans) if spans else F.col(text)
+    words = F.array_distinct(F.filter(F.split(F.lower(whole), "[^a-z0-9à-ÿ]+"), lambda w: w != ""))
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
     df = rows.select(label, F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col(label) == 1).alias("_1"))
     kept = df.crossJoin(F.broadcast(n)).where((F.col("df") * round(1 / coverage) >= F.col("_n")) & (F.col("df") >= 2))  # one row

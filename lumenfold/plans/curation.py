@@ -238,6 +238,19 @@ def token_purity(t):
     return gates.token_purity(labelled(t), "text", "toxic", 0.01, 0.95)
 
 
+MASKED_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(CASE WHEN length(text) >= 40 THEN ' VALUE ' || substr(text, 21) END), '[^a-z0-9à-ÿ]+'), lambda x: x <> ''))"
+
+
+@query("token_purity_masked", f"""
+WITH r AS (SELECT toxic, {MASKED_TOKENS} AS ts FROM {LABELLED}), n AS (SELECT count(*) AS n FROM r), e AS (SELECT toxic, unnest(ts) AS token FROM r),
+c AS (SELECT token, count(*) AS df, count(*) FILTER (WHERE toxic = 1) AS df1 FROM e GROUP BY token)
+SELECT token, df::BIGINT AS df, round(greatest(df1, df - df1)::DOUBLE / df, 6) AS purity, (greatest(df1, df - df1)::DOUBLE / df >= 0.95) AS blocks FROM c, n WHERE df * 100 >= n.n AND df >= 2""")
+def token_purity_masked(t):
+    """The same with a span masked in every text (here the first twenty characters; of texts under forty the span is out of place, and they count nothing)."""
+    span = F.when(F.length("text") >= 40, F.array(F.struct(F.lit(0).alias("a"), F.lit(20).alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(1 << 30).alias("b"))))
+    return gates.token_purity(labelled(t).withColumn("spans", span), "text", "toxic", 0.01, 0.95, "spans")
+
+
 @query("element_dominance", "SELECT source, count(*)::BIGINT AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) AS share, CASE WHEN count(*)::DOUBLE / (SELECT count(*) FROM documents) > 0.03 THEN 'block' WHEN count(*)::DOUBLE / (SELECT count(*) FROM documents) > 0.01 THEN 'warn' ELSE 'ok' END AS verdict FROM documents GROUP BY source")
 def element_dominance(t):
     return gates.dominance(t("documents"), "source", 0.01, 0.03)

@@ -413,9 +413,11 @@ def packed_bodies() -> Iterator[tuple]:
     yield 4, "br", bytearray(b"x")
     yield 5, "gzip", bytearray(b"nonsense")
     yield 6, "gzip", bytearray(gzip.compress(b"a" * (1 << 21), mtime=0))
+    yield 7, "zstd", bytearray.fromhex("28b52ffd0500290000" + b"hello".hex())  # one frame with one raw block
+    yield 8, "zstd", bytearray(b"nonsense")
 
 
-@query("decoded_bodies", "SELECT * FROM (VALUES (0, 'hello', NULL), (1, 'hello', NULL), (2, 'hello', NULL), (3, 'hello', NULL), (4, NULL, 'unsupported'), (5, NULL, 'corrupt'), (6, NULL, 'too_large')) v(i, body, reject)")
+@query("decoded_bodies", "SELECT * FROM (VALUES (0, 'hello', NULL), (1, 'hello', NULL), (2, 'hello', NULL), (3, 'hello', NULL), (4, NULL, 'unsupported'), (5, NULL, 'corrupt'), (6, NULL, 'too_large'), (7, 'hello', NULL), (8, NULL, 'corrupt')) v(i, body, reject)")
 def decoded_bodies(t):
     rows = values(t, list(packed_bodies()), "i int, coding string, body binary").withColumn("r", protocol.decoded_body("coding", "body"))
     return rows.select("i", F.decode("r.body", "UTF-8").alias("body"), F.col("r.reject").alias("reject"))
