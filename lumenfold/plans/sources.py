@@ -413,7 +413,7 @@ def packed_bodies() -> Iterator[tuple]:
     yield 4, "br", bytearray(b"x")
     yield 5, "gzip", bytearray(b"nonsense")
     yield 6, "gzip", bytearray(gzip.compress(b"a" * (1 << 21), mtime=0))
-    yield 7, "zstd", bytearray.fromhex("28b52ffd0500290000" + b"hello".hex())  # one frame with one raw block
+    yield 7, "zstd", bytearray.fromhex("28b52ffd2005290000" + b"hello".hex())  # one frame with one raw block
     yield 8, "zstd", bytearray(b"nonsense")
 
 
