@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import first_reason
 
 
+#: The stages that can decide, the rule-set arm, and the layers before the gateway.
+MODEL, SECOND, GUARD, RULES, BEFORE = "v5", "model2", "request_guard", "crs", ("front", "unattributed")
+
+
 def trial_class(arm: Column, layer: Column, complete: Column, canonical: Column, status: Column, decision: Column, applied: Column, stage: Column, other: Column, guard: Column, received: Column) -> Column:
     """CONTROL, INFRA_ERROR, OUT_OF_SCOPE, MODEL_INVALID, BLOCK or ALLOW of one trial row.
 
@@ -21,14 +25,14 @@ def trial_class(arm: Column, layer: Column, complete: Column, canonical: Column,
     return first_reason(
         [
             ("CONTROL", is_(arm, "direct")),
-            ("INFRA_ERROR", F.coalesce(layer.isin("front", "unattributed"), F.lit(False)) | ~F.coalesce(complete, F.lit(False))),
+            ("INFRA_ERROR", F.coalesce(layer.isin(*BEFORE), F.lit(False)) | ~F.coalesce(complete, F.lit(False))),
             ("OUT_OF_SCOPE", canonical.isNotNull() & (canonical != "ACCEPT")),
             ("MODEL_INVALID", invalid),
-            ("BLOCK", deny & is_(arm, "crs") & is_(layer, "crs")),
-            ("BLOCK", deny & is_(stage, "v5") & is_(decision, "BLOCK")),
-            ("BLOCK", deny & is_(stage, "model2") & is_(other, "BLOCK")),
-            ("BLOCK", deny & is_(stage, "request_guard") & is_(guard, "MATCH")),
-            ("INFRA_ERROR", deny & is_(stage, "request_guard")),
+            ("BLOCK", deny & is_(arm, RULES) & is_(layer, RULES)),
+            ("BLOCK", deny & is_(stage, MODEL) & is_(decision, "BLOCK")),
+            ("BLOCK", deny & is_(stage, SECOND) & is_(other, "BLOCK")),
+            ("BLOCK", deny & is_(stage, GUARD) & is_(guard, "MATCH")),
+            ("INFRA_ERROR", deny & is_(stage, GUARD)),
             ("OUT_OF_SCOPE", deny),
             ("ALLOW", is_(applied, "FORWARD") & F.coalesce(received, F.lit(False))),
         ],
