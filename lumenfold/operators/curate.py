@@ -30,14 +30,14 @@ def reason_ledger(rows: DataFrame, reason: Column, by: list[str]) -> DataFrame:
 
 def exclusion_pipeline(rows: DataFrame, reason: Column, value: Column, denied: DataFrame, order: list[str]) -> DataFrame:
     """rows with status and exclusion_reason: the reason; else duplicate_value if an earlier surviving row has the value; else oracle_collision
-    if denied (one column, _v) has it. A row that is excluded by reason doesn't claim its value."""
-    named = rows.withColumn("_reason", reason).withColumn("_v", value)
-    alive = F.when(F.col("_reason").isNull(), F.row_number().over(Window.partitionBy("_v", F.col("_reason").isNull()).orderBy(*order)))
+    if denied (one column, _v) has it. A row that is excluded by reason doesn't claim its value. order must tell rows apart: rows alike in it both survive."""
+    named = rows.withColumn("_reason", reason).withColumn("_v", value).withColumn("_o", F.struct(*order))
+    first = named.where("_reason is null").groupBy("_v").agg(F.min("_o").alias("_first"))  # a partial minimum: a value that a third of all rows have is no task's burden
     hits = denied.select("_v").where("_v is not null").distinct().withColumn("_denied", F.lit(True))
-    joined = named.withColumn("_rank", alive).join(hits, "_v", "left")
-    why = F.coalesce("_reason", F.when(F.col("_rank") > 1, "duplicate_value"), F.when(F.col("_denied"), "oracle_collision"))
+    joined = named.join(first.select(F.col("_v").alias("_w"), "_first"), F.col("_v").eqNullSafe(F.col("_w")), "left").join(hits, "_v", "left")
+    why = F.coalesce("_reason", F.when(F.col("_o") > F.col("_first"), "duplicate_value"), F.when(F.col("_denied"), "oracle_collision"))
     out = joined.withColumn("exclusion_reason", why).withColumn("status", F.when(why.isNull(), "ACCEPTED").otherwise("EXCLUDED"))
-    return out.drop("_reason", "_v", "_rank", "_denied")
+    return out.drop("_reason", "_v", "_w", "_o", "_first", "_denied")
 
 
 def waterfall(rows: DataFrame, steps: list[tuple[str, Column]], key: str) -> DataFrame:

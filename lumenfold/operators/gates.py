@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import bind, hash60
@@ -242,8 +242,8 @@ def token_purity(rows: DataFrame, text: str, label: str, coverage: float, purity
 
 def dominance(rows: DataFrame, element: str, warn: float, block: float) -> DataFrame:
     counts = rows.groupBy(element).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())
-    out = counts.withColumn("_s", share)
+    total = counts.agg(F.sum("n").alias("_all"))
+    out = counts.crossJoin(F.broadcast(total)).withColumn("_s", F.col("n") / F.col("_all"))  # one row
     verdict = F.when(F.col("_s") > block, "block").when(F.col("_s") > warn, "warn").otherwise("ok")
     return out.select(element, "n", F.round("_s", 6).alias("share"), verdict.alias("verdict"))
 
