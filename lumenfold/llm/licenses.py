@@ -107,7 +107,8 @@ def _any_term(c: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """The sentences of a text that hold a term, normalised, each between bars; a text without terms gives null."""
-    whole = F.when(_any_term(F.lower(text)), _lower(text))
+    likely = F.element_at(F.transform(F.array(F.lower(text)), _any_term), 1)  # a lambda's argument is computed once, not for each term
+    whole = F.when(likely, _lower(text))
     cut = F.filter(F.split(F.regexp_replace(whole, ABBREVIATED, "$1$2"), END), _any_term)
     plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\(c\)|©", " copyright "), r"[^a-z0-9.+]+", " ")))
     return F.concat_ws("", F.transform(plain, lambda s: F.concat(F.lit("|"), s, F.lit("|"))))
