@@ -270,18 +270,41 @@ def shingle_marks(hashes: list[int]) -> bytes:
 SAMPLED, FREQUENT = 16, 1 << 17
 
 
-def rare_first(hashes: list[int], num: int, den: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[list[int], int]:
-    """The first |A| - ceil(num/den |A|) + 1 hashes, rarest first: sets of Jaccard num/den or more share one of them. Then how many of them are not
-    known to be frequent. [0] for an empty set."""
+#: A hash that more texts than this are estimated to hold meets in blocks of about so many.
+HOT = 100_000
+
+
+def rare_first(hashes: list[int], num: int, den: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[list[int], list[int]]:
+    """The first |A| - ceil(num/den |A|) + 1 hashes, rarest first: sets of Jaccard num/den or more share one of them. Then how often the sample holds each. [0] for
+    an empty set."""
     if not hashes:
-        return [0], 1
+        return [0], [0]
     h = np.array(hashes, dtype=np.int64)
     often = np.zeros(len(h), dtype=np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
         often = np.where(frequent[at] == h, counts[at], 0)
     order = np.lexsort((h, often))[: len(h) - -(-num * len(h) // den) + 1]
-    return h[order].tolist(), int((often[order] == 0).sum())
+    return h[order].tolist(), often[order].tolist()
+
+
+def in_cells(tokens: list[int], often: list[int], row: int, hot: int) -> tuple[list[int], list[int]]:
+    """Where a text meets others, and the place of the token that leads there: at the token itself; at a token of more than `hot` texts, by estimate, in those
+    cells of a triangle of blocks of texts that are in its own block's line, so that any two texts share a cell and no cell holds all."""
+    import xxhash
+
+    out, places = [], []
+    for p, (x, n) in enumerate(zip(tokens, often)):
+        blocks = -(-n * SAMPLED // hot)
+        if blocks < 2:
+            out.append(x)
+            places.append(p)
+            continue
+        own = row % blocks
+        for other in range(blocks):
+            out.append(xxhash.xxh64_intdigest(np.array([x, min(own, other), max(own, other)], dtype=np.int64).tobytes()) - (1 << 63))
+            places.append(p)
+    return out, places
 
 
 def cast(hashes: list[int]) -> bytes | None:
@@ -377,7 +400,7 @@ def may_be_alike(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bool
     return (num + den) * shared >= num * (n + m)
 
 
-def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, fingerprints: int = 2, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, fingerprints: int = 2, words: int = 5, num: int = 4, den: int = 5, hot: int = HOT) -> DataFrame:
     """doc_id, component_id for every row: classes of texts whose five-word shingles have Jaccard num/den or more, exactly those of all such pairs.
 
     First come the pairs that SimHash finds: any of the `fingerprints` fingerprints (of differently mixed hashes) within max_bits, spanning forests only,
@@ -410,13 +433,14 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
             found = [shingle_hashes(t, words) for t in whole]
             columns = [pa.array(np.arange(start, start + len(whole))), batch.column(0), batch.column(2)]
             columns += [pa.array([of(s) for s in found], pa.binary()) for of in (shingle_marks, crowd, cast)]
-            rare, unknown = zip(*[rare_first(s, num, den, frequent, counts) for s in found]) if found else ((), ())
-            columns += [pa.array(rare, pa.list_(pa.int64())), pa.array(unknown, pa.int64()), pa.array([len(s) for s in found], pa.int64())]
+            rare = [rare_first(s, num, den, frequent, counts) for s in found]
+            cells, places = zip(*[in_cells(*r, start + i, hot) for i, r in enumerate(rare)]) if rare else ((), ())
+            columns += [pa.array(cells, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array([r[1].count(0) for r in rare], pa.int64()), pa.array([len(s) for s in found], pa.int64())]
             columns += [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(fingerprints)]
             start += len(whole)
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "marks", "crowd", "cast", "rare", "unknown", "n", *names])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "marks", "crowd", "cast", "cells", "places", "unknown", "n", *names])
 
-    rows = materialize(hashed.mapInArrow(described, "row long, doc_id long, th binary, marks binary, crowd binary, cast binary, rare array<long>, unknown long, n long, " + ", ".join(f"{n} long" for n in names)))
+    rows = materialize(hashed.mapInArrow(described, "row long, doc_id long, th binary, marks binary, crowd binary, cast binary, cells array<long>, places array<long>, unknown long, n long, " + ", ".join(f"{n} long" for n in names)))
     ids = materialize(rows.groupBy("th").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")))  # each text's first row stands for it
     texts = materialize(rows.select("row", *names).join(ids.select("row"), "row"))
 
@@ -451,7 +475,8 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
     classes = materialize(connected_components(alike))
     parts = materialize(ids.select("row").join(classes.select(F.col("node").alias("row"), "root"), "row", "left").select("row", F.coalesce("root", "row").alias("part")))
     release(spark)
-    prefixes = rows.select("row", "n", "rare", "unknown", "cast").join(parts, "row").select("row", "part", "n", "unknown", "cast", F.posexplode("rare").alias("_p", "x"))
+    met_at = rows.select("row", "n", "cells", "places", "unknown", "cast").join(parts, "row").select("row", "part", "n", "unknown", "cast", F.explode(F.arrays_zip("cells", "places")).alias("_c"))
+    prefixes = met_at.select("row", "part", "n", "unknown", "cast", F.col("_c.cells").alias("x"), F.col("_c.places").alias("_p"))
     prefixes = prefixes.withColumn("size_place", F.shiftleft("n", 32) + F.col("_p")).withColumn("cast", F.when(F.col("_p") >= F.col("unknown"), F.col("cast")))
     met = materialize(meetings(prefixes, num, den))
     release(spark)

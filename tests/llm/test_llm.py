@@ -180,8 +180,9 @@ def test_similar_texts_are_all_found(spark):
     hub = [word() for _ in range(100)]
     texts += [" ".join(hub[:i] + [word()] + hub[i + 1 :]) for i in range(100)]
     rows = list(enumerate(texts))
-    got = dict(simhash.similar_texts(docs_of(spark, [(i, t, "a") for i, t in rows])).collect())
-    assert got == plain_classes(rows)
+    want = plain_classes(rows)
+    for hot in (simhash.HOT, 20):
+        assert dict(simhash.similar_texts(docs_of(spark, [(i, t, "a") for i, t in rows]), hot=hot).collect()) == want
 
 
 def test_similar_texts_without_fingerprints_in_reach(spark):
@@ -1026,6 +1027,15 @@ def test_meeting_pairs_match_brute_force():
         assert set(got) == want and want
 
 
+def test_any_two_texts_share_a_cell():
+    """Of a hot token, whatever their blocks; the cells hold few of the texts, and colder tokens stay as they are."""
+    cells = [simhash.in_cells([11, 12, 13], [0, 90, 3], row, 200) for row in range(400)]
+    assert all(c[0] == 11 and c[-1] == 13 and p[0] == 0 and p[-1] == 2 and set(p[1:-1]) == {1} for c, p in cells)
+    sets = [set(c[1:-1]) for c, _ in cells]
+    assert all(a & b for i, a in enumerate(sets) for b in sets[:i])
+    assert max(Counter(x for s in sets for x in s).values()) <= 2 * 400 // 8 + 2
+
+
 def test_crowds_never_rule_out_alike_texts():
     r = random.Random(21)
     for n in (1, 3, 60, 300, 5000):
