@@ -240,9 +240,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
 
 
 def _named(nodes: DataFrame, key: str, classes: DataFrame) -> DataFrame:
-    """(key, component_id) of nodes (key, least): the least id of a node's class."""
-    named = classes.join(nodes, classes["node"] == nodes[key]).select("node", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    """(key, component_id) of nodes (key, least): the least id of a node's class. Members and classes are plain tables, so that their join can be split at a
+    class that holds a third of all nodes."""
+    n = nodes.count()
+    named = compact(classes.join(nodes, classes["node"] == nodes[key]).select("node", "root", "least"), n)
+    least = compact(named.groupBy("root").agg(F.min("least").alias("component_id")), n)
     linked = named.join(least, "root").select(F.col("node").alias(key), "component_id")
     return nodes.join(linked, key, "left").select(key, F.coalesce("component_id", "least").alias("component_id"))
 
@@ -400,6 +402,15 @@ def may_be_alike(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bool
     return (num + den) * shared >= num * (n + m)
 
 
+#: Narrow tables are written by tasks of about so many rows: few rows make few files.
+ROWS_A_FILE = 200_000
+
+
+def compact(df: DataFrame, n: int) -> DataFrame:
+    """df, of about n rows, as a table of few files."""
+    return materialize(df.coalesce(1 + n // ROWS_A_FILE))
+
+
 def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed: int = 42, fingerprints: int = 2, words: int = 5, num: int = 4, den: int = 5, hot: int = HOT) -> DataFrame:
     """doc_id, component_id for every row: classes of texts whose five-word shingles have Jaccard num/den or more, exactly those of all such pairs.
 
@@ -441,12 +452,13 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "marks", "crowd", "cast", "cells", "places", "unknown", "n", *names])
 
     rows = materialize(hashed.mapInArrow(described, "row long, doc_id long, th binary, marks binary, crowd binary, cast binary, cells array<long>, places array<long>, unknown long, n long, " + ", ".join(f"{n} long" for n in names)))
-    ids = materialize(rows.groupBy("th").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")))  # each text's first row stands for it
-    texts = materialize(rows.select("row", *names).join(ids.select("row"), "row"))
+    n = rows.count()
+    ids = compact(rows.groupBy("th").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), n)  # each text's first row stands for it
+    texts = compact(rows.select("row", *names).join(ids.select("row"), "row"), n)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        wanted = materialize(ids.join(ends, "row").where("least is not null").select("row", "least", F.col("th").alias("_th")))
+        wanted = compact(ids.join(ends, "row").where("least is not null").select("row", "least", F.col("th").alias("_th")), n)
         few = F.broadcast(wanted) if wanted.count() <= 50_000 else wanted
         chosen = hashed.join(few, (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("_th"))).select("row", "text")
         whole = materialize(chosen.mapInArrow(sets, "key long, s array<long>").dropDuplicates(["key"]))
@@ -458,7 +470,7 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
 
     found, spent = [], []
     for name in names:
-        heads = materialize(rows.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("head"), F.min_by("marks", "row").alias("marks")))
+        heads = compact(rows.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("head"), F.min_by("marks", "row").alias("marks")), n)
         near = materialize(links(heads, max_bits).distinct())
         a, b = (heads.select(F.col("fp").alias(e), F.col("head").alias(n)) for e, n in (("src", "a"), ("dst", "b")))
         same = texts.join(heads.select(F.col("fp").alias(name), "head"), name).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
@@ -467,13 +479,13 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    candidates = materialize(every.distinct())
+    candidates = compact(every.distinct(), 2 * n)
     alike = verified(candidates)
     for table_ in (*spent, candidates, texts):
         discard(table_)
     release(spark)
-    classes = materialize(connected_components(alike))
-    parts = materialize(ids.select("row").join(classes.select(F.col("node").alias("row"), "root"), "row", "left").select("row", F.coalesce("root", "row").alias("part")))
+    classes = compact(connected_components(alike), n)
+    parts = compact(ids.select("row").join(classes.select(F.col("node").alias("row"), "root"), "row", "left").select("row", F.coalesce("root", "row").alias("part")), n)
     release(spark)
     met_at = rows.select("row", "n", "cells", "places", "unknown", "cast").join(parts, "row").select("row", "part", "n", "unknown", "cast", F.explode(F.arrays_zip("cells", "places")).alias("_c"))
     prefixes = met_at.select("row", "part", "n", "unknown", "cast", F.col("_c.cells").alias("x"), F.col("_c.places").alias("_p"))
@@ -490,9 +502,9 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
     discard(met)
     more = verified(pairs)
     if not more.isEmpty():
-        classes = connected_components(materialize(alike.unionByName(more)))
+        classes = connected_components(compact(alike.unionByName(more), 2 * n))
     of_text = _named(ids.select("row", "least"), "row", classes)
-    named = materialize(ids.select("row", "th").join(of_text, "row").select("th", "component_id"))  # a plain table, so that the join below can be split at a hot text
+    named = compact(ids.select("row", "th").join(of_text, "row").select("th", "component_id"), n)  # a plain table, so that the join below can be split at a hot text
     release(spark)
     return rows.select("doc_id", "th").join(named, "th").select("doc_id", "component_id")
 
