@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Distinct 64-bit fingerprints are routed so that any two within `max_bits` meet: the bits are cut into max_bits + 1 blocks, and
-two such fingerprints agree on a whole block. A bucket (fingerprints that agree on a block) that is large is cut again
-on its remaining bits, which the same argument allows, so no task holds an unbounded group. In a bucket, fingerprints are
+Distinct 64-bit fingerprints are routed so that any two within `max_bits` meet: the bits are cut into max_bits + k blocks, and
+two such fingerprints agree on k whole blocks. k grows with the number of fingerprints (`links`). A bucket (fingerprints that
+agree on k blocks) that is large is cut again on its remaining bits into max_bits + 1 blocks, which the same argument allows,
+so no task holds an unbounded group. In a bucket, fingerprints are
 sorted by Gray rank; neighbours in that order share most bits, so upper nodes factor out the bits their members
 share. A search carries the differences accumulated from the root and prunes a node's whole group when they exceed
 `max_bits`. Each bucket yields a spanning forest, not its pairs; distributed components join the forests.
@@ -10,7 +11,7 @@ share. A search carries the differences accumulated from the root and prunes a n
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ BUCKET = 2048
 FAN = 8
 CHUNK = 1 << 15
 BINS = 64
+#: Bits of a text's marks, and the most blocks that fingerprints are asked to agree on at first.
+MARKS, AGREE = 128, 3
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -85,25 +88,35 @@ class GrayIndex:
             ands, ors = np.bitwise_and.reduceat(ands, at), np.bitwise_or.reduceat(ors, at)
             self.levels.append((ands, ands | ~ors))
 
-    def search(self, queries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's place, code's place in Gray order, differing bits) of all within max_bits."""
+    def search(self, queries: np.ndarray, max_bits: int, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, code's place in Gray order, differing bits) of all within max_bits, among the first `upto` codes at least. A level of whose nodes
+        little was pruned above is looked at as a whole, without lists of places; a node's shared bits hold those of the nodes above it."""
+        reach = [-(-(len(self.codes) if upto is None else upto) // FAN**k) for k in range(len(self.levels))]
         pattern, mask = self.levels[-1]
         q = np.arange(len(queries))
         node = np.zeros(len(queries), dtype=np.int64)
-        differ = np.bitwise_count((queries ^ pattern[0]) & mask[0]).astype(np.int64)
+        differ = np.bitwise_count((queries ^ pattern[0]) & mask[0])
         for k in range(len(self.levels) - 2, -1, -1):
             keep = differ <= max_bits
-            q, node, differ = q[keep], node[keep], differ[keep]
-            above = self.levels[k + 1][1][node]
             pattern, mask = self.levels[k]
+            if 4 * np.count_nonzero(keep) > len(queries) * reach[k + 1]:
+                off = queries[:, None] ^ pattern[None, : reach[k]]
+                whole = np.bitwise_count(off & mask[None, : reach[k]] if k else off)
+                if k:
+                    q, node, differ = np.repeat(np.arange(len(queries)), reach[k]), np.tile(np.arange(reach[k]), len(queries)), whole.ravel()
+                else:
+                    q, node = np.nonzero(whole <= max_bits)
+                    differ = whole[q, node]
+                continue
+            q, node, differ = q[keep], node[keep], differ[keep]
             child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-            inside = child < len(pattern)
+            inside = child < reach[k]
             child = child[inside]
-            q, differ, above = (np.repeat(x, FAN)[inside] for x in (q, differ, above))
-            differ = differ + np.bitwise_count((queries[q] ^ pattern[child]) & mask[child] & ~above)
+            q = np.repeat(q, FAN)[inside]
+            differ = np.bitwise_count((queries[q] ^ pattern[child]) & mask[child])
             node = child
         keep = differ <= max_bits
-        return q[keep], node[keep], differ[keep]
+        return q[keep], node[keep], differ[keep].astype(np.int64)
 
 
 #: Estimated shares of common shingles, in steps: pairs of an earlier step are joined first, pairs below the last are left out.
@@ -111,11 +124,11 @@ STEPS = (0.95, 0.9, 0.85, 0.8, 0.75)
 
 
 def likeness(marks: np.ndarray, first: np.ndarray, second: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
-    """Share of the bins, filled on either side, whose least shingles agree."""
+    """Estimated share of common shingles: unlike sets agree on half of the bits of their marks (rows of two words)."""
     out = np.zeros(len(first))
     for at in range(0, len(first), chunk):
-        x, y = marks[first[at : at + chunk]], marks[second[at : at + chunk]]
-        out[at : at + chunk] = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+        differ = np.bitwise_count(marks[first[at : at + chunk]] ^ marks[second[at : at + chunk]]).sum(axis=1, dtype=np.int64)
+        out[at : at + chunk] = np.maximum(1 - 2 * differ / MARKS, 0)
     return out
 
 
@@ -126,7 +139,7 @@ def forest(codes: np.ndarray, max_bits: int, marks: np.ndarray | None = None, bl
     codes, n = index.codes, len(codes)
     found = []
     for at in range(0, n, block):
-        q, node, differ = index.search(codes[at : at + block], max_bits)
+        q, node, differ = index.search(codes[at : at + block], max_bits, min(at + block, n))
         once = node < q + at
         found.append((q[once] + at, node[once], differ[once]))
     first, second, step = (np.concatenate(c) for c in zip(*found))
@@ -165,39 +178,58 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def agreeing(max_bits: int, k: int) -> list[int]:
+    """Masks of k of max_bits + k blocks: two codes within max_bits agree on one of them."""
+    return [sum(c) for c in combinations(block_masks((1 << 64) - 1, max_bits + k), k)]
+
+
 def links(codes: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst): edges whose components are those of all pairs of distinct codes (column fp) within max_bits; with a column marks,
-    of such pairs as also look alike by it."""
+    """(src, dst): edges whose components are those of all pairs of distinct codes (column fp) within max_bits; with columns m0 and m1
+    (see shingle_marks), of such pairs as also look alike by them.
+
+    Codes meet where they agree on k blocks. Asking for one more block takes (max_bits + k + 1) / (k + 1) times the rows, cutting the share of rows that is
+    in large buckets takes 1 + max_bits * share times, so k grows, up to AGREE, while that is dearer. What then is in large buckets is cut again, and again.
+    """
     full = (1 << 64) - 1
-    kept = ["fp", *(["marks"] if "marks" in codes.columns else [])]
-    level = [0]
-    rows = codes.select(*kept, F.lit(0).cast("long").alias("mask"))
-    parts = []
-    while True:
-        children = {m: [m | c for c in block_masks(full & ~m, max_bits + 1)] for m in level}
-        cases = [F.array(*[F.lit(_signed(c)).cast("long") for c in cs]) for cs in children.values()]
-        chosen = cases[0]
-        for m, case in list(zip(children, cases))[1:]:
-            chosen = F.when(F.col("mask") == _signed(m), case).otherwise(chosen)
-        rows = rows.select(*kept, F.explode(chosen).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        level = [c for cs in children.values() for c in cs]
-        small = max((full & ~m).bit_count() for m in level) <= (bucket - 1).bit_length()
-        large = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket)
-        if small or large.isEmpty():
-            parts.append(rows)
+    kept = ["fp", *(["m0", "m1"] if "m0" in codes.columns else [])]
+    value = F.col("fp").bitwiseAND(F.col("mask"))
+
+    def crowded(rows: DataFrame) -> tuple[DataFrame, int, int]:
+        found = materialize(rows.groupBy(F.col("mask").alias("_m"), value.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket))
+        many, held = found.agg(F.count(F.lit(1)), F.sum("_n")).first()
+        return F.broadcast(found) if many <= 50_000 else found, many, held or 0
+
+    n = codes.count()
+    for k in range(1, AGREE + 1):
+        masks = agreeing(max_bits, k)
+        rows = codes.select(*kept, F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("mask"))
+        large, many, held = crowded(rows)
+        if held * (k + 1) <= n * len(masks):
             break
-        large = materialize(large.select("mask", "value"))
-        parts.append(rows.join(large, ["mask", "value"], "left_anti").select(*kept, "mask", "value"))
-        rows = materialize(rows.join(large, ["mask", "value"], "left_semi").select(*kept, "mask"))
-    routed = parts[0]
-    for p in parts[1:]:
+
+    @F.arrow_udf("array<bigint>")
+    def cut(mask: pa.Array) -> pa.Array:
+        each, at = np.unique(mask.to_numpy(), return_inverse=True)
+        cuts = [[_signed(m | c) for c in block_masks(full & ~m, max_bits + 1)] for m in each.view(np.uint64).tolist()]
+        return pa.array(cuts, pa.list_(pa.int64())).take(pa.array(at))
+
+    free = max((full & ~m).bit_count() for m in masks)
+    parts = []
+    while many and free > max(max_bits, (bucket - 1).bit_length()):
+        where = (F.col("mask") == F.col("_m")) & (value == F.col("_v"))
+        parts.append(rows.join(large, where, "left_anti").select(*kept, "mask"))
+        again = materialize(rows.join(large, where, "left_semi").select(*kept, "mask"))
+        rows = again.select(*kept, F.explode(cut("mask")).alias("mask"))
+        free -= free // (max_bits + 1)
+        large, many, _ = crowded(rows)
+    release(codes.sparkSession)
+    routed = rows
+    for p in parts:
         routed = routed.unionByName(p)
 
     def columns(batch):
-        out = [np.asarray(batch.column(i)) for i in range(3)]
-        if len(kept) > 1:
-            out.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
-        return out
+        mask, fp, *marks = (np.asarray(batch.column(i)) for i in range(batch.num_columns))
+        return [mask, mask & fp, fp, *([np.stack(marks, axis=1).view(np.uint64)] if marks else [])]
 
     def run(batches):
         held = None
@@ -216,7 +248,7 @@ def links(codes: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
                 src, dst = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    meeting = routed.select("mask", "value", *kept).repartition("mask", "value").sortWithinPartitions("mask", "value")
+    meeting = routed.select("mask", *kept).repartition(F.col("mask"), value).sortWithinPartitions(F.col("mask"), value)
     return meeting.mapInArrow(run, "src long, dst long")
 
 
@@ -259,13 +291,17 @@ def shingle_hashes(text: str | None, n: int) -> list[int]:
     return sorted(x - (1 << 64) if x >> 63 else x for x in found)
 
 
-def shingle_marks(hashes: list[int]) -> bytes:
-    """One byte for each of BINS parts of the hash range: of the part's least hash, from 1 up; 0 if it has none."""
+def shingle_marks(hashes: list[int]) -> tuple[int, int]:
+    """MARKS bits, in two signed words: of each of as many parts of the hash range the last bit of its least hash. A part without hashes takes another bit of the
+    next part that has some (from the last on to the first). (0, 0) for no hashes."""
+    if not hashes:
+        return 0, 0
     x = np.sort(np.array(hashes, dtype=np.int64).view(np.uint64))
-    bins, at = np.unique(x >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
-    out = np.zeros(BINS, dtype=np.uint8)
-    out[bins.astype(np.int64)] = (x[at] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return out.tobytes()
+    bins, at = np.unique((x >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64), return_index=True)
+    part = np.arange(MARKS)
+    of = np.searchsorted(bins, part) % len(bins)
+    away = (bins[of] - part) % MARKS % 56
+    return tuple(np.packbits((x[at[of]] >> away.astype(np.uint64) & np.uint64(1)).astype(bool), bitorder="little").view(np.int64).tolist())
 
 
 #: Tokens whose frequency is sampled: one text in SAMPLED, the FREQUENT most frequent. They only order tokens; any order gives the same classes.
@@ -443,15 +479,17 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
             fps = np.array([views(t, shingle, seed, fingerprints) for t in whole], dtype=np.uint64).reshape(-1, fingerprints)
             found = [shingle_hashes(t, words) for t in whole]
             columns = [pa.array(np.arange(start, start + len(whole))), batch.column(0), batch.column(2)]
-            columns += [pa.array([of(s) for s in found], pa.binary()) for of in (shingle_marks, crowd, cast)]
+            marks = np.array([shingle_marks(s) for s in found], dtype=np.int64).reshape(-1, 2)
+            columns += [pa.array(np.ascontiguousarray(marks[:, k])) for k in (0, 1)]
+            columns += [pa.array([of(s) for s in found], pa.binary()) for of in (crowd, cast)]
             rare = [rare_first(s, num, den, frequent, counts) for s in found]
             cells, places = zip(*[in_cells(*r, start + i, hot) for i, r in enumerate(rare)]) if rare else ((), ())
             columns += [pa.array(cells, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array([r[1].count(0) for r in rare], pa.int64()), pa.array([len(s) for s in found], pa.int64())]
             columns += [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(fingerprints)]
             start += len(whole)
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "marks", "crowd", "cast", "cells", "places", "unknown", "n", *names])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "m0", "m1", "crowd", "cast", "cells", "places", "unknown", "n", *names])
 
-    rows = materialize(hashed.mapInArrow(described, "row long, doc_id long, th binary, marks binary, crowd binary, cast binary, cells array<long>, places array<long>, unknown long, n long, " + ", ".join(f"{n} long" for n in names)))
+    rows = materialize(hashed.mapInArrow(described, "row long, doc_id long, th binary, m0 long, m1 long, crowd binary, cast binary, cells array<long>, places array<long>, unknown long, n long, " + ", ".join(f"{n} long" for n in names)))
     n = rows.count()
     ids = compact(rows.groupBy("th").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), n)  # each text's first row stands for it
     texts = compact(rows.select("row", *names).join(ids.select("row"), "row"), n)
@@ -470,8 +508,9 @@ def similar_texts(docs: DataFrame, *, shingle: int = 2, max_bits: int = 8, seed:
 
     found, spent = [], []
     for name in names:
-        heads = compact(rows.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("head"), F.min_by("marks", "row").alias("marks")), n)
+        heads = compact(rows.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("head"), *[F.min_by(m, "row").alias(m) for m in ("m0", "m1")]), n)
         near = materialize(links(heads, max_bits).distinct())
+        release(spark)
         a, b = (heads.select(F.col("fp").alias(e), F.col("head").alias(n)) for e, n in (("src", "a"), ("dst", "b")))
         same = texts.join(heads.select(F.col("fp").alias(name), "head"), name).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
         found += [near.join(a, "src").join(b, "dst").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), same]

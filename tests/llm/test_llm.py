@@ -111,6 +111,59 @@ def test_links_lose_none(spark, bits, bucket):
     assert [find(int(c)) for c in codes] == plain_components(codes, codes.tolist(), bits)
 
 
+def plain_roots(codes, edges):
+    root = {c: c for c in codes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(c) for c in codes]
+
+
+@pytest.mark.parametrize("n, bucket", [(400, 64), (1200, 16)])
+def test_links_cut_crowded_buckets_many_times(spark, n, bucket):
+    """Codes that differ in few bits stay together over many cuts. (Once a cut named all masks in one nested expression, which overflowed the stack.)"""
+    r = random.Random(n)
+    base, free = r.getrandbits(64), r.sample(range(64), 24)
+    codes = np.array(sorted({base ^ sum(1 << b for b in free if r.random() < 0.5) for _ in range(n)}), dtype=np.uint64)
+    df = spark.createDataFrame([(c,) for c in codes.view(np.int64).tolist()], "fp long")
+    edges = [(np.int64(a).view(np.uint64), np.int64(b).view(np.uint64)) for a, b in simhash.links(df, 4, bucket).distinct().collect()]
+    assert all(np.bitwise_count(a ^ b) <= 4 for a, b in edges)
+    assert plain_roots(codes.tolist(), [(int(a), int(b)) for a, b in edges]) == plain_components(codes, codes.tolist(), 4)
+
+
+def test_codes_within_reach_agree_on_blocks():
+    r = random.Random(2)
+    for bits in (0, 2, 8):
+        for k in (1, 2, 3):
+            masks = simhash.agreeing(bits, k)
+            assert len(set(masks)) == math.comb(bits + k, k) and min(m.bit_count() for m in masks) >= k * (64 // (bits + k))
+            for _ in range(200):
+                differ = sum(1 << b for b in r.sample(range(64), bits))
+                assert any(not differ & m for m in masks)
+
+
+def test_marks_estimate_the_share():
+    """Bits of equal sets are equal; the estimate is near the share, for few shingles too."""
+    r = random.Random(4)
+    draw = lambda k: [r.getrandbits(64) - (1 << 63) for _ in range(k)]
+    for size in (40, 300, 3000):
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            got = []
+            for _ in range(60):
+                own = round(size * (1 - share) / (1 + share))
+                both = draw(size - own)
+                marks = np.array([simhash.shingle_marks(both + draw(own)) for _ in range(2)], dtype=np.int64).view(np.uint64)
+                got.append(simhash.likeness(marks, np.array([0]), np.array([1]))[0])
+            assert abs(np.mean(got) - share) < 0.08 and (share < 1 or min(got) == 1)
+    assert simhash.shingle_marks([]) == (0, 0)
+
+
 def test_gray_index_finds_all():
     r = np.random.default_rng(1)
     codes = np.unique(np.concatenate([r.integers(0, 1 << 63, 300, dtype=np.uint64), np.arange(200, dtype=np.uint64)]))
@@ -121,6 +174,20 @@ def test_gray_index_finds_all():
     assert got == want
 
 
+@pytest.mark.parametrize("spread", [6, 20, 63])
+def test_gray_index_finds_all_where_little_or_much_is_pruned(spread):
+    r = np.random.default_rng(spread)
+    codes = np.unique(r.integers(0, 1 << spread, 700, dtype=np.uint64) | r.integers(0, 2, 700, dtype=np.uint64) << np.uint64(40))
+    index = simhash.GrayIndex(codes)
+    for bits in (0, 2, 8):
+        for upto in (None, 1, 8, len(codes) // 2):
+            among = len(codes) if upto is None else min(upto, len(codes))
+            got = {(a, b): d for a, b, d in zip(*(x.tolist() for x in index.search(codes[:300], bits, upto)))}
+            off = np.bitwise_count(codes[:300, None] ^ index.codes[None, :])
+            want = {(a, b): int(off[a, b]) for a, b in zip(*(x.tolist() for x in np.nonzero(off <= bits)))}
+            assert got.items() <= want.items() and {p for p in want if p[1] < among} <= set(got)
+
+
 def test_simhash_awkward(awkward, empty):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(awkward).collect()}
     assert {(2, 2), (3, 2), (4, 2)} <= got and simhash.near_duplicates(awkward).count() == len(ROWS)
